@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import mixing, url_filter
+from reelspark.llm import fingerprint, mixing, secrets, url_filter
 from reelspark.llm.shared import table
 
 URL_RULES = [
@@ -74,3 +74,20 @@ SELECT n.doc_id, n.source, h.name AS stream, (n.n // {MIX_BLOCK})::BIGINT AS blo
   ((n.n // {MIX_BLOCK}) // h.share * {sum(MIX_SHARES.values()) + MIX_REST} + p.slot)::BIGINT AS slot, (n.n % {MIX_BLOCK})::BIGINT AS place_in_block
 FROM numbered n JOIN shares h USING (s) JOIN period p ON p.s = n.s AND p.nth = (n.n // {MIX_BLOCK}) % h.share
 """
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secrets.scan(docs).select("doc_id", "findings")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"], f["stop"])), ",")
+    count = lambda k: F.size(F.filter("findings", lambda f: f["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(joined(F.filter("findings", lambda f: f["rank"] < 3)), 256).alias("base_sha256"),
+        joined(F.col("findings")).alias("spans"),
+        F.transform("findings", lambda f: f["verdict"]).alias("verdicts"),
+    )
+
+
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))

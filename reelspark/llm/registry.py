@@ -6,8 +6,10 @@ from reelspark.llm import queries as q
 
 #: Query name: (function of the session and the tables' folder, DuckDB SQL or None).
 ALL = {
+    "op2_document_fingerprints": (q.op2_document_fingerprints, None),
     "op3_url_filters": (q.op3_url_filters, q.OP3_SQL),
     "op4_mix_sources": (q.op4_mix_sources, q.OP4_SQL),
+    "op5_secret_scans": (q.op5_secret_scans, None),
 }
 
 
