@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import fingerprint, mixing, secrets, url_filter
+from reelspark.llm import fingerprint, mixing, pii, secrets, url_filter
 from reelspark.llm.shared import table
 
 URL_RULES = [
@@ -91,3 +91,14 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return found.select(
+        "doc_id", count("email"), count("ip"), count("card"), count("phone"),
+        F.sha2(joined(F.filter("pii", lambda s: s["rank"] < 4)), 256).alias("base_sha256"),
+        joined(F.col("pii")).alias("spans"),
+    )
