@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import fingerprint, mixing, pii, secrets, url_filter
+from reelspark.llm import fingerprint, jaccard_join, mixing, pii, secrets, url_filter
 from reelspark.llm.shared import table
 
 URL_RULES = [
@@ -102,3 +102,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.filter("pii", lambda s: s["rank"] < 4)), 256).alias("base_sha256"),
         joined(F.col("pii")).alias("spans"),
     )
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents").select("doc_id", "text"))

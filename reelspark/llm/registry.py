@@ -10,6 +10,7 @@ ALL = {
     "op3_url_filters": (q.op3_url_filters, q.OP3_SQL),
     "op4_mix_sources": (q.op4_mix_sources, q.OP4_SQL),
     "op5_secret_scans": (q.op5_secret_scans, None),
+    "op6_jaccard_join": (q.op6_jaccard_join, None),
     "op9_pii": (q.op9_pii, None),
 }
 
