@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import fingerprint, jaccard_join, mixing, pii, secrets, url_filter
+from reelspark.llm import decontaminate, fingerprint, jaccard_join, mixing, pii, secrets, url_filter
 from reelspark.llm.shared import table
 
 URL_RULES = [
@@ -106,3 +106,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))

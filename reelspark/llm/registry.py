@@ -12,6 +12,7 @@ ALL = {
     "op5_secret_scans": (q.op5_secret_scans, None),
     "op6_jaccard_join": (q.op6_jaccard_join, None),
     "op9_pii": (q.op9_pii, None),
+    "op10_benchmark_decontamination": (q.op10_benchmark_decontamination, None),
 }
 
 

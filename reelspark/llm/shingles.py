@@ -22,13 +22,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _bytes() -> tuple[np.ndarray, np.ndarray]:
-    """For each byte: its random value, A-Z like a-z; whether it is white space (space, 09 to 0D)."""
+@lru_cache(maxsize=2)
+def _bytes(plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte: its random value, A-Z like a-z; whether it parts words: white space (space, 09 to 0D), or if plain all ASCII but letters and digits."""
     value = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
     value[65:91] = value[97:123]
     space = np.zeros(256, bool)
-    space[[0x20, *range(0x09, 0x0E)]] = True
+    if plain:
+        space[:128] = True
+        space[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+    else:
+        space[[0x20, *range(0x09, 0x0E)]] = True
     return value, space
 
 
@@ -38,9 +42,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (BASE, _INVERSE))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts that lie one after the other in data, and each text's first word (with the end)."""
-    value, space = _bytes()
+def word_hashes(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie one after the other in data, and each text's first word (with the end).
+
+    Words are parted by white space; plain ones by all ASCII characters but letters and digits.
+    """
+    value, space = _bytes(plain)
     gap = space[data]
     word = ~gap
     starts, ends = word.copy(), word.copy()
