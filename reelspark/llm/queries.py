@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import decontaminate, fingerprint, jaccard_join, mixing, pii, secrets, url_filter
+from reelspark.llm import decontaminate, fingerprint, jaccard_join, language_id, mixing, pii, secrets, toxicity, url_filter
 from reelspark.llm.shared import table
 
 URL_RULES = [
@@ -111,3 +111,19 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = language_id.fit(docs.where(fold != 1))
+    out = language_id.predict(docs, model)
+    return out.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold != 0))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")

@@ -11,6 +11,8 @@ ALL = {
     "op4_mix_sources": (q.op4_mix_sources, q.OP4_SQL),
     "op5_secret_scans": (q.op5_secret_scans, None),
     "op6_jaccard_join": (q.op6_jaccard_join, None),
+    "op7_language_id": (q.op7_language_id, None),
+    "op8_toxicity": (q.op8_toxicity, None),
     "op9_pii": (q.op9_pii, None),
     "op10_benchmark_decontamination": (q.op10_benchmark_decontamination, None),
 }
