@@ -16,16 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import shingles
+from reelspark.llm.shared import written
 
 #: The model is fitted on labelled rows up to about this many, chosen by a hash of their ids.
 FIT_ROWS = 24_000
 #: Labelled ids (8 bytes each) join the texts by broadcast: FIT_ROWS bounds them.
 #: Tokens of the model at most: those with the most extreme log-odds.
 MODEL_TOKENS = 200_000
-#: Weight of the prior, in tokens of each class.
-PRIOR = 2_000.0
+#: Weight of the prior in either class, as a share of all tokens counted.
+PRIOR = 0.1
 #: Standard errors by which a token's log-odds differ from 0 before they count.
-SURE = 3.0
+SURE = 2.0
 #: Taken from every token's score, so that clean text scores below 0 on average.
 DRIFT = 0.25
 #: Expected number in clean text below which a segment is significant.
@@ -90,13 +91,15 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, toxic, clean): how often each token stands in texts of each label."""
+    """(token, toxic, clean): in how many texts of each label each token stands."""
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False) == 1
         row = 0
         for row, data, offsets in shingles.chunks(batch.column("text")):
             words, first = shingles.word_hashes(data, offsets, plain=True)
-            bad = np.repeat(toxic[row : row + len(first) - 1], np.diff(first))
+            held = [np.unique(words[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+            bad = np.repeat(toxic[row : row + len(held)], [len(h) for h in held])
+            words = np.concatenate(held)
             tokens, place = np.unique(words, return_inverse=True)
             t = np.bincount(place[bad], minlength=len(tokens))
             c = np.bincount(place[~bad], minlength=len(tokens))
@@ -138,14 +141,30 @@ def _keep(model, text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         yield batch.filter(pa.array([model.probability(model.evidence(segs, length)) < 0.5 for _, segs, length in _each(model, batch.column(text_col))], pa.bool_()))
 
 
-def _gumbel(best: np.ndarray, lengths: np.ndarray, mean_scores: np.ndarray) -> tuple[float, float]:
-    """(lambda, log K) of the best segments of clean texts, from the mean and spread of best - log(length) / lambda."""
-    lam = 1.0
-    for _ in range(20):
-        rest = best - np.log(np.maximum(lengths, 1)) / lam
-        lam = float(np.clip(np.pi / np.sqrt(6) / max(rest.std(), 1e-6), 0.2, 5.0))
-    rest = best - np.log(np.maximum(lengths, 1)) / lam
-    return lam, float(lam * rest.mean() - 0.5772156649)
+def _decay(scores: np.ndarray, shares: np.ndarray) -> float:
+    """The lambda of Karlin and Altschul: the positive root of sum p exp(lambda s) = 1 over clean text's tokens."""
+    excess = lambda x: (1 - shares.sum()) * np.exp(-x * DRIFT) + (shares * np.exp(x * (scores - DRIFT))).sum() - 1
+    lo, hi = 1e-3, 3.0
+    if excess(hi) < 0:
+        return hi
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if excess(mid) < 0 else (lo, mid)
+    return hi
+
+
+def _density(scores: np.ndarray, words: int, lam: float) -> float:
+    """log K, from the number of segments in clean texts that reach their median score; half a segment where there are none."""
+    at = float(np.median(scores)) if len(scores) else 1.0
+    return float(np.log(max((scores >= at).sum(), 0.5) / max(words, 1)) + lam * at)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of batches and three min-hashes of each text's shingles, which near copies mostly share."""
+    salts = np.random.default_rng(3).integers(1, 1 << 63, 3, dtype=np.uint64)
+    for batch in batches:
+        keys = [[int(shingles.mixed(s ^ salt).min() >> np.uint64(1)) if len(s) else -1 for salt in salts] for s in shingles.sets(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in range(3))], [*batch.schema.names, "h0", "h1", "h2"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS):
@@ -156,26 +175,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("bigint").alias("k"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("k").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("k"), "k").limit(rows)
-    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "k").select("text", "toxic")
-    counts = texts.mapInArrow(_token_counts, "token bigint, t bigint, c bigint").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "k")
+    sample = written(texts.mapInArrow(_keys, "k bigint, text string, toxic int, h0 bigint, h1 bigint, h2 bigint"), "toxicity-sample")
+    # One text of each group of near copies: else whatever else a copied text says would look toxic.
+    alone = sample.select("k", "h0", "h1", "h2")
+    for h in ("h0", "h1", "h2"):
+        alone = alone.join(alone.groupBy(h).agg(F.min("k").alias("k")).select("k"), "k", "left_semi")
+    texts = sample.join(F.broadcast(alone.select("k").distinct()), "k").select("text", "toxic")
+    counts = written(texts.mapInArrow(_token_counts, "token bigint, t bigint, c bigint").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity-tokens")
     sums = counts.agg(F.sum("t"), F.sum("c")).first()
     n_t, n_c = int(sums[0] or 0), int(sums[1] or 0)
     if not n_t or not n_c:
         return spark.sparkContext.broadcast(Model(np.zeros(0, np.uint64), np.zeros(0)))
-    prior = (F.col("t") + F.col("c")) / (n_t + n_c) * PRIOR
-    odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + PRIOR) - F.col(y) - prior))
+    prior, weight = (F.col("t") + F.col("c")) * PRIOR, (n_t + n_c) * PRIOR
+    odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + weight) - F.col(y) - prior))
     delta = odds("t", n_t) - odds("c", n_c)
     error = F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
     # Only tokens that a label favours beyond doubt have a score of their own; all others have the drift alone.
-    scored = counts.select("token", delta.alias("delta"), (delta / error).alias("z")).where(F.abs("z") >= SURE)
+    share = (F.col("c") + prior) / (n_c + weight)
+    scored = counts.select("token", delta.alias("delta"), (delta / error).alias("z"), share.alias("share")).where(F.abs("z") >= SURE)
     table = scored.orderBy(F.desc(F.abs("z")), "token").limit(MODEL_TOKENS).toPandas()
     model = Model(table["token"].to_numpy(np.int64).view(np.uint64), table["delta"].to_numpy(np.float64))
     first = spark.sparkContext.broadcast(model)
     seen = texts.mapInArrow(partial(_best, first), "toxic int, length bigint, scores array<double>").toPandas()
     length, toxic = seen["length"].to_numpy(np.int64), seen["toxic"].to_numpy() == 1
-    top = np.array([max(s, default=0.0) if s is not None and len(s) else 0.0 for s in seen["scores"]])
     clean = ~toxic & (length > 0)
-    model.lam, model.log_k = _gumbel(top[clean], length[clean], np.array([]))
+    model.lam = _decay(model.scores, table["share"].to_numpy(np.float64)[np.argsort(table["token"].to_numpy(np.int64).view(np.uint64))])
+    model.log_k = _density(np.concatenate([np.zeros(0), *(np.asarray(x) for x in seen["scores"][clean])]), int(length[clean].sum()), model.lam)
     evidence = np.array([model.evidence([(0, 0, x) for x in s], n) for s, n in zip(seen["scores"], length, strict=True)])
     model.slope, model.middle = _calibrate(evidence, toxic)
     return spark.sparkContext.broadcast(model)
