@@ -121,7 +121,8 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # The text is shuffled once, by id: both branches below read the same exchange.
     heads = (
         rows.join(asked.join(chosen, F.col("n_key") == F.col("c_key")).drop("c_key"), F.col("k") == F.col("n_key"))
-        .where(F.xxhash64("t") == F.col("c_hash"))
+        # Not an equality of both sides: as a join key it would ask for another partitioning, and another shuffle.
+        .where(F.xxhash64("t").bitwiseXOR(F.col("c_hash")) == 0)
         .select("before", F.expr("substring(t, 1, n_take)").alias("piece"), codes(F.col("t")).alias("next_codes"))
         .groupBy("before")
         .agg(F.first("piece").alias("piece"), F.first("next_codes").alias("next_codes"))
