@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from reelspark.llm import shingles
 from reelspark.llm.components import components
-from reelspark.llm.shared import written
+from reelspark.llm.shared import fresh, written
 
 #: Link when PARTS[1] * intersection >= PARTS[0] * union.
 PARTS = (75, 100)
@@ -303,3 +303,21 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return join.meta.join(by_ref, "ref", "left").select(
         real("doc_id").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), real("coalesce(component_id, doc_id)").alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that link, directly or through others, with a row of a lesser id; all columns are kept.
+
+    Of rows that repeat an id with equal texts (and words in them) one stays; rows without words all stay. An id that
+    stands on rows with different texts stays wherever one of them is the least of its group.
+    """
+    linked = link(docs, id_col, text_col)
+    k, h, apart = (fresh(docs, x) for x in ("k", "h", "apart"))
+    kept = written(linked.where("doc_id <=> component_id").groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias(k)).agg(F.count("*").alias("n"), F.max("n_shingles").alias("most")), "kept")
+    rows = docs.withColumn(k, F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)))
+    single = rows.join(kept.where("n = 1").select(k), k, "left_semi").select(*docs.columns)
+    # Ids on several rows: a few; each text once, but for those without words.
+    several = rows.join(kept.where("n > 1").select(k), k, "left_semi").withColumn(h, F.xxhash64(text_col))
+    blank = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    several = several.withColumn(apart, F.when(blank, F.lit(0)).otherwise(F.monotonically_increasing_id()))
+    return single.unionByName(several.dropDuplicates([k, h, apart]).select(*docs.columns))

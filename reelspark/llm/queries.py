@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import decontaminate, fingerprint, jaccard_join, language_id, mixing, pii, secrets, toxicity, url_filter
+from reelspark.llm import chat, decontaminate, fingerprint, jaccard_join, language_id, mixing, pii, secrets, toxicity, url_filter
 from reelspark.llm.shared import table
 
 URL_RULES = [
@@ -127,3 +127,30 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold != 0))
     out = toxicity.score(docs, model)
     return out.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("tree"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "tree bigint, turn bigint, role string, text string")
+    out = chat.format_paths(chat.paths(chat.chain(turns.unionByName(probe))))
+    read = out.withColumns({"turns": chat.read_back(F.col("formatted")), "loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))})
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+_ESCAPED = r"regexp_replace(coalesce(text, ''), '([<\[])(\x{2060}*)(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|unk>|pad>|bos>|eos>|start_of_turn>|end_of_turn>|\|[A-Za-z0-9_]+\|>)', '\1' || chr(8288) || '\2\3', 'g')"
+OP1_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length({_ESCAPED}) + {len(chat.OPEN) + len(chat.CLOSE) + 2})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from reelspark.llm import queries as q
 
 #: Query name: (function of the session and the tables' folder, DuckDB SQL or None).
 ALL = {
+    "op1_chat_formatting": (q.op1_chat_formatting, q.OP1_SQL),
     "op2_document_fingerprints": (q.op2_document_fingerprints, None),
     "op3_url_filters": (q.op3_url_filters, q.OP3_SQL),
     "op4_mix_sources": (q.op4_mix_sources, q.OP4_SQL),
@@ -15,6 +17,7 @@ ALL = {
     "op8_toxicity": (q.op8_toxicity, None),
     "op9_pii": (q.op9_pii, None),
     "op10_benchmark_decontamination": (q.op10_benchmark_decontamination, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
 
