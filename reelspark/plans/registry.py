@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = []
+MODULES = ["audio", "images", "containers", "video"]
 
 
 def _gather(attribute: str) -> dict:
