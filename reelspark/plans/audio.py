@@ -68,13 +68,13 @@ ORACLE_SQL["loudness_by_stream"] = f"""WITH {sql('pcm')} SELECT stream_id, max(a
 
 
 def mp3_frame_headers(spark, d):
-    word = F.lit(0xFFE00000) + F.col("b0") % 32 * 65536 + F.col("w")
+    word = F.lit(0xFFE00000) + F.col("b0") % 32 * 65536 + (F.col("w") + F.col("object_id") * 4099) % 65536
     x = view(spark, d, "octets").select("object_id", "k", audio.mp3_header(word).alias("h"))
     return x.where("h is not null").select("object_id", "k", "h.*")
 
 
 QUERIES["mp3_frame_headers"] = mp3_frame_headers
-ORACLE_SQL["mp3_frame_headers"] = f"""WITH {sql('octets')}, x AS (SELECT object_id, k, 4292870144 + b0 % 32 * 65536 + w AS h FROM octets),
+ORACLE_SQL["mp3_frame_headers"] = f"""WITH {sql('octets')}, x AS (SELECT object_id, k, 4292870144 + b0 % 32 * 65536 + (w + object_id * 4099) % 65536 AS h FROM octets),
 p AS (SELECT *, ([{', '.join(map(str, audio.MP3_KBPS))}, NULL])[((h >> 12) & 15) + 1] AS kbps, ([{', '.join(map(str, audio.MP3_RATES))}, NULL])[((h >> 10) & 3) + 1] AS rate FROM x
   WHERE (h >> 19) & 3 = 3 AND (h >> 17) & 3 = 1)
 SELECT object_id, k, kbps, rate, ((h >> 9) & 1)::INT AS padding, ((h >> 6) & 3)::INT AS mode, CASE WHEN (h >> 6) & 3 = 3 THEN 1 ELSE 2 END AS channels, (h >> 16) & 1 = 0 AS has_crc,
