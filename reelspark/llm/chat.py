@@ -19,7 +19,7 @@ CONTROLS = (
     r"\|[A-Za-z0-9_]+\|>",
 )
 #: Put between a control string's first character and the rest; one more for each time that a text is escaped.
-MARK = "⁠"
+MARK = "\u2060"
 _REST = "(?:" + "|".join(CONTROLS) + ")"
 LOSS_ROLE = "assistant"
 

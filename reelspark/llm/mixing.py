@@ -64,7 +64,7 @@ def mix(
     counts = [*(shares[n] for n in names[:-1]), rest_share]
     total = sum(counts)
     docs = docs.drop("stream", "block", "slot", "place_in_block")
-    key, piece, lane, at = (fresh(docs, x) for x in ("key", "piece", "lane", "at"))
+    key, piece, lane, at, o_lane, o_piece, o_at, o_s, o_slots = (fresh(docs, x) for x in ("key", "piece", "lane", "at", "o_lane", "o_piece", "o_at", "o_s", "o_slots"))
 
     lanes = F.create_map(*[x for i, n in enumerate(names[:-1]) for x in (F.lit(n), F.lit(i))])
     keyed = docs.withColumn(lane, F.coalesce(F.get(F.array(*[F.lit(i) for i in range(len(names))]), lanes[F.col(source_col)]), F.lit(len(names) - 1)))
@@ -73,22 +73,22 @@ def mix(
     # Rows are numbered inside a piece of a stream, and pieces by their sizes: 16**PIECE_DIGITS rows a stream.
     pieces = keyed.groupBy(lane, piece).count()
     before = F.sum("count").over(Window.partitionBy(lane).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = pieces.select(F.col(lane).alias("o_lane"), F.col(piece).alias("o_piece"), F.coalesce(before, F.lit(0)).alias("o_at"))
+    offsets = pieces.select(F.col(lane).alias(o_lane), F.col(piece).alias(o_piece), F.coalesce(before, F.lit(0)).alias(o_at))
     ties = [F.xxhash64(*[F.col(c) for c in docs.columns])] if len(docs.columns) > 1 else []
     inside = Window.partitionBy(lane, piece).orderBy(F.col(key), F.col(id_col), *ties)
     numbered = keyed.withColumn(at, F.row_number().over(inside) - 1)
-    numbered = numbered.join(offsets, (F.col(lane) == F.col("o_lane")) & (F.col(piece) == F.col("o_piece")))
-    row = F.col("o_at") + F.col(at)
+    numbered = numbered.join(offsets, (F.col(lane) == F.col(o_lane)) & (F.col(piece) == F.col(o_piece)))
+    row = F.col(o_at) + F.col(at)
     share = F.get(F.array(*[F.lit(c).cast("bigint") for c in counts]), F.col(lane))
     # The n-th slot of source s in a period, for all s: one literal-sized array per source.
     schedule = docs.sparkSession.range(1).select(one_period(counts).alias("order"))
     slots = schedule.select(F.posexplode("order").alias("slot", "s")).groupBy("s").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
-    placed = numbered.withColumn(at, row).join(F.broadcast(slots.withColumnRenamed("s", "o_s").withColumnRenamed("slots", "o_slots")), F.col(lane) == F.col("o_s"))
+    placed = numbered.withColumn(at, row).join(F.broadcast(slots.toDF(o_s, o_slots)), F.col(lane) == F.col(o_s))
     block = F.floor(F.col(at) / block_rows)
     return placed.select(
         *[F.col(c) for c in docs.columns],
         F.get(F.array(*[F.lit(n) for n in names]), F.col(lane)).alias("stream"),
         block.alias("block"),
-        (F.floor(block / share) * total + F.get(F.col("o_slots"), F.pmod(block, share).cast("int"))).alias("slot"),
+        (F.floor(block / share) * total + F.get(F.col(o_slots), F.pmod(block, share).cast("int"))).alias("slot"),
         F.pmod(F.col(at), F.lit(block_rows)).cast("bigint").alias("place_in_block"),
     )

@@ -85,10 +85,45 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign"), count("access"), count("hex"),
         F.sha2(joined(F.filter("findings", lambda f: f["rank"] < 3)), 256).alias("base_sha256"),
         joined(F.col("findings")).alias("spans"),
-        F.transform("findings", lambda f: f["verdict"]).alias("verdicts"),
+        F.array_join(F.transform("findings", lambda f: f["verdict"]), ",").alias("verdicts"),
     )
 
 
+def _any_case(words: str) -> str:
+    """A regular expression's letters in either case, as classes."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+_ASSIGN = r"""(?:NAMES)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""".replace("NAMES", _any_case("password|passwd|secret|token|api_?key"))
+_LISTED = ["assign", "access", "hex", "bare"]
+_FOUND = " UNION ALL ".join(
+    f"SELECT n, {k} AS rank, regexp_extract_all(t, '{p}') AS f, string_split_regex(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}')"
+    for k, p in enumerate((_ASSIGN.replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]+"), secrets.ACCESS, secrets.HEX, secrets.BARE))
+)
+OP5_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS t FROM documents),
+found AS ({_FOUND}),
+placed AS (
+  SELECT n, rank, f[i] AS v, (list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[:i - 1], lambda x: length(x))), 0))::BIGINT AS a
+  FROM (SELECT *, unnest(generate_series(1, len(f))) AS i FROM found)),
+valued AS (SELECT n, rank, a, a + length(v) AS z, CASE WHEN rank = 0 THEN regexp_extract(v, '{_ASSIGN}', 1) ELSE v END AS v FROM placed),
+base AS (SELECT * FROM valued WHERE (rank = 0 AND length(v) >= 6) OR rank IN (1, 2)),
+bare AS (
+  SELECT * FROM valued b WHERE rank = 3 AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') AND len(list_distinct(string_split(v, ''))) >= {secrets.MIN_VARIETY}
+    AND NOT EXISTS (SELECT 1 FROM base x WHERE x.n = b.n AND x.a < b.z AND b.a < x.z)),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
+owned AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners FROM spans JOIN d USING (n) GROUP BY 1),
+kept AS (SELECT *, ({_LISTED})[rank + 1] || ':' || a || ':' || z AS said, CASE WHEN owners <= {secrets.MAX_OWNERS} THEN 'live' ELSE 'example' END AS verdict FROM spans JOIN owned USING (v) WHERE rank < 3 OR owners <= {secrets.MAX_OWNERS}),
+told AS (
+  SELECT n, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+    string_agg(said, ',' ORDER BY a, rank) FILTER (WHERE rank < 3) AS b, string_agg(said, ',' ORDER BY a, rank) AS spans, list(verdict ORDER BY a, rank) AS verdicts
+  FROM kept GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  array_to_string(coalesce(verdicts, []), ',') AS verdicts
+FROM d LEFT JOIN told USING (n)
+"""
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -108,6 +143,43 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+_PII = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+_PII_FOUND = " UNION ALL ".join(f"SELECT n, {k} AS rank, regexp_extract_all(t, '{p}') AS f, string_split_regex(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}')" for k, p in enumerate(_PII))
+_PLACED = "(list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[:i - 1], lambda x: length(x))), 0))::BIGINT"
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_PII_FOUND}),
+placed AS (SELECT n, rank, f[i] AS v, {_PLACED} AS a FROM (SELECT *, unnest(generate_series(1, len(f))) AS i FROM found)),
+digits AS (SELECT *, a + length(v) AS z, regexp_replace(v, '[^0-9]', '', 'g') AS o FROM placed),
+base AS (
+  SELECT * FROM digits WHERE rank = 0
+    OR (rank = 1 AND list_bool_and(list_transform(string_split(v, '.'), lambda x: x::HUGEINT <= 255)))
+    OR (rank = 2 AND length(o) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse(o), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN x::INT WHEN x > '4' THEN x::INT * 2 - 9 ELSE x::INT * 2 END)) % 10 = 0)
+    OR (rank = 3 AND length(o) BETWEEN 8 AND 15)),
+entity AS (SELECT b.n, b.a, b.z, b.rank || ':' || CASE WHEN b.rank = 0 THEN lower(v) ELSE o END AS e, t FROM base b JOIN d USING (n)),
+windows AS (
+  SELECT n, e, greatest(a - {pii.NEAR}, 0) AS off, substr(t, greatest(a - {pii.NEAR}, 0) + 1, a - greatest(a - {pii.NEAR}, 0)) AS w, a > {pii.NEAR} AS cut_left, false AS cut_right FROM entity
+  UNION ALL SELECT n, e, z, substr(t, z + 1, {pii.NEAR}), false, length(t) > z + {pii.NEAR} FROM entity),
+words AS (SELECT n, e, off, w, cut_left, cut_right, f[i] AS v, {_PLACED} AS a FROM (SELECT *, unnest(generate_series(1, len(f))) AS i FROM (
+  SELECT *, regexp_extract_all(w, '\p{{L}}{{4,}}') AS f, string_split_regex(w, '\p{{L}}{{4,}}') AS g FROM windows WHERE regexp_matches(w, '\p{{L}}{{4,}}')))),
+beside AS (SELECT n, e, off + a AS a, off + a + length(v) AS z, lower(v) AS w FROM words WHERE NOT (cut_left AND a = 0) AND NOT (cut_right AND a + length(v) = length(w))),
+n_e AS (SELECT e, count(DISTINCT n) AS n_e FROM entity GROUP BY 1),
+together AS (SELECT e, w, count(DISTINCT n) AS n_te FROM beside GROUP BY 1, 2 HAVING count(DISTINCT n) >= {pii.MIN_TOGETHER}),
+n_t AS (SELECT w, count(DISTINCT n) AS n_t FROM (SELECT n, unnest(string_split_regex(lower(t), '[^\p{{L}}]+')) AS w FROM d) WHERE w IN (SELECT w FROM together) GROUP BY 1),
+shares AS (
+  SELECT e, w, CASE WHEN n_e >= c THEN 0 ELSE ln(c::DOUBLE * n_te / (n_t * n_e)) / ln(c::DOUBLE / n_e) END AS share
+  FROM together JOIN n_t USING (w) JOIN n_e USING (e), (SELECT count(*) AS c FROM documents)),
+terms AS (SELECT n, a, z, CASE WHEN max(share) > {pii.REMOVE_SHARE} THEN 4 ELSE 5 END AS rank FROM beside JOIN shares USING (e, w) WHERE share > {pii.GENERALISE_SHARE} GROUP BY n, a, z),
+spans AS (SELECT n, rank, a, z FROM base UNION ALL SELECT n, rank, a, z FROM terms x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.n = x.n AND b.a < x.z AND x.a < b.z)),
+told AS (
+  SELECT n, count(*) FILTER (WHERE rank = 0) AS n_email, count(*) FILTER (WHERE rank = 1) AS n_ip, count(*) FILTER (WHERE rank = 2) AS n_card, count(*) FILTER (WHERE rank = 3) AS n_phone,
+    string_agg(said, ',' ORDER BY rank, a) FILTER (WHERE rank < 4) AS b, string_agg(said, ',' ORDER BY rank, a) AS spans
+  FROM (SELECT *, ({list(pii.KINDS)})[rank + 1] || ':' || a || ':' || z AS said FROM spans) GROUP BY n)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (n)
+"""
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))

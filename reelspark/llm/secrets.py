@@ -25,16 +25,16 @@ MAX_OWNERS = 3
 #: Different characters that a bare token has at least.
 MIN_VARIETY = 8
 
-FINDING = "struct<start:int,stop:int,rank:int,kind:string,digest:string,verdict:string,owners:bigint,repositories:bigint>"
+FINDING = "struct<start:int,rank:int,stop:int,kind:string,digest:string,verdict:string,owners:bigint,repositories:bigint>"
 
 
 def _spans(text: Column) -> Column:
-    """array<struct<start, stop, rank, kind, digest>>: base spans, and bare ones that no base span overlaps."""
+    """array<struct<start, rank, stop, kind, digest>>: base spans, and bare ones that no base span overlaps."""
 
     def kind(rank: int, found: Column, value) -> Column:
         return F.transform(
             found,
-            lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(rank).alias("rank"), F.lit(KINDS[rank]).alias("kind"), F.sha2(value(s["value"]), 256).alias("digest")),
+            lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(KINDS[rank]).alias("kind"), F.sha2(value(s["value"]), 256).alias("digest")),
         )
 
     secret = lambda v: F.regexp_extract(v, ASSIGN, 2)
@@ -48,7 +48,7 @@ def _spans(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """docs with findings: array<struct<start, stop, rank, kind, digest, verdict, owners, repositories>>, by start and kind.
+    """docs with findings: array<struct<start, rank, stop, kind, digest, verdict, owners, repositories>>, by start and kind.
 
     Positions are code points, stop exclusive. verdict is 'live' for a value of at most max_owners owners and 'example'
     for others; bare findings are always live. Null texts count as empty and have no findings; null owners or
@@ -72,7 +72,7 @@ def scan(docs: DataFrame, text_col: str = "text", repository_col: str = "doc_id"
         each.select(row, "s", "digest").join(stats, "digest")
         .where((F.col("s.rank") < 3) | (F.col("owners") <= max_owners))
         .groupBy(row)
-        .agg(F.array_sort(F.collect_list(F.struct("s.start", "s.stop", "s.rank", "s.kind", "s.digest", verdict.alias("verdict"), "owners", "repositories"))).alias("findings"))
+        .agg(F.array_sort(F.collect_list(F.struct("s.start", "s.rank", "s.stop", "s.kind", "s.digest", verdict.alias("verdict"), "owners", "repositories"))).alias("findings"))
     )
     none = F.array().cast(f"array<{FINDING}>")
     with_some = few.join(judged, row, "left").select(*docs.columns, F.coalesce("findings", none).alias("findings"))

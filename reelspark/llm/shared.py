@@ -44,6 +44,16 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+SPANS = "array<struct<start:int,stop:int,value:string>>"
+#: Matches whose positions are summed together: keeps texts of very many matches far from quadratic work.
+_PIECE = 256
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def span_arrays(text: Column, pattern: str, within: Column | None = None) -> Column:
     """Matches of a Java pattern as array<struct<start, stop, value>> in code points, leftmost first.
 
@@ -52,25 +62,28 @@ def span_arrays(text: Column, pattern: str, within: Column | None = None) -> Col
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    lengths = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("out"))
-    walk = F.aggregate(
-        F.filter(lengths, lambda x: x["value"].isNotNull()),
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + x["gap"]).alias("start"),
-                        (acc["at"] + x["gap"] + F.length(x["value"])).alias("stop"),
-                        x["value"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    pairs = F.filter(F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value"))), lambda x: x["value"].isNotNull())
+
+    def place(piece: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast(SPANS).alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            first = acc["at"] + x["gap"]
+            last = first + F.length(x["value"])
+            span = F.struct(first.alias("start"), last.alias("stop"), x["value"].alias("value"))
+            return F.struct(last.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(piece, start, step, lambda acc: acc["out"])
+
+    def walk(all_pairs: Column) -> Column:
+        count = F.floor((F.size(all_pairs) + _PIECE - 1) / _PIECE).cast("int")
+        pieces = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(all_pairs, (i - 1) * _PIECE + 1, _PIECE))
+        return bound(pieces, lambda ps: bound(F.transform(ps, _reach), lambda ls: F.flatten(F.transform(ps, lambda p, i: place(p, F.aggregate(F.slice(ls, F.lit(1), i), F.lit(0), lambda a, n: a + n))))))
+
     hit = text.rlike(pattern) if within is None else within & text.rlike(pattern)
-    return F.when(hit, walk).otherwise(F.array().cast("array<struct<start:int,stop:int,value:string>>"))
+    return F.when(hit, bound(pairs, walk)).otherwise(F.array().cast(SPANS))
+
+
+def _reach(piece: Column) -> Column:
+    """Code points that a piece of matches and the gaps before them cover."""
+    return F.aggregate(piece, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["value"]))

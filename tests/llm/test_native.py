@@ -48,7 +48,7 @@ def test_one_period_keeps_every_prefix_within_one_block(spark, shares):
 
 def test_mix_places_every_row_once(spark):
     rows = rows_of(["t"] * 300, lambda i: "a" if i % 3 else "b") + [(None, None, None, None, None), (7, "t", "en", "zzz", 1)]
-    df = spark.createDataFrame(rows, SCHEMA).withColumn("stream", F.lit("clash"))
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("stream", F.lit("clash")).withColumn("__o_at", F.lit("x")).withColumn("__AT", F.lit("y"))
     got = mixing.mix(df, {"a": 3, "b": 2}, 1, 4).collect()
     assert len(got) == len(rows)
     assert len({(r.slot, r.place_in_block) for r in got}) == len(rows)
@@ -201,7 +201,8 @@ def test_personal_data_equals_brute_force(spark):
     parts = ["a.b@c.de", "a@b", "a@b.c_d@e.f", "x@y.z@q.r", "é.u@m.org.", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "0001.2.3.04", "4111 1111 1111 1111", "4111-1111-1111-1112", "4111111111111111", "12345",
              "+1 (017) 555-7713", "+12", "+1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "++49 30 123456", "9" * 16, "word"]
     texts = [None, "", "1" * 4000, "a" * 20000, "a." * 3000 + "@b" + ".c" * 3000, "1 " * 3000] + ["".join(rng.choice(parts) + rng.choice([" ", "", ", ", "é"]) for _ in range(rng.randrange(1, 25))) for _ in range(200)]
-    df = spark.createDataFrame(rows_of(texts), SCHEMA).withColumn("pii", F.lit("clash"))
+    texts.append("1.2.3.4 é " * 1000)
+    df = spark.createDataFrame(rows_of(texts), SCHEMA).withColumns({"pii": F.lit("clash"), "terms": F.lit("clash"), "s": F.lit("clash"), "row": F.lit("clash")})
     got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.pii if s.rank < 4] for r in pii.find(df).collect()}
     assert got == {i: base_pii(t or "") for i, t in enumerate(texts)}
 
