@@ -185,6 +185,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS n, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT n, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM d),
+c AS (SELECT n, count(*) AS k FROM s GROUP BY n),
+p AS (SELECT a.n AS x, b.n AS y, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.n <> b.n GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN c a ON a.n = x JOIN c b ON b.n = y WHERE 100 * i >= 75 * (a.k + b.k - i)),
+r(n, m) AS (SELECT n, n FROM d UNION SELECT r.n, l.y FROM r JOIN l ON r.m = l.x)
+SELECT any_value(d.doc_id) AS doc_id, any_value(coalesce(c.k, 0))::BIGINT AS n_shingles, min(e.doc_id) AS component_id
+FROM d JOIN r ON r.n = d.n JOIN d e ON e.n = r.m LEFT JOIN c ON c.n = d.n GROUP BY d.n
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3

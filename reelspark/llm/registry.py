@@ -12,7 +12,7 @@ ALL = {
     "op3_url_filters": (q.op3_url_filters, q.OP3_SQL),
     "op4_mix_sources": (q.op4_mix_sources, q.OP4_SQL),
     "op5_secret_scans": (q.op5_secret_scans, q.OP5_SQL),
-    "op6_jaccard_join": (q.op6_jaccard_join, None),
+    "op6_jaccard_join": (q.op6_jaccard_join, q.OP6_SQL),
     "op7_language_id": (q.op7_language_id, None),
     "op8_toxicity": (q.op8_toxicity, None),
     "op9_pii": (q.op9_pii, q.OP9_SQL),

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from reelspark.llm import fingerprint, mixing, pii, queries, secrets, url_filter
@@ -139,6 +140,14 @@ def test_redaction_hides_live_secrets_only(spark):
 
 # -- fingerprints
 
+def slow_fingerprint(t):
+    """Root and codes of a text, cut with a blank line's or a line's end kept at the end of each part."""
+    cut = lambda s, end: [s[a:b] for p in [[0, *[i for i in range(len(end), len(s) + 1) if s[i - len(end) : i] == end], len(s)]] for a, b in zip(p, p[1:]) if (a, b) != (0, 0) or not s]
+    root = sha("".join(sha("".join(sha(p) for p in cut(sec, "\n"))) for sec in cut(t, "\n\n")))
+    pieces = [m[0] for p in cut(t, "\n") for m in re.finditer(r"\s*(?:\S*[^\s.!?]\s+){0,4}\S+\s*|\s+", p, re.ASCII)]
+    return root, [xxhash.xxh64_intdigest(p.encode(), 42) & 0xFFFFFF for p in pieces]
+
+
 def test_fingerprints_and_edits_equal_brute_force(spark):
     rng = random.Random(2)
     texts = [None, "", "a", "ab. cd\n\n\nef", "\n\n", "x" * 3000, noise(rng, 4000)] + ["\n".join(noise(rng, rng.randrange(1, 30)) for _ in range(rng.randrange(1, 9))) for _ in range(40)]
@@ -154,6 +163,10 @@ def test_fingerprints_and_edits_equal_brute_force(spark):
         k = len(t) // 4
         r = by_id[i]
         assert r.n_chars == len(t) and r.edited_sha256 == sha(t[: len(t) - k] + n[:k])
+        (root, a), (_, b), (_, c) = slow_fingerprint(t), slow_fingerprint(t[: len(t) - k] + n[:k]), slow_fingerprint(n)
+        assert r.fingerprint == root + ":" + "".join(f"{x:06X}" for x in a)
+        like = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 1.0
+        assert (r.near_edited, r.near_next) == (like(a, b), like(a, c))
         assert (r.fingerprint == r.edited_fingerprint) == (t == t[: len(t) - k] + n[:k])
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
     assert by_id[rows[-2][0]].fingerprint == by_id[rows[-5][0]].fingerprint
