@@ -13,12 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: By application, the folder of sessions that name none.
+_UNSET: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set to a temporary folder only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="reelspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _UNSET.get(app) or _UNSET.setdefault(app, tempfile.mkdtemp(prefix="reelspark-"))
     return found.rstrip("/")
 
 
