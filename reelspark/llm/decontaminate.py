@@ -28,8 +28,8 @@ LEAST_WEIGHT = 0.05
 #: Bytes of test items handled (and broadcast) at once; larger benchmarks are taken block by block.
 BLOCK_BYTES = 4_000_000
 _FILTER_BITS = 20
-#: Alignments computed together.
-ALIGN_AT_ONCE = 256
+#: Cells of a row of alignments computed together: passages of like length, as many as fit.
+ALIGN_CELLS = 40_000
 
 
 class _Lookup:
@@ -123,9 +123,13 @@ def _count(items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def align(passages: list[np.ndarray], items: list[np.ndarray], weights: list[np.ndarray]) -> list[tuple[float, int]]:
     """Smith-Waterman: for each passage and item, the best local score over the item's weight, and the word after its end."""
-    out = []
-    for a in range(0, len(passages), ALIGN_AT_ONCE):
-        ps, its, ws = passages[a : a + ALIGN_AT_ONCE], items[a : a + ALIGN_AT_ONCE], weights[a : a + ALIGN_AT_ONCE]
+    out: list = [None] * len(passages)
+    order = sorted(range(len(passages)), key=lambda i: -len(passages[i]))
+    a = 0
+    while a < len(order):
+        part = order[a : a + max(1, ALIGN_CELLS // len(passages[order[a]]))]
+        a += len(part)
+        ps, its, ws = ([x[i] for i in part] for x in (passages, items, weights))
         wide, deep = max(map(len, ps)), max(map(len, its))
         p, q, w = np.zeros((len(ps), wide), np.uint64), np.ones((len(ps), deep), np.uint64), np.zeros((len(ps), deep))
         for i, (x, y, z) in enumerate(zip(ps, its, ws, strict=True)):
@@ -145,7 +149,8 @@ def align(passages: list[np.ndarray], items: list[np.ndarray], weights: list[np.
             better = top > best
             end[better] = row[better].argmax(1) + 1
             best = np.maximum(best, top)
-        out += list(zip((best / total).tolist(), end.tolist(), strict=True))
+        for i, score, stop in zip(part, (best / total).tolist(), end.tolist(), strict=True):
+            out[i] = (score, stop)
     return out
 
 
