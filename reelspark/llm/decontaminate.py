@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import shingles
+from reelspark.llm.shared import small_batches
 
 SEED_WORDS = 3
 #: Of so many n-grams in a row the rarest is a seed.
@@ -219,6 +220,7 @@ def _clean(seeds, text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[
 
 def _blocks(docs: DataFrame, text_col: str, items: DataFrame) -> Iterator:
     """Seeds of the benchmark, block by block: their counts over all documents are taken here, their use is lazy."""
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").dropna()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

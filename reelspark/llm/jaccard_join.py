@@ -20,44 +20,88 @@ from pyspark.sql import functions as F
 
 from reelspark.llm import shingles
 from reelspark.llm.components import components
-from reelspark.llm.shared import fresh, written
+from reelspark.llm.shared import fresh, small_batches, written
 
 #: Link when PARTS[1] * intersection >= PARTS[0] * union.
 PARTS = (75, 100)
 SHINGLE_WORDS = 5
-#: Shingles counted in one piece of a task: bounds the task's memory.
-COUNT_AT_ONCE = 4_000_000
-#: A shingle found this often is widely shared. At most WIDE_SHINGLES of them, the commonest, go last in the order; any
+#: Shingles dealt out in one piece of a task: bounds the task's memory.
+AT_ONCE = 500_000
+#: The share of a set's shingles, the least by hash, in which wide ones are counted; prefixes lie within it.
+COUNTED = 0.4
+#: A shingle of this many sets is widely shared. At most WIDE_SHINGLES of them, the commonest, go last in the order; any
 #: choice gives the same links, and this bounds what is broadcast to 12 MB.
-WIDE_FROM = 32
+WIDE_FROM = 8
 WIDE_SHINGLES = 1_000_000
 #: Document ids up to so many (16 bytes each) are broadcast when sets are fetched; more are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Before all open pairs are verified: rounds in which sets of larger meetings meet about so many others, in one of so
+#: many meetings. They change what is left to verify, not the links found.
+ROUNDS, MEET, RUN_SHARE = 2, 4, 4
 #: Stands for a null id.
 NULL_ID = -(1 << 63)
-#: Bits of a set's parity sketch. The difference of two sketches never exceeds that of the sets.
-SKETCH_BITS = 1024
+#: Bits of a set's parity sketch: at least twice its size, between these bounds. The difference of two sketches never
+#: exceeds that of the sets, so pairs that differ too much for their sizes cannot link.
+SKETCH_BITS = (256, 1 << 17)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Codes (upper halves of shingle hashes) found at least twice among some millions, with their counts."""
+def _prefix_length(n: int) -> int:
+    part, whole = PARTS
+    return n - -(-part * n // whole) + 1 if n else 0
+
+
+def _by_bucket(buckets: int, bucket: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+    """(bucket, entries): one row for every bucket with entries, as bytes."""
+    by = np.argsort(bucket, kind="stable")
+    bucket, entries = bucket[by], entries[by]
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    used = np.flatnonzero(cuts[1:] > cuts[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([entries[cuts[u] : cuts[u + 1]].tobytes() for u in used], pa.binary())], ["bucket", "entries"])
+
+
+def _codes(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, entries): the upper 48 bits of the counted shingles of each set, equal sets of a piece once."""
 
     def told(held: list[np.ndarray]) -> pa.RecordBatch:
-        codes, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(codes[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["code", "n"])
+        codes = np.concatenate(held) >> np.uint64(16)
+        return _by_bucket(buckets, (codes % np.uint64(buckets)).astype(np.int64), np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8)[:, :6]))
 
-    held, size = [], 0
+    held, size, seen = [], 0, set()
     for batch in batches:
         for s in shingles.sets(batch.column("text"), SHINGLE_WORDS):
-            held.append((s >> np.uint64(32)).astype(np.uint32))
-            size += len(s)
-            if size >= COUNT_AT_ONCE:
-                yield told(held)
-                held, size = [], 0
+            ref = int(_hash_of(s, 1))
+            if len(s) and ref not in seen:
+                seen.add(ref)
+                held.append(s[: max(_prefix_length(len(s)), int(COUNTED * len(s)))])
+                size += len(held[-1])
+                if size >= AT_ONCE:
+                    yield told(held)
+                    held, size, seen = [], 0, set()
     if held:
         yield told(held)
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, n) of the shingles found at least WIDE_FROM times, of whole buckets."""
+    by_bucket: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for b, x in zip(batch.column("bucket").to_pylist(), batch.column("entries"), strict=True):
+            by_bucket.setdefault(b, []).append(np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6))
+    for b in list(by_bucket):
+        packed = np.concatenate(by_bucket.pop(b))
+        wide = np.zeros((len(packed), 8), np.uint8)
+        wide[:, :6] = packed
+        codes = np.sort(wide.view(np.uint64).reshape(-1))
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        n = np.diff(np.append(first, len(codes)))
+        often = n >= WIDE_FROM
+        yield pa.RecordBatch.from_arrays([pa.array(codes[first][often].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["code", "n"])
+
+
+#: What a prefix shingle is dealt as: its hash, its group, the size of the group's sets.
+ENTRY = np.dtype([("s", np.uint64), ("g", np.uint64), ("n", np.uint32)])
+
+
 class _Order:
     """The order of shingles: those that are not wide by hash, then wide ones, rarer first."""
 
@@ -65,14 +109,13 @@ class _Order:
         rank = np.empty(len(codes), np.int64)
         rank[np.lexsort((codes, counts))] = np.arange(len(codes))
         by_code = np.argsort(codes)
-        self.codes, self.ranks = codes[by_code].astype(np.uint32), rank[by_code].astype(np.uint32)
+        self.codes, self.ranks = codes[by_code].astype(np.uint64), rank[by_code].astype(np.uint32)
 
     def prefix(self, s: np.ndarray) -> np.ndarray:
-        part, whole = PARTS
-        length = len(s) - -(-part * len(s) // whole) + 1
+        length = _prefix_length(len(s))
         if not len(self.codes) or not len(s):
             return s[:length]
-        codes = (s >> np.uint64(32)).astype(np.uint32)
+        codes = s >> np.uint64(16)
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         wide = self.codes[at] == codes
         if not wide[: length + 1].any():
@@ -88,6 +131,31 @@ def _hash_of(s: np.ndarray, salt: int) -> np.uint64:
     return shingles.mixed(s.sum(dtype=np.uint64, keepdims=True) + np.array([(salt + len(s)) * shingles.BASE % (1 << 64)], np.uint64))[0]
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Whether an odd number of hashes ends in each possible way, as bits."""
+    low, high = SKETCH_BITS
+    bits = min(max(1 << (2 * len(s) - 1).bit_length(), low), high)
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the pairs that may link by their sizes and sketches; the longer sketch is folded to the shorter's length."""
+    part, whole = PARTS
+    for batch in batches:
+        keep = []
+        for x, y, n, m in zip(batch.column("k_a"), batch.column("k_b"), batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            while len(x) != len(y):
+                x, y = (x, y) if len(x) > len(y) else (y, x)
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            apart = int(np.bitwise_count(x ^ y).sum())
+            # The intersection is at most (n + m - apart) / 2, and links from part / (part + whole) of both sizes.
+            keep.append((part + whole) * (n + m - apart) >= 2 * part * (n + m))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+
 def _describe(order, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, ref, grp, sketch): set size, hash of the set, hash of prefix and size, parity sketch; nulls for empty sets."""
     order = order.value
@@ -99,8 +167,7 @@ def _describe(order, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 p = order.prefix(s)
                 ref.append(_hash_of(s, 1).astype(np.int64))
                 grp.append(_hash_of(p, 2 + len(s)).astype(np.int64))
-                odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                sketch.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                sketch.append(_sketch(s))
             else:
                 ref.append(None)
                 grp.append(None)
@@ -117,22 +184,11 @@ def _deal(order, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
     def told(held: list, groups: list) -> pa.RecordBatch:
         lengths = [len(p) for p in held]
-        table = np.empty((sum(lengths), 3), np.uint64)
-        table[:, 0] = np.concatenate(held)
-        table[:, 1] = np.repeat(np.array([g for g, _ in groups], np.uint64), lengths)
-        table[:, 2] = np.repeat(np.array([n for _, n in groups], np.uint64), lengths)
-        bucket = (table[:, 0] % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        table, bucket = table[by], bucket[by]
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        used = np.flatnonzero(cuts[1:] > cuts[:-1])
-        # Sizes take four of their eight bytes.
-        entry = np.dtype([("s", np.uint64), ("g", np.uint64), ("n", np.uint32)])
-        out = np.empty(len(table), entry)
-        out["s"], out["g"], out["n"] = table[:, 0], table[:, 1], table[:, 2]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array([out[cuts[u] : cuts[u + 1]].tobytes() for u in used], pa.binary())], ["bucket", "entries"]
-        )
+        out = np.empty(sum(lengths), ENTRY)
+        out["s"] = np.concatenate(held)
+        out["g"] = np.repeat(np.array([g for g, _ in groups], np.uint64), lengths)
+        out["n"] = np.repeat(np.array([n for _, n in groups], np.uint32), lengths)
+        return _by_bucket(buckets, (out["s"] % np.uint64(buckets)).astype(np.int64), out)
 
     held, groups, size, seen = [], [], 0, set()
     for batch in batches:
@@ -147,7 +203,7 @@ def _deal(order, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             held.append(p)
             groups.append((g, len(s)))
             size += len(p)
-            if size >= COUNT_AT_ONCE // 2:
+            if size >= AT_ONCE:
                 yield told(held, groups)
                 held, groups, size, seen = [], [], 0, set()
     if held:
@@ -156,11 +212,10 @@ def _deal(order, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(run, grp, n): groups that meet at a shingle with sizes near enough, under the hash of their list; equal lists once."""
-    entry = np.dtype([("s", np.uint64), ("g", np.uint64), ("n", np.uint32)])
     by_bucket: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for b, x in zip(batch.column("bucket").to_pylist(), batch.column("entries"), strict=True):
-            by_bucket.setdefault(b, []).append(np.frombuffer(x.as_py(), entry))
+            by_bucket.setdefault(b, []).append(np.frombuffer(x.as_py(), ENTRY))
     part, whole = PARTS
     seen: set[int] = set()
     for b in list(by_bucket):
@@ -193,38 +248,31 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ref, hashes): the whole set of each text as bytes, if it is the set asked for."""
-    for batch in batches:
-        found = [s.tobytes() if len(s) and _hash_of(s, 1).astype(np.int64) == r else None for s, r in zip(shingles.sets(batch.column("text"), SHINGLE_WORDS), batch.column("ref").to_pylist(), strict=True)]
-        out = pa.RecordBatch.from_arrays([batch.column("ref"), pa.array(found, pa.binary())], ["ref", "hashes"])
-        yield out.filter(out.column("hashes").is_valid())
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of the pairs whose sets link."""
+    """(a, b) of the pairs whose texts x and y have the sets asked for, and whose sets link."""
     part, whole = PARTS
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        both_sets = zip(shingles.sets(batch.column("x"), SHINGLE_WORDS), shingles.sets(batch.column("y"), SHINGLE_WORDS), strict=True)
+        for (x, y), a, b in zip(both_sets, batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             both = np.concatenate([x, y])
             both.sort(kind="stable")
             common = int((both[1:] == both[:-1]).sum())
-            keep.append(whole * common >= part * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+            ok = whole * common >= part * (len(x) + len(y) - common)
+            keep.append(bool(ok and _hash_of(x, 1).astype(np.int64) == a and _hash_of(y, 1).astype(np.int64) == b))
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
 
 class _Join:
     def __init__(self, docs: DataFrame):
         self.docs, self.spark = docs, docs.sparkSession
-        wide = (
-            docs.select("text").mapInArrow(_count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= WIDE_FROM).orderBy(F.desc("n"), "code").limit(WIDE_SHINGLES).toPandas()
-        )
+        small_batches(self.spark)
+        parts = self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = docs.select("text").mapInArrow(partial(_codes, 4 * parts), "bucket int, entries binary").repartition(parts, "bucket")
+        wide = dealt.mapInArrow(_tally, "code bigint, n bigint").orderBy(F.desc("n"), "code").limit(WIDE_SHINGLES).toPandas()
         self.order = self.spark.sparkContext.broadcast(_Order(wide["code"].to_numpy(), wide["n"].to_numpy()))
         self.meta = written(docs.mapInArrow(partial(_describe, self.order), "doc_id bigint, n int, ref bigint, grp bigint, sketch binary"), "sets-meta")
-        # Whole rows that stand in the table more than once: only then fetched sets need to be told apart again.
+        # Whole rows that stand in the table more than once: only then fetched texts need to be told apart again.
         self.repeated = not self.meta.where("n > 0").groupBy("doc_id", "ref").count().where("count > 1").isEmpty()
         sketch = F.first("sketch")
         self.sets = written(
@@ -233,9 +281,8 @@ class _Join:
 
     def runs(self) -> DataFrame:
         """(run, ref, n): the sets that meet, at a shingle or in a group."""
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = self.docs.select("text").mapInArrow(partial(_deal, self.order, 4 * parts), "bucket int, entries binary")
-        met = written(dealt.repartition(parts, "bucket").mapInArrow(_meet, "run bigint, grp bigint, n int").distinct(), "meetings")
+        dealt = self.docs.select("text").mapInArrow(partial(_deal, self.order, 4 * self.parts), "bucket int, entries binary")
+        met = written(dealt.repartition(self.parts, "bucket").mapInArrow(_meet, "run bigint, grp bigint, n int").distinct(), "meetings")
         return met
 
     def links(self, pairs: DataFrame, label: str) -> DataFrame:
@@ -243,23 +290,17 @@ class _Join:
         part, whole = PARTS
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().where("a <> b")
         side = lambda s: self.sets.select(F.col("ref").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"k_{s}"))
-        words = lambda s: [F.conv(F.hex(F.substring(s, 1 + 8 * i, 8)), 16, -10).cast("bigint") for i in range(SKETCH_BITS // 64)]
-        apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(words("k_a"), words("k_b"), strict=True)), F.lit(0))
-        # |difference| >= apart, so the intersection is at most (n_a + n_b - apart) / 2; it links only from part/(part+whole) of both sizes.
-        few = written(
-            pairs.join(side("a"), "a").join(side("b"), "b")
-            .where((part * F.greatest("n_a", "n_b") <= whole * F.least("n_a", "n_b")))
-            .where((part + whole) * (F.col("n_a") + F.col("n_b") - apart) >= 2 * part * (F.col("n_a") + F.col("n_b")))
-            .select("a", "b"),
-            f"pairs-{label}",
-        )
+        near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{part} * greatest(n_a, n_b) <= {whole} * least(n_a, n_b)")
+        few = written(near.select("a", "b", "n_a", "n_b", "k_a", "k_b").mapInArrow(_sift, "a bigint, b bigint"), f"pairs-{label}")
         needed = few.select(F.col("a").alias("ref")).union(few.select("b")).distinct().join(self.sets.select("ref", "rep"), "ref").select("ref", F.col("rep").alias("doc_id"))
         if needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
             needed = F.broadcast(needed)
-        # An id may stand on several rows with different texts: the set's own hash picks the right one.
-        fetched = self.docs.join(needed, "doc_id").select("ref", "text").mapInArrow(_fetch, "ref bigint, hashes binary")
-        held = written(fetched.dropDuplicates(["ref"]) if self.repeated else fetched, f"sets-{label}")
-        both = few.join(held.select(F.col("ref").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("ref").alias("b"), F.col("hashes").alias("y")), "b")
+        # Texts travel, not sets: compressed, they are less than half as large. An id may stand on several rows with
+        # different texts: the set's own hash tells the right one.
+        texts = self.docs.join(needed, "doc_id").select("ref", "text")
+        if self.repeated:
+            texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["ref", "h"]).select("ref", "text")
+        both = few.join(texts.select(F.col("ref").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("ref").alias("b"), F.col("text").alias("y")), "b")
         return written(both.mapInArrow(_verify, "a bigint, b bigint"), f"links-{label}")
 
 
@@ -280,22 +321,37 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     met = meetings.join(leads, "grp").select("run", F.col("lead").alias("ref"), "n")
     hubs = met.groupBy("run").agg(F.min("ref").alias("hub"))
     stars = written(inside.union(met.join(hubs, "run").select(F.col("hub").alias("a"), F.col("ref").alias("b"))).where("a <> b").distinct(), "stars")
-    first = join.links(stars, "stars")
-    labels = components(first)
-    # Every pair that met, or shares a group, and is not yet connected.
-    joint = lambda lab: sets.join(lab.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "grp", "n", F.coalesce("label", "ref").alias("label"))
-    placed = written(joint(labels), "placed")
-    groups = placed.select(F.xxhash64(F.col("grp"), F.lit("group")).alias("run"), "ref", "n", "label").join(
-        placed.groupBy(F.xxhash64(F.col("grp"), F.lit("group")).alias("run")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("run"), "run", "left_semi"
-    )
-    spread = meetings.select("run", "grp").join(placed, "grp").select("run", "ref", "n", "label")
-    mixed = spread.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("run")
-    open_runs = written(spread.join(mixed, "run", "left_semi").unionByName(groups), "open-runs")
+    edges = join.links(stars, "stars")
+    labels = components(edges)
+    runs = written(met.select("run", "ref").join(hubs, "run").select("run", "hub").distinct(), "hubs")
     part, whole = PARTS
-    left, right = (open_runs.select("run", F.col("ref").alias(s), F.col("n").alias(f"n_{s}"), F.col("label").alias(f"l_{s}")) for s in "ab")
-    rest = left.join(right, "run").where("a < b and l_a <> l_b").where(f"{part} * greatest(n_a, n_b) <= {whole} * least(n_a, n_b)").select("a", "b")
-    second = join.links(rest, "rest")
-    labels = components(first.union(second))
+    near = f"{part} * greatest(n_a, n_b) <= {whole} * least(n_a, n_b)"
+
+    def still_open() -> DataFrame:
+        """(run, m, ref, n, label): the sets of meetings, and of groups, that lie in different components yet."""
+        placed = written(sets.join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "grp", "n", F.coalesce("label", "ref").alias("label")), "placed")
+        groups = placed.select(F.xxhash64(F.col("grp"), F.lit("group")).alias("run"), "ref", "n", "label")
+        spread = meetings.select("run", "grp").join(placed, "grp").select("run", "ref", "n", "label").unionByName(groups)
+        mixed = spread.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("run", "m")
+        return written(spread.join(mixed, "run"), "open")
+
+    def pairs_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+        left, right = (rows.select(*keys, F.col("ref").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"l_{x}")) for x in "ab")
+        return left.join(right, keys).where("a < b and l_a <> l_b").where(near).select("a", "b")
+
+    # Sets of large meetings first meet a few others by chance: nearly all that can link do so here, for a few pairs each.
+    for salt in range(ROUNDS):
+        large = still_open().where(F.col("m") > MEET).where(F.pmod(F.xxhash64("run", F.lit(salt)), F.lit(RUN_SHARE)) == 0)
+        table = F.pmod(F.xxhash64("ref", "run", F.lit(salt)), F.ceil(F.col("m") / MEET))
+        more = join.links(pairs_of(large.withColumn("table", table), ["run", "table"]), f"round-{salt}")
+        if more.isEmpty():
+            break
+        edges = edges.union(more)
+        labels = components(edges)
+    # Then every pair that met and is not connected is verified. Meetings under one hub are joined as one, so that a pair
+    # comes up once for each hub, not once for each shingle that it shares.
+    rest = still_open().join(runs, "run", "left").select(F.coalesce("hub", "run").alias("hub"), "ref", "n", "label").distinct()
+    labels = components(edges.union(join.links(pairs_of(rest, ["hub"]), "rest")))
     least = sets.select("ref").join(labels.withColumnRenamed("node", "ref"), "ref", "left").join(join.sets.select("ref", "rep"), "ref").select("ref", "rep", F.coalesce("label", "ref").alias("label"))
     ends = least.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_ref = least.join(ends, "label").select("ref", "component_id")

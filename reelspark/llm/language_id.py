@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import shingles
+from reelspark.llm.shared import small_batches
 
 #: Expected rows of each language that the model is fitted on, chosen by a hash of their ids.
 FIT_ROWS = 400
@@ -84,6 +85,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text"):
     """A broadcast Model learnt from the rows of docs with a language and a text; without any it knows no language."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = docs.select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in counts)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import shingles
-from reelspark.llm.shared import written
+from reelspark.llm.shared import small_batches, written
 
 #: The model is fitted on labelled rows up to about this many, chosen by a hash of their ids.
 FIT_ROWS = 24_000
@@ -173,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Without any labelled text the model gives every text the score of a clean one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.select(F.col(id_col).cast("bigint").alias("k"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("k").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("k"), "k").limit(rows)
     texts = docs.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "k")
