@@ -3,6 +3,8 @@
 Two documents link when their sets of distinct word shingles have a Jaccard likeness of at least the threshold. Sets
 that link share a shingle among the first n - ceil(t n) + 1 in any fixed order; the order here puts widely shared
 shingles last. Documents with the same prefix and size form one group; groups, not documents, meet at the shingles.
+Of sets that meet first at places i and j of that order, the smaller rest, n - i or m - j, bounds what they share: groups
+whose rests are too short for their sizes are no pair, however many share the shingle.
 A chain of exact steps follows: stars inside every meeting are verified first and give components; then every pair of
 sets that met but lies in different components is verified. So no link between different components is lost, and large
 groups of near copies never expand into all pairs.
@@ -98,8 +100,8 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(codes[first][often].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["code", "n"])
 
 
-#: What a prefix shingle is dealt as: its hash, its group, the size of the group's sets.
-ENTRY = np.dtype([("s", np.uint64), ("g", np.uint64), ("n", np.uint32)])
+#: What a prefix shingle is dealt as: its hash, its group, the size of the group's sets, its place in their prefix.
+ENTRY = np.dtype([("s", np.uint64), ("g", np.uint64), ("n", np.uint32), ("p", np.uint32)])
 
 
 class _Order:
@@ -179,7 +181,7 @@ def _describe(order, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _deal(order, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, entries): for every bucket of prefix shingles, (shingle, group, size) triples as bytes, repeated ones once."""
+    """(bucket, entries): for every bucket of prefix shingles, its entries (ENTRY) as bytes, repeated groups of a piece once."""
     order = order.value
 
     def told(held: list, groups: list) -> pa.RecordBatch:
@@ -188,6 +190,7 @@ def _deal(order, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         out["s"] = np.concatenate(held)
         out["g"] = np.repeat(np.array([g for g, _ in groups], np.uint64), lengths)
         out["n"] = np.repeat(np.array([n for _, n in groups], np.uint32), lengths)
+        out["p"] = np.concatenate([np.arange(length) for length in lengths])
         return _by_bucket(buckets, (out["s"] % np.uint64(buckets)).astype(np.int64), out)
 
     held, groups, size, seen = [], [], 0, set()
@@ -210,14 +213,26 @@ def _deal(order, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         yield told(held, groups)
 
 
+def _hopeful(e: np.ndarray) -> np.ndarray:
+    """Entries, sorted by shingle and size, that may link with a set as small as the least of their shingle, meeting there first."""
+    part, whole = PARTS
+    first = np.flatnonzero(np.append(True, e["s"][1:] != e["s"][:-1]))
+    least = np.repeat(e["n"][first], np.diff(np.append(first, len(e)))).astype(np.int64)
+    n = e["n"].astype(np.int64)
+    return e[(part + whole) * (n - e["p"]) >= part * (n + least)]
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, grp, n): groups that meet at a shingle with sizes near enough, under the hash of their list; equal lists once."""
+    """(run, grp, n, p): groups that meet at a shingle with sizes near enough, under the hash of their list.
+
+    Of equal lists the one at the first shingle in the order stands for all: its rests are the longest for every group.
+    """
     by_bucket: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for b, x in zip(batch.column("bucket").to_pylist(), batch.column("entries"), strict=True):
             by_bucket.setdefault(b, []).append(np.frombuffer(x.as_py(), ENTRY))
     part, whole = PARTS
-    seen: set[int] = set()
+    seen: dict[int, int] = {}
     for b in list(by_bucket):
         e = np.concatenate(by_bucket.pop(b))
         # Only shingles of two entries or more are sorted in full.
@@ -230,21 +245,30 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = e[np.lexsort((e["g"], e["n"], e["s"]))]
         new = np.ones(len(e), bool)
         new[1:] = (e["s"][1:] != e["s"][:-1]) | (e["g"][1:] != e["g"][:-1])
-        e = e[new]
+        e = _hopeful(e[new])
+        if not len(e):
+            continue
         cut = np.ones(len(e), bool)
         cut[1:] = (e["s"][1:] != e["s"][:-1]) | (part * e["n"][1:].astype(np.int64) > whole * e["n"][:-1].astype(np.int64))
         first = np.flatnonzero(cut)
         length = np.diff(np.append(first, len(e)))
         key = shingles.mixed(np.add.reduceat(shingles.mixed(e["g"]), first))
-        _, once = np.unique(key, return_index=True)
+        place = e["p"][first]
+        by = np.lexsort((place, key))
         pick = np.zeros(len(first), bool)
-        pick[once] = True
+        pick[by[np.append(True, key[by][1:] != key[by][:-1])]] = True
         pick &= length > 1
-        pick &= np.array([k not in seen for k in key.tolist()], bool)
-        seen.update(key[pick].tolist())
+        pick &= np.array([seen.get(k, p + 1) > p for k, p in zip(key.tolist(), place.tolist(), strict=True)], bool)
+        seen.update(zip(key[pick].tolist(), place[pick].tolist(), strict=True))
         rows = np.repeat(pick, length)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(key, length)[rows].view(np.int64)), pa.array(e["g"][rows].copy().view(np.int64)), pa.array(e["n"][rows].astype(np.int32))], ["run", "grp", "n"]
+            [
+                pa.array(np.repeat(key, length)[rows].view(np.int64)),
+                pa.array(e["g"][rows].copy().view(np.int64)),
+                pa.array(e["n"][rows].astype(np.int32)),
+                pa.array(e["p"][rows].astype(np.int32)),
+            ],
+            ["run", "grp", "n", "p"],
         )
 
 
@@ -280,10 +304,10 @@ class _Join:
         )
 
     def runs(self) -> DataFrame:
-        """(run, ref, n): the sets that meet, at a shingle or in a group."""
+        """(run, grp, n, p): the groups that meet, and the first place where they do."""
         dealt = self.docs.select("text").mapInArrow(partial(_deal, self.order, 4 * self.parts), "bucket int, entries binary")
-        met = written(dealt.repartition(self.parts, "bucket").mapInArrow(_meet, "run bigint, grp bigint, n int").distinct(), "meetings")
-        return met
+        met = dealt.repartition(self.parts, "bucket").mapInArrow(_meet, "run bigint, grp bigint, n int, p int")
+        return written(met.groupBy("run", "grp", "n").agg(F.min("p").alias("p")), "meetings")
 
     def links(self, pairs: DataFrame, label: str) -> DataFrame:
         """The linking pairs (a, b) among pairs of sets, by sizes, sketches and then the whole sets."""
@@ -325,18 +349,18 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     labels = components(edges)
     runs = written(met.select("run", "ref").join(hubs, "run").select("run", "hub").distinct(), "hubs")
     part, whole = PARTS
-    near = f"{part} * greatest(n_a, n_b) <= {whole} * least(n_a, n_b)"
+    near = f"{part} * greatest(n_a, n_b) <= {whole} * least(n_a, n_b) and {part + whole} * least(n_a - p_a, n_b - p_b) >= {part} * (n_a + n_b)"
 
     def still_open() -> DataFrame:
-        """(run, m, ref, n, label): the sets of meetings, and of groups, that lie in different components yet."""
+        """(run, m, ref, n, p, label): the sets of meetings, and of groups, that lie in different components yet."""
         placed = written(sets.join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "grp", "n", F.coalesce("label", "ref").alias("label")), "placed")
-        groups = placed.select(F.xxhash64(F.col("grp"), F.lit("group")).alias("run"), "ref", "n", "label")
-        spread = meetings.select("run", "grp").join(placed, "grp").select("run", "ref", "n", "label").unionByName(groups)
+        groups = placed.select(F.xxhash64(F.col("grp"), F.lit("group")).alias("run"), "ref", "n", F.lit(0).alias("p"), "label")
+        spread = meetings.select("run", "grp", "p").join(placed, "grp").select("run", "ref", "n", "p", "label").unionByName(groups)
         mixed = spread.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("run", "m")
         return written(spread.join(mixed, "run"), "open")
 
     def pairs_of(rows: DataFrame, keys: list[str]) -> DataFrame:
-        left, right = (rows.select(*keys, F.col("ref").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"l_{x}")) for x in "ab")
+        left, right = (rows.select(*keys, F.col("ref").alias(x), F.col("n").alias(f"n_{x}"), F.col("p").alias(f"p_{x}"), F.col("label").alias(f"l_{x}")) for x in "ab")
         return left.join(right, keys).where("a < b and l_a <> l_b").where(near).select("a", "b")
 
     # Sets of large meetings first meet a few others by chance: nearly all that can link do so here, for a few pairs each.
@@ -349,8 +373,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         edges = edges.union(more)
         labels = components(edges)
     # Then every pair that met and is not connected is verified. Meetings under one hub are joined as one, so that a pair
-    # comes up once for each hub, not once for each shingle that it shares.
-    rest = still_open().join(runs, "run", "left").select(F.coalesce("hub", "run").alias("hub"), "ref", "n", "label").distinct()
+    # comes up once for each hub, not once for each shingle that it shares; a set counts from its first place under the hub.
+    rest = still_open().join(runs, "run", "left").groupBy(F.coalesce("hub", "run").alias("hub"), "ref", "n", "label").agg(F.min("p").alias("p"))
     labels = components(edges.union(join.links(pairs_of(rest, ["hub"]), "rest")))
     least = sets.select("ref").join(labels.withColumnRenamed("node", "ref"), "ref", "left").join(join.sets.select("ref", "rep"), "ref").select("ref", "rep", F.coalesce("label", "ref").alias("label"))
     ends = least.groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -111,6 +111,19 @@ def test_links_equal_brute_force(spark, monkeypatch, seed, wide):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("seed,wide", [(4, 8), (5, 1000)])
+def test_a_passage_in_very_many_texts(spark, monkeypatch, seed, wide):
+    """Texts around one passage, of which some link by it and most just do not."""
+    monkeypatch.setattr(jaccard_join, "WIDE_FROM", wide)
+    rng = random.Random(seed)
+    passage = words(rng, 60)
+    rows = [(i, " ".join(words(rng, rng.randrange(0, 25)) + passage + words(rng, rng.randrange(0, 25)))) for i in range(220)]
+    got = jaccard_join.link(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    want = brute(rows)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert 20 < len({c for _, _, c in want}) < 215
+
+
 def test_one_of_each_group_stays(spark):
     rng = random.Random(5)
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(corpus(rng, 80))]
