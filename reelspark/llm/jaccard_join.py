@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from reelspark.llm import shingles
 from reelspark.llm.components import components
@@ -328,13 +329,8 @@ class _Join:
         return written(both.mapInArrow(_verify, "a bigint, b bigint"), f"links-{label}")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: the set's size and the least id reachable by links, its own included.
-
-    Words are split at white space, A-Z lower-cased; a text of fewer words than a shingle is one shingle of all its
-    words. Null and blank texts have an empty set and link with nothing. Rows with equal texts link even under one id.
-    Rows with null ids count as one id, the least of all. An empty table gives no rows.
-    """
+def _placed_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[_Join, DataFrame]:
+    """The join's tables, and (ref, rep, label) of every set with words: its least id and its component."""
     docs = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     join = _Join(docs)
     meetings = join.runs()
@@ -377,6 +373,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rest = still_open().join(runs, "run", "left").groupBy(F.coalesce("hub", "run").alias("hub"), "ref", "n", "label").agg(F.min("p").alias("p"))
     labels = components(edges.union(join.links(pairs_of(rest, ["hub"]), "rest")))
     least = sets.select("ref").join(labels.withColumnRenamed("node", "ref"), "ref", "left").join(join.sets.select("ref", "rep"), "ref").select("ref", "rep", F.coalesce("label", "ref").alias("label"))
+    return join, least
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row: the set's size and the least id reachable by links, its own included.
+
+    Words are split at white space, A-Z lower-cased; a text of fewer words than a shingle is one shingle of all its
+    words. Null and blank texts have an empty set and link with nothing. Rows with equal texts link even under one id.
+    Rows with null ids count as one id, the least of all. An empty table gives no rows.
+    """
+    join, least = _placed_sets(docs, id_col, text_col)
     ends = least.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_ref = least.join(ends, "label").select("ref", "component_id")
     real = lambda c: F.expr(f"nullif({c}, {NULL_ID})")
@@ -385,19 +392,34 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
+def _with_ref(text_col: str, ref: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the hashes of their sets; null for empty sets."""
+    for batch in batches:
+        refs = [_hash_of(s, 1).astype(np.int64) if len(s) else None for s in shingles.sets(batch.column(text_col), SHINGLE_WORDS)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(refs, pa.int64())], [*batch.schema.names, ref])
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that link, directly or through others, with a row of a lesser id; all columns are kept.
+    """docs with one row of each group of rows that link, directly or through others; all columns are kept.
 
-    Of rows that repeat an id with equal texts (and words in them) one stays; rows without words all stay. An id that
-    stands on rows with different texts stays wherever one of them is the least of its group.
+    The row of the least id stays, whether ids are null (the least of all), repeated or neither; of several such rows
+    those of the set of the least hash, and of these one with the least hash of its text. Rows without words all stay.
     """
-    linked = link(docs, id_col, text_col)
-    k, h, apart = (fresh(docs, x) for x in ("k", "h", "apart"))
-    kept = written(linked.where("doc_id <=> component_id").groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias(k)).agg(F.count("*").alias("n"), F.max("n_shingles").alias("most")), "kept")
+    join, least = _placed_sets(docs, id_col, text_col)
+    k, ref, apart = (fresh(docs, x) for x in ("k", "ref", "apart"))
+    heads = written(least.groupBy("label").agg(F.min(F.struct("rep", "ref")).alias("head")).select(F.col("head.rep").alias(k), F.col("head.ref").alias(ref)), "heads")
+    ids = join.meta.groupBy(F.col("doc_id").alias(k)).agg(F.count("*").alias("rows"), F.max("n").alias("most"))
+    ids = written(ids.join(heads.select(k).distinct().withColumn("head", F.lit(True)), k, "left").where("rows > 1 or most = 0 or head").select(k, "rows"), "kept")
     rows = docs.withColumn(k, F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)))
-    single = rows.join(kept.where("n = 1").select(k), k, "left_semi").select(*docs.columns)
-    # Ids on several rows: a few; each text once, but for those without words.
-    several = rows.join(kept.where("n > 1").select(k), k, "left_semi").withColumn(h, F.xxhash64(text_col))
-    blank = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    several = several.withColumn(apart, F.when(blank, F.lit(0)).otherwise(F.monotonically_increasing_id()))
-    return single.unionByName(several.dropDuplicates([k, h, apart]).select(*docs.columns))
+    single = rows.join(ids.where("rows = 1").select(k), k, "left_semi").select(*docs.columns)
+    repeated = ids.where("rows > 1").select(k)
+    if repeated.isEmpty():
+        return single
+    # Ids on several rows: each row's own set tells whether it is the one that stays. Equal sets of an id come down to one
+    # row before they are looked up, so that no id or set gathers its rows in one task.
+    several = rows.join(repeated, k, "left_semi").select(*docs.columns, k)
+    several = several.mapInArrow(partial(_with_ref, text_col, ref), StructType([*several.schema.fields, StructField(ref, LongType())]))
+    several = several.withColumn(apart, F.when(F.col(ref).isNull(), F.monotonically_increasing_id()))
+    one = several.groupBy(k, ref, apart).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text_col)).alias("row"))
+    one = one.join(heads.withColumn("head", F.lit(True)), [k, ref], "left").where(F.col(ref).isNull() | F.col("head")).select("row.*")
+    return single.unionByName(one)

@@ -132,6 +132,22 @@ def test_one_of_each_group_stays(spark):
     assert jaccard_join.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_one_of_each_group_stays_under_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    text = lambda w, *end: " ".join([*w, *end])
+    rows = [(None, text(a)), (None, text(a, "x")), (None, text(a).upper()), (None, text(a).replace(" ", "\n")), (None, text(b)), (1, text(b, "y"))]
+    rows += [(2, text(c)), (3, text(c, "z")), (3, text(d)), (3, text(d, "x")), (3, text(d)), (4, text(e)), (4, text(e).upper()), (5, text(e, "x"))]
+    blank = [(None, None), (None, None), (None, " "), (3, ""), (3, ""), (6, None)]
+    want = [(None, a), (None, b), (2, c), (3, d), (4, e)]
+    for seed in range(2):
+        data = [(i, t, "en", "s", 0) for i, t in rows + blank]
+        random.Random(seed).shuffle(data)
+        kept = [(r.doc_id, (r.text or "").lower().split()) for r in jaccard_join.keep_one(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()]
+        assert sorted(i or 0 for i, w in kept if not w) == [0, 0, 0, 3, 3, 6]
+        assert sorted((i or 0, w[:60]) for i, w in kept if w) == sorted((i or 0, w) for i, w in want)
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 400), (400, 500), (7, 7)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
