@@ -23,6 +23,8 @@ SEED_WORDS = 3
 SEED_WINDOW = 3
 #: Share of an item's weight that an alignment reaches in a contaminated document.
 THRESHOLD = 0.4
+#: Or what it reaches, in units of the item's mean word weight: a passage of so many words of a longer item is a copy too.
+LONG_RUN = 50
 #: Costs in units of the item's mean word weight.
 MISMATCH, GAP = 0.6, 0.4
 LEAST_WEIGHT = 0.05
@@ -33,6 +35,11 @@ _FILTER_BITS = 20
 ALIGN_CELLS = 40_000
 
 
+def _enough(words: int) -> float:
+    """The share of its weight that an alignment with an item of so many words must reach."""
+    return min(THRESHOLD, LONG_RUN / words)
+
+
 class _Lookup:
     """Places of hashes in a sorted table, with a bitmap that turns away most others."""
 
@@ -181,7 +188,7 @@ def _windows(seeds: _Seeds, data: np.ndarray, offsets: np.ndarray) -> Iterator[t
         a, b = max(first[t], start - slack), min(first[t + 1], stop + slack)
         passage = words[a:b]
         weight = seeds.weights[item]
-        if weight[np.isin(seeds.words[item], passage)].sum() >= THRESHOLD * weight.sum():
+        if weight[np.isin(seeds.words[item], passage)].sum() >= _enough(length) * weight.sum():
             yield int(t), int(item), int(a - first[t]), passage
 
 
@@ -191,7 +198,7 @@ def _hits(seeds: _Seeds, texts: pa.Array) -> Iterator[tuple[int, int, float, int
         found = list(_windows(seeds, data, offsets))
         scores = align([p for *_, p in found], [seeds.words[i] for _, i, *_ in found], [seeds.weights[i] for _, i, *_ in found])
         for (t, item, start, _), (score, end) in zip(found, scores, strict=True):
-            if score >= THRESHOLD:
+            if score >= _enough(len(seeds.words[item])):
                 yield row + t, item, score, start, start + end
 
 
@@ -222,11 +229,11 @@ def _blocks(docs: DataFrame, text_col: str, items: DataFrame) -> Iterator:
     """Seeds of the benchmark, block by block: their counts over all documents are taken here, their use is lazy."""
     small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").dropna()
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").dropna(subset=["text"])
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES)
     for b in range(n):
-        block = _Items(sorted(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).distinct().collect(), key=lambda r: (r["item_id"], r["text"])))
+        block = _Items(sorted(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).distinct().collect(), key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"])))
         if not block.ids:
             continue
         shared = context.broadcast(block)
@@ -244,7 +251,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(doc_id, item_id, score, first_word, end_word): each document's best passage for every item that it holds.
 
     The passage looked at begins at first_word of the text, the alignment in it ends before end_word (words from 0).
-    items has item_id and text. score is the alignment's share of the item's weight, THRESHOLD at least. Words are runs
+    items has item_id and text; a null item_id is reported as it is. score is the alignment's share of the item's weight:
+    THRESHOLD at least, or for items of more than LONG_RUN / THRESHOLD words LONG_RUN mean word weights. Words are runs
     of ASCII letters, digits and other characters beyond ASCII; A-Z are lower-cased. Null texts, texts and items without
     words give nothing; repeated rows give their results each; an empty table on either side gives no rows.
     """

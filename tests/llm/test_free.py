@@ -201,6 +201,18 @@ def test_copies_and_edits_are_found_and_clean_texts_left(spark, monkeypatch):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_and_runs_of_long_items_are_found(spark):
+    rng = random.Random(12)
+    unnamed, long = words(rng, 25), words(rng, 500)
+    rows = [(0, words(rng, 40) + unnamed + words(rng, 40)), (1, words(rng, 90) + long[150:340] + words(rng, 90)), (2, long[10:80]), (3, words(rng, 50) + long[30:50] + words(rng, 50))]
+    rows += [(i, words(rng, 200)) for i in range(4, 40)]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in rows], SCHEMA)
+    bench = spark.createDataFrame([(None, " ".join(unnamed)), (1, " ".join(long)), (None, None), (2, None)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == {(0, None), (1, 1), (2, 1)} and got[1, 1] < decontaminate.THRESHOLD
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == list(range(3, 40))
+
+
 # -- classifiers
 
 def test_segments_are_the_maximal_ones():
