@@ -179,10 +179,11 @@ def bmp_pixels(media: DataFrame) -> DataFrame:
 
 
 def matroska(media: DataFrame) -> DataFrame:
-    """Elements of Matroska files with their payloads of up to 8 KiB: (object_id, seq, kind, offset, length, payload)."""
+    """Elements of Matroska files: (object_id, seq, kind, offset, length, payload). Payloads are whole; faults and masters over 8 KiB have none."""
     found = walk(media, "ebml")
     x = found.join(media.withColumnRenamed("object_id", "m_id"), F.col("object_id") == F.col("m_id"))
-    payload = F.when(F.col("length").between(0, 8192), F.expr("substring(content, int(offset) + 1, int(length))"))
+    nested = F.col("kind").isin("fault", *(f"{m:X}" for m in sorted(MASTERS)))
+    payload = F.when((F.col("length") >= 0) & (~nested | (F.col("length") <= 8192)), F.expr("substring(content, int(offset) + 1, int(length))"))
     return x.select("object_id", "seq", "kind", "offset", "length", payload.alias("payload"))
 
 
@@ -208,18 +209,62 @@ def matroska_tracks(elements: DataFrame) -> DataFrame:
     return named.select("object_id", "track", "codec_id", "codec", "kind", "width", "height", "sample_rate_hz", "channels", (F.col("kind").isNotNull() & first).alias("selected"))
 
 
+def lace_bounds(lacing: int | None, body: bytes | None) -> list[int] | None:
+    """Where the frames of a lace (1 Xiph, 2 fixed, 3 EBML) begin in the bytes after a block's header, and its end; null for a broken lace."""
+    if not body:
+        return None
+    n, at, sizes = body[0] + 1, 1, []
+    if lacing == 2:
+        size, left = divmod(len(body) - 1, n)
+        return None if left else [1 + size * i for i in range(n + 1)]
+    while len(sizes) < n - 1:
+        if lacing == 1:
+            size = 0
+            while at < len(body) and body[at] == 255:
+                size, at = size + 255, at + 1
+            if at >= len(body):
+                return None
+            size, at = size + body[at], at + 1
+        else:
+            w = 9 - body[at].bit_length() if at < len(body) and body[at] else 0
+            if not w or at + w > len(body):
+                return None
+            size = int.from_bytes(body[at : at + w], "big") - (1 << 7 * w)
+            if sizes:
+                size += sizes[-1] - ((1 << 7 * w - 1) - 1)
+            at += w
+        sizes.append(size)
+    if min(sizes, default=0) < 0 or at + sum(sizes) > len(body):
+        return None
+    return [at + sum(sizes[:i]) for i in range(n)] + [len(body)]
+
+
 def matroska_blocks(elements: DataFrame) -> DataFrame:
-    """(object_id, seq, track, ts, keyframe, lacing, payload) of blocks: a block's time is its cluster's plus its own 16 bits."""
+    """(object_id, seq, track, ts, keyframe, lacing, frame, payload, fault) of blocks, one row for each frame.
+
+    A block's time is its cluster's plus its own 16 bits; all frames of a lace share it and count from 0. A block that is
+    cut or has a broken header or lace is one row with fault, without frame and payload.
+    """
     order = Window.partitionBy("object_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     time = F.last(F.when(F.col("kind") == "E7", F.conv(F.hex("payload"), 16, 10).cast("bigint")), ignorenulls=True).over(order)
     blocks = elements.withColumn("cluster", time).where("kind in ('A3', 'A1')")
     p = F.col("payload")
     first = unsigned(p, 0, 1)
     w = bitstream.ebml_width(first)
-    rest = F.when(w == 1, F.lit(0)).otherwise(unsigned(p, 1, 1))
-    rel = F.when(w == 1, unsigned(p, 1, 2, False)).otherwise(unsigned(p, 2, 2, False))
-    flags = F.when(w == 1, unsigned(p, 3, 1)).otherwise(unsigned(p, 4, 1))
-    return blocks.where(w.between(1, 2)).select(
-        "object_id", "seq", bitstream.ebml_value(first, rest).alias("track"), (F.col("cluster") + F.when(rel >= 32768, rel - 65536).otherwise(rel)).alias("ts"),
-        ((F.col("kind") == "A3") & (flags.bitwiseAND(128) != 0)).alias("keyframe"), F.shiftright(flags, 1).bitwiseAND(3).cast("int").alias("lacing"), F.expr("substring(payload, 4 + CASE WHEN hex(substring(payload, 1, 1)) >= '80' THEN 1 ELSE 2 END)").alias("payload"),
+    rest = F.when(w == 1, F.lit(0).cast("bigint"))
+    for k in range(2, 9):
+        rest = rest.when(w == k, unsigned(p, 1, k - 1, False))
+    rel, flags = unsigned(p, w, 2, False), unsigned(p, w + 2, 1)
+    whole = (w > 0) & (F.length(p) == F.col("length")) & (F.length(p) >= w + 3)
+    body = F.substring(p, (w + 4).cast("int"), F.length(p))
+    told = lambda v: F.when(whole, v)
+    x = blocks.select(
+        "object_id", "seq", told(bitstream.ebml_value(first, rest)).alias("track"), told(F.col("cluster") + F.when(rel >= 32768, rel - 65536).otherwise(rel)).alias("ts"),
+        told((F.col("kind") == "A3") & (flags.bitwiseAND(128) != 0)).alias("keyframe"), told(F.shiftright(flags, 1).bitwiseAND(3).cast("int")).alias("lacing"), told(body).alias("body"),
     )
+    x = x.withColumn("bounds", F.udf(lace_bounds, "array<int>")("lacing", F.when(F.col("lacing") > 0, F.col("body"))))
+    at = lambda i: F.get(F.col("bounds"), i)
+    laced = F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), lambda i: F.substring(F.col("body"), at(i) + 1, at(i + 1) - at(i)))
+    frames = F.when(F.col("lacing") == 0, F.array("body")).when(F.col("bounds").isNotNull(), laced)
+    each = x.select("object_id", "seq", "track", "ts", "keyframe", "lacing", F.posexplode_outer(frames).alias("frame", "payload"))
+    return each.withColumn("fault", F.col("frame").isNull())

@@ -144,6 +144,21 @@ def test_matroska_tracks_and_blocks(spark):
     assert [(b.track, b.ts, b.keyframe, bytes(b.payload)) for b in blocks] == [(1, 995, True, b"ab"), (2, 1007, False, b"c"), (1, 2000, False, b"")]
 
 
+def test_matroska_blocks_of_any_length_lacing_and_track_width(spark):
+    big, a, b, c = bytes(range(256)) * 80, b"a" * 300, b"b" * 20, b"c" * 20
+    head = lambda track, flags: track + struct.pack(">hB", 1, flags)
+    xiph = head(b"\x81", 2) + b"\2" + bytes([255, 45, 20]) + a + b + c
+    fixed = head(b"\x81", 4) + b"\1" + b + c
+    ebml = head(b"\x81", 6) + b"\2" + struct.pack(">HH", 0x4000 | 300, 0x4000 | 8191 - 280) + a + b + c
+    bad = [head(b"\x81", 4) + b"\2" + b"1234", b"\x81\0", b"\0" * 9, b""]
+    blocks = [head(b"\x81", 0x80) + big, head(b"\x20\x40\0", 0) + b"x", head(b"\1" + bytes(5) + b"\1\2", 0) + b"y", xiph, fixed, ebml, *bad]
+    data = el("1F43B675", el("E7", b"\5") + b"".join(el("A3", x) for x in blocks), size=b"\xff") + el("A3", head(b"\x81", 0) + b"cut short")[:-2]
+    got = files.matroska_blocks(files.matroska(spark.createDataFrame([("m", data)], "object_id string, content binary"))).orderBy("seq", "frame").collect()
+    assert [bytes(r.payload) for r in got if not r.fault] == [big, b"x", b"y", a, b, c, b, c, a, b, c]
+    assert [r.track for r in got[:3]] == [1, 0x4000, 0x102] and got[0].keyframe and {r.ts for r in got if not r.fault} == {6}
+    assert [r.frame for r in got if r.lacing == 1] == [0, 1, 2] and [r.fault for r in got[11:]] == [True] * 5 and all(r.payload is None for r in got[11:])
+
+
 # -- streams
 
 def test_streaming_gaps_equal_the_batch_form(spark, tmp_path):
