@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.shared import fresh, span_arrays, text_of, written
+from reelspark.llm.shared import fresh, span_arrays, text_of, uncovered, written
 
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -18,7 +18,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Runs of token characters; those with too little variety are no candidates.
 BARE = r"[A-Za-z0-9+/_=-]{24,}"
-ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[A-Za-z0-9+/_=-]{24}"""
+#: What texts with candidates hold at least: searched in every text, so alternatives start only where they can.
+TOLD = r"""(?=[PpSsTtAa])(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
+RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24}"
 KINDS = ("assign", "access", "hex", "bare")
 #: A value held by more owners than this is a copied example.
 MAX_OWNERS = 3
@@ -28,8 +30,13 @@ MIN_VARIETY = 8
 FINDING = "struct<start:int,rank:int,stop:int,kind:string,digest:string,verdict:string,owners:bigint,repositories:bigint>"
 
 
+def _hit(text: Column) -> Column:
+    """Whether a text may hold a candidate."""
+    return ((text.contains(":") | text.contains("=")) & text.rlike(TOLD)) | text.contains("AKIA") | text.rlike(RUN)
+
+
 def _spans(text: Column) -> Column:
-    """array<struct<start, rank, stop, kind, digest>>: base spans, and bare ones that no base span overlaps."""
+    """array<struct<start, rank, stop, kind, digest>>: the spans of all kinds."""
 
     def kind(rank: int, found: Column, value) -> Column:
         return F.transform(
@@ -40,11 +47,9 @@ def _spans(text: Column) -> Column:
     secret = lambda v: F.regexp_extract(v, ASSIGN, 2)
     same = lambda v: v
     assign = kind(0, F.filter(span_arrays(text, ASSIGN), lambda s: F.length(secret(s["value"])) >= 6), secret)
-    base = F.concat(assign, kind(1, span_arrays(text, ACCESS), same), kind(2, span_arrays(text, HEX), same))
     varied = lambda v: v.rlike("[A-Za-z]") & v.rlike("[0-9]") & (F.size(F.array_distinct(F.split(v, ""))) >= MIN_VARIETY)
     bare = kind(3, F.filter(span_arrays(text, BARE), lambda s: varied(s["value"])), same)
-    free = F.filter(bare, lambda b: ~F.exists(base, lambda s: (s["start"] < b["stop"]) & (b["start"] < s["stop"])))
-    return F.array_sort(F.concat(base, free))
+    return F.concat(assign, kind(1, span_arrays(text, ACCESS), same), kind(2, span_arrays(text, HEX), same), bare)
 
 
 def scan(docs: DataFrame, text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -58,12 +63,13 @@ def scan(docs: DataFrame, text_col: str = "text", repository_col: str = "doc_id"
     docs = docs.drop("findings")
     row, spans = fresh(docs, "row"), fresh(docs, "spans")
     text = text_of(text_col)
-    hit = text.rlike(ANY)
+    hit = _hit(text)
     # The few rows that may hold something are written once, so that their row numbers hold in each later use.
     few = written(docs.where(hit).withColumns({spans: _spans(text), row: F.monotonically_increasing_id()}), "secrets")
-    each = few.select(row, F.col(owner_col).alias("own"), F.col(repository_col).alias("repo"), F.explode(spans).alias("s")).select(
-        row, "s", F.col("s.digest").alias("digest"), F.sha2(F.coalesce(F.col("own").cast("string"), F.lit("\0")), 256).alias("own"), F.sha2(F.coalesce(F.col("repo").cast("string"), F.lit("\0")), 256).alias("repo")
-    )
+    key = lambda c: F.sha2(F.coalesce(F.col(c).cast("string"), F.lit("\0")), 256)
+    each = few.select(row, key(owner_col).alias("own"), key(repository_col).alias("repo"), F.explode(spans).alias("s"))
+    # Bare tokens count where no base span overlaps them.
+    each = uncovered(each.select(row, "own", "repo", "s", F.col("s.digest").alias("digest"), "s.start", "s.stop", (F.col("s.rank") < 3).alias("base")), row, "base")
     # Distinct (value, owner, repository) first: a value in a third of all rows is summed before its rows meet.
     held = each.select("digest", "own", "repo").distinct().groupBy("digest", "own").agg(F.count("*").alias("n"))
     stats = held.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,25 +13,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: By application, the folder of sessions that name none.
+#: By application, the folder of local sessions that name none.
 _UNSET: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, as in tests, may leave it unset; it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _UNSET.get(app) or _UNSET.setdefault(app, tempfile.mkdtemp(prefix="reelspark-"))
     return found.rstrip("/")
 
 
+#: The attribute that names a written table's folder.
+_FOLDER = "_written_to"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _FOLDER, path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables, once everything that reads them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(getattr(df, _FOLDER))
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: Rows of a batch of texts that goes to a Python worker.
@@ -102,3 +117,16 @@ def span_arrays(text: Column, pattern: str, within: Column | None = None) -> Col
 def _reach(piece: Column) -> Column:
     """Code points that a piece of matches and the gaps before them cover."""
     return F.aggregate(piece, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["value"]))
+
+
+def uncovered(spans: DataFrame, row: str, base: str) -> DataFrame:
+    """Of spans (row, start, stop, base: boolean and more): those that no base span of their row overlaps, and all base spans.
+
+    A sort of each row's spans and running ends instead of all pairs: near linear in the spans of a row.
+    """
+    order = Window.partitionBy(row).orderBy("start")
+    end = F.max(F.when(F.col(base), F.col("stop"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    later = F.min(F.when(F.col(base), F.col("start"))).over(order.rangeBetween(1, Window.unboundedFollowing))
+    ends = spans.withColumns({"__end": end, "__later": later})
+    free = (F.coalesce("__end", F.lit(-1)) <= F.col("start")) & (F.col("__later").isNull() | (F.col("__later") >= F.col("stop")))
+    return ends.where(F.col(base) | free).drop("__end", "__later")
