@@ -38,9 +38,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     """
     keep = pages.drop("host", "path", "rule", "verdict")
     u = fresh(keep, "u")
-    # Path lengths are a property of the rules, at most as many as the longest rule path has characters.
+    # Path lengths are a property of the rules, at most as many as the longest rule path has characters. Host suffixes
+    # are as long as some rule host at most, however many labels a url has.
     rules = rules.select("host", "path", "verdict").dropna()
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    labels = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
     digests = rules.select(
         F.sha2(F.concat("host", "path"), 256).alias("digest"),
         F.struct(
@@ -54,8 +56,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
 
     urls = keep.select(F.col(url_col).alias(u)).where(F.col(u).isNotNull()).distinct()
     parts = urls.withColumns({"host": host_of(F.col(u)), "path": path_of(F.col(u))})
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = F.array_distinct(F.expr(f"transform(sequence(1, {max(labels, 1)}), i -> substring_index(host, '.', -i))"))
     prefixes = F.transform(
         F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path")),
         lambda n: F.substring(F.col("path"), F.lit(1), n),
