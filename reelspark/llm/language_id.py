@@ -12,24 +12,25 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.llm import shingles
 from reelspark.llm.shared import small_batches
 
-#: Expected rows of each language that the model is fitted on, chosen by a hash of their ids.
+#: Different rows (id and text) of each language that the model is fitted on, those of the least hashes; with many
+#: languages an equal share of ALL_ROWS, one at least. No language is left out.
 FIT_ROWS = 400
-#: Languages at most: rows to fit on are bounded by both numbers.
-MAX_LANGUAGES = 200
-#: Landmarks of each language.
+ALL_ROWS = 20_000
+#: Landmarks of each language; with many languages an equal share of ALL_LANDMARKS, one at least.
 LANDMARKS = 32
+ALL_LANDMARKS = 1024
 LENGTHS = (1, 2, 3, 4)
 BLEND = (0.5, 1.0, 1.5, 1.5)
 #: Buckets of each length.
 BUCKETS = 1 << 13
 RIDGE = 1e-3
-#: Texts scored by one matrix product.
+#: Texts scored by one matrix product, and rows of the sample unpacked at once.
 TOGETHER = 64
 #: Sharpness of the score.
 SHARPNESS = 6.0
@@ -82,35 +83,47 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([np.packbits(p).tobytes() for p in presence(batch.column("text"))], pa.binary())], ["lang", "bits"])
 
 
+def _unpacked(bits: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(bool)
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text"):
-    """A broadcast Model learnt from the rows of docs with a language and a text; without any it knows no language."""
+    """A broadcast Model learnt from the rows of docs with a language and a text; without any it knows no language.
+
+    Rows of one id and text count once, so repeated rows do not fill the sample. Null ids are ids like others.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    known = docs.select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
-    if not languages:
+    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h")).where("lang is not null and text is not null")
+    hashes = known.groupBy("lang", "h").agg(F.count("*").alias("n"))
+    count = hashes.select("lang").distinct().count()
+    if not count:
         return spark.sparkContext.broadcast(Model([], np.zeros((len(LENGTHS) * BUCKETS, 0), np.float32), np.zeros(0, np.float32)))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(FIT_ROWS / r["count"]))])
-    chosen = known.where(F.pmod(F.xxhash64("k", F.lit("lang")), F.lit(1 << 40)) / float(1 << 40) < share[F.col("lang")])
-    sample = chosen.mapInArrow(_pack, "lang string, bits binary").orderBy("lang", "bits").toPandas()
-    p = np.unpackbits(np.frombuffer(b"".join(sample["bits"]), np.uint8).reshape(len(sample), -1), axis=1).astype(bool)
-    y = sample["lang"].to_numpy()
+    rows, landmarks = max(1, min(FIT_ROWS, ALL_ROWS // count)), max(1, min(LANDMARKS, ALL_LANDMARKS // count))
+    # The row number keeps `rows` hashes of a language in each task before they meet.
+    least = hashes.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= rows)
+    chosen = known.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    sample = chosen.select("lang", "text").mapInArrow(_pack, "lang string, bits binary").orderBy("lang", "bits").toPandas()
+    bits, y = sample["bits"].tolist(), sample["lang"].to_numpy()
+    languages = sorted(set(y))
+    held = np.array([int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) for b in bits])
     # Texts of little variety tell little: landmarks are spread over each language's texts by size.
     marks = []
     for lang in languages:
         own = np.flatnonzero(y == lang)
-        own = own[np.argsort(p[own].sum(1), kind="stable")][::-1]
-        marks += own[np.unique(np.linspace(0, max(len(own) - 1, 0), LANDMARKS).astype(int))].tolist() if len(own) else []
-    x, m = normalised(p), normalised(p[marks])
+        own = own[np.argsort(held[own], kind="stable")][::-1]
+        marks += own[np.unique(np.linspace(0, len(own) - 1, landmarks).astype(int))].tolist()
+    m = normalised(_unpacked([bits[i] for i in marks]))
     kernel = m @ m.T
     values, vectors = np.linalg.eigh(kernel.astype(np.float64))
     good = values > 1e-6 * values.max()
     to_features = vectors[:, good] / np.sqrt(values[good])
-    features = (x @ m.T).astype(np.float64) @ to_features
+    near = np.concatenate([normalised(_unpacked(bits[i : i + TOGETHER])) @ m.T for i in range(0, len(bits), TOGETHER)])
+    features = near.astype(np.float64) @ to_features
     targets = np.where(y[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     # Languages weigh the same, whatever their share.
-    weight = np.array([1 / (y == lang).sum() for lang in y])
+    _, which, size = np.unique(y.astype(str), return_inverse=True, return_counts=True)
+    weight = 1 / size[which]
     weight *= len(y) / weight.sum()
     mean, goal = np.average(features, axis=0, weights=weight), np.average(targets, axis=0, weights=weight)
     f, t = features - mean, targets - goal
