@@ -1,9 +1,10 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-A text is cut, without loss, into sections (after blank lines), these into paragraphs (after line ends). A paragraph's
-node is the SHA-256 of its text, a section's that of its paragraphs' digests, the root's that of its sections' digests:
-equal roots mean equal texts, and differing branches locate edits. Below each paragraph short codes of pieces of up to
-five words (a sentence end closes a piece) tell how alike two texts are.
+A text is cut, without loss, into sections (after blank lines), these into paragraphs (after line ends), these into pieces
+of up to five words (a sentence end closes a piece). A paragraph's node is the SHA-256 of its text, a section's that of
+its paragraphs' digests, the root's that of its sections' digests: equal roots mean equal texts, and differing branches
+locate edits. Pieces have short codes: likeness counts the leaves of branches that two trees share as a whole, and only
+below the branches that differ compares codes.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.shared import text_of, written
+from reelspark.llm.shared import bound, text_of, written
 
 SECTION_END = r"(?<=\n\n)"
 PARAGRAPH_END = r"(?<=\n)"
 PIECE = r"\s*(?:\S*[^\s.!?]\s+){0,4}\S+\s*|\s+"
-#: Bits of a piece's code: 6 hex digits in the fingerprint.
-CODE_MASK = (1 << 24) - 1
+#: Bits of a piece's code (6 hex digits), and hex digits of a paragraph's and a section's digest in the fingerprint string.
+CODE_BITS = 24
+PARAGRAPH_HEX, SECTION_HEX = 10, 16
+_CODE = (1 << CODE_BITS) - 1
 
 
 def sections(text: Column) -> Column:
@@ -25,46 +28,62 @@ def sections(text: Column) -> Column:
     return F.transform(F.split(text, SECTION_END), lambda s: F.split(s, PARAGRAPH_END))
 
 
+def _codes(paragraph: Column) -> Column:
+    return F.transform(F.regexp_extract_all(paragraph, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p).bitwiseAND(_CODE).cast("int"))
+
+
 def tree(text: Column) -> Column:
-    """struct<root, sections: array<struct<digest, paragraphs: array<string>>>> of SHA-256 digests."""
-    nodes = F.transform(
-        F.transform(sections(text), lambda ps: F.transform(ps, lambda p: F.sha2(p, 256))),
-        lambda ds: F.struct(F.sha2(F.array_join(ds, ""), 256).alias("digest"), ds.alias("paragraphs")),
-    )
-    return F.struct(F.sha2(F.array_join(F.transform(nodes, lambda n: n["digest"]), ""), 256).alias("root"), nodes.alias("sections"))
+    """struct<root, sections: array<struct<digest, paragraphs: array<struct<digest, codes: array<int>>>>>>; digests are SHA-256."""
+    leaves = F.transform(sections(text), lambda ps: F.transform(ps, lambda p: F.struct(F.sha2(p, 256).alias("digest"), _codes(p).alias("codes"))))
+    nodes = F.transform(leaves, lambda ps: F.struct(F.sha2(F.array_join(F.transform(ps, lambda p: p["digest"]), ""), 256).alias("digest"), ps.alias("paragraphs")))
+    return bound(nodes, lambda ns: F.struct(F.sha2(F.array_join(F.transform(ns, lambda n: n["digest"]), ""), 256).alias("root"), ns.alias("sections")))
 
 
-def root(text: Column) -> Column:
-    """The root of the tree alone."""
-    return F.sha2(
-        F.array_join(F.transform(sections(text), lambda ps: F.sha2(F.array_join(F.transform(ps, lambda p: F.sha2(p, 256)), ""), 256)), ""), 256
-    )
+def encode(t: Column) -> Column:
+    """A tree as a string: root:section/section..., a section as digest,paragraph,paragraph..., a paragraph as digest and piece codes."""
+    paragraph = lambda p: F.concat(F.substring(p["digest"], 1, PARAGRAPH_HEX), F.array_join(F.transform(p["codes"], lambda c: F.lpad(F.hex(c), CODE_BITS // 4, "0")), ""))
+    section = lambda s: F.concat(F.substring(s["digest"], 1, SECTION_HEX), F.lit(","), F.array_join(F.transform(s["paragraphs"], paragraph), ","))
+    return F.concat(t["root"], F.lit(":"), F.array_join(F.transform(t["sections"], section), "/"))
 
 
-def codes(text: Column) -> Column:
-    """array<int>: the code of each piece, in order."""
-    pieces = F.flatten(F.transform(F.split(text, PARAGRAPH_END), lambda p: F.regexp_extract_all(p, F.lit(PIECE), F.lit(0))))
-    return F.transform(pieces, lambda p: F.xxhash64(p).bitwiseAND(CODE_MASK).cast("int"))
+def decode(fingerprint: Column) -> Column:
+    """The tree in a fingerprint string, its section and paragraph digests cut short."""
 
+    def paragraph(p: Column) -> Column:
+        code = lambda h: F.conv(h, 16, 10).cast("int")
+        return F.struct(F.substring(p, 1, PARAGRAPH_HEX).alias("digest"), F.transform(F.regexp_extract_all(F.substring(p, F.lit(PARAGRAPH_HEX + 1), F.length(p)), F.lit("[0-9A-F]{6}"), F.lit(0)), code).alias("codes"))
 
-def encode(root_col: Column, codes_col: Column) -> Column:
-    """The fingerprint string: root, a colon, then six hex digits a piece."""
-    return F.concat(root_col, F.lit(":"), F.array_join(F.transform(codes_col, lambda c: F.lpad(F.hex(c), 6, "0")), ""))
+    def section(s: Column) -> Column:
+        return bound(F.split(s, ","), lambda ps: F.struct(F.get(ps, F.lit(0)).alias("digest"), F.transform(F.slice(ps, F.lit(2), F.size(ps)), paragraph).alias("paragraphs")))
 
+    return F.struct(F.substring_index(fingerprint, ":", 1).alias("root"), F.transform(F.split(F.substring_index(fingerprint, ":", -1), "/"), section).alias("sections"))
 
-def decode(fingerprint: Column) -> Column:
-    """The codes in a fingerprint string."""
-    return F.transform(F.regexp_extract_all(F.substring_index(fingerprint, ":", -1), F.lit("[0-9A-F]{6}"), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int"))
+
+def leaves(t: Column) -> Column:
+    """array<bigint>: the different leaves of a tree, each its piece's code below the first 40 bits of its paragraph's digest."""
+
+    def below(p: Column) -> Column:
+        branch = F.shiftleft(F.conv(F.substring(p["digest"], 1, PARAGRAPH_HEX), 16, 10).cast("bigint"), CODE_BITS)
+        return bound(branch, lambda b: F.transform(p["codes"], lambda c: b.bitwiseOR(c.cast("bigint"))))
+
+    return F.array_distinct(F.flatten(F.transform(t["sections"], lambda s: F.flatten(F.transform(s["paragraphs"], below)))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared codes over all codes of two code arrays, 0 to 1; 1 for two empty ones."""
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
+    """Shared leaves over all leaves of two trees, given by their leaves, 0 to 1; 1 for two without any.
+
+    Leaves of paragraphs that both have are shared; of the others, the codes that both have.
+    """
+    code = lambda x: F.array_distinct(F.transform(x, lambda leaf: leaf.bitwiseAND(_CODE).cast("int")))
+    apart = F.size(F.array_intersect(code(F.array_except(a, b)), code(F.array_except(b, a))))
+    return bound(F.size(F.array_intersect(a, b)) + apart, lambda n: bound(F.size(a) + F.size(b) - n, lambda both: F.when(both == 0, F.lit(1.0)).otherwise(n / both)))
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Of two trees: array<struct<section, paragraph>> (from 0) of the paragraphs of a that differ from b at their place."""
+    """Of two trees: array<struct<section, paragraph>> (from 0) of the paragraphs of a that differ from b at their place.
+
+    Sections of equal digests are not looked into. Trees of texts and decoded ones may not be mixed.
+    """
     return F.flatten(
         F.transform(
             a["sections"],
@@ -72,7 +91,7 @@ def differing(a: Column, b: Column) -> Column:
                 F.filter(
                     F.transform(
                         s["paragraphs"],
-                        lambda p, j: F.when(~p.eqNullSafe(F.get(F.get(b["sections"], i)["paragraphs"], j)), F.struct(i.alias("section"), j.alias("paragraph"))),
+                        lambda p, j: F.when(~p["digest"].eqNullSafe(F.get(F.get(b["sections"], i)["paragraphs"], j)["digest"]), F.struct(i.alias("section"), j.alias("paragraph"))),
                     ),
                     lambda x: x.isNotNull(),
                 )
@@ -83,7 +102,7 @@ def differing(a: Column, b: Column) -> Column:
 
 def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with fingerprint (string) added or replaced. Null texts count as empty; equal texts have equal fingerprints."""
-    return docs.withColumn("fingerprint", encode(root(text_of(text_col)), codes(text_of(text_col))))
+    return docs.withColumn("fingerprint", bound(tree(text_of(text_col)), encode))
 
 
 #: Stands for a null id, before all others.
@@ -110,7 +129,9 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     The next document has the next larger id; the last is followed by the first. Rows of one id count as one document
     there, with the text of the least hash. Null ids count as one id below all others; null texts are empty. Every row
-    gives a row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    gives a row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and n_edited, the
+    number of paragraphs that the two trees locate as edited. Other columns of docs are not carried, whatever their names.
+    An empty table gives no rows.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("k"), text_of(text_col).alias("t"))
     quarter = F.floor(F.length("t") / 4).cast("int")
@@ -123,23 +144,25 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
         rows.join(asked.join(chosen, F.col("n_key") == F.col("c_key")).drop("c_key"), F.col("k") == F.col("n_key"))
         # Not an equality of both sides: as a join key it would ask for another partitioning, and another shuffle.
         .where(F.xxhash64("t").bitwiseXOR(F.col("c_hash")) == 0)
-        .select("before", F.expr("substring(t, 1, n_take)").alias("piece"), codes(F.col("t")).alias("next_codes"))
+        .select("before", F.expr("substring(t, 1, n_take)").alias("piece"), bound(tree(F.col("t")), leaves).alias("next_leaves"))
         .groupBy("before")
-        .agg(F.first("piece").alias("piece"), F.first("next_codes").alias("next_codes"))
+        .agg(F.first("piece").alias("piece"), F.first("next_leaves").alias("next_leaves"))
     )
     edited = F.expr("concat(substring(t, 1, length(t) - int(floor(length(t) / 4))), substring(piece, 1, int(floor(length(t) / 4))))")
-    both = rows.join(heads, F.col("k") == F.col("before")).select("k", "t", "next_codes", edited.alias("e"))
-    coded = both.select(
+    both = rows.join(heads, F.col("k") == F.col("before")).select("k", "t", "next_leaves", edited.alias("e"))
+    trees = both.select(
         F.expr(f"nullif(k, {NULL_ID})").alias(id_col),
         F.length("t").cast("bigint").alias("n_chars"),
         F.sha2("e", 256).alias("edited_sha256"),
-        root(F.col("t")).alias("r"), codes(F.col("t")).alias("c"), root(F.col("e")).alias("e_r"), codes(F.col("e")).alias("e_c"),
-        "next_codes",
+        tree(F.col("t")).alias("own"), tree(F.col("e")).alias("edited"),
+        "next_leaves",
     )
-    return coded.select(
+    return trees.select(
         id_col, "n_chars", "edited_sha256",
-        encode(F.col("r"), F.col("c")).alias("fingerprint"),
-        encode(F.col("e_r"), F.col("e_c")).alias("edited_fingerprint"),
-        likeness(F.col("c"), F.col("e_c")).alias("near_edited"),
-        likeness(F.col("c"), F.col("next_codes")).alias("near_next"),
-    )
+        encode(F.col("own")).alias("fingerprint"),
+        encode(F.col("edited")).alias("edited_fingerprint"),
+        bound(leaves(F.col("own")), lambda a: F.struct(
+            bound(leaves(F.col("edited")), lambda b: likeness(a, b)).alias("near_edited"), likeness(a, F.col("next_leaves")).alias("near_next")
+        )).alias("near"),
+        F.size(differing(F.col("own"), F.col("edited"))).cast("bigint").alias("n_edited"),
+    ).select("*", "near.*").drop("near")

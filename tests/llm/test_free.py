@@ -297,3 +297,68 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(got) == {r[0] for r in rows} - toxic_ids - leak_ids - {1002, 1003, 1004}
     assert got[2].text.endswith(" [assign]\"") and got[2].n_chars == len(got[2].text)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "n-gram jaccard join", "benchmark decontamination", "secret scans", "source mixing"]
+
+
+def test_languages_of_repeated_ids_ties_and_empty_tables(spark):
+    text = F.concat(F.lit("hello world "), F.col("id") % 5)
+    same = spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit("en").alias("lang"), text.alias("text"), F.lit(1).alias("h"), F.lit("x").alias("score"))
+    other = spark.createDataFrame([(None, "fr", "bonjour le monde", 0, ""), (3, "fr", None, 0, ""), (4, None, "no", 0, "")], "doc_id int, lang string, text string, h int, score string")
+    model = language_id.fit(same.unionByName(other))
+    assert model.value.languages == ["en", "fr"]
+    got = {r.doc_id: (r.lang_pred, r.score > 0.5) for r in language_id.predict(other, model).collect()}
+    assert got[None] == ("fr", True) and got[3] == ("und", False)
+    assert {r.lang_pred for r in language_id.predict(same.limit(9), model).collect()} == {"en"}
+    nothing = language_id.fit(same.limit(0))
+    assert [tuple(r) for r in language_id.predict(same.limit(1), nothing).collect()] == [(7, "und", 0.0)]
+    assert language_id.predict(same.limit(0), model).count() == 0
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "ALL_ROWS", 100)
+    monkeypatch.setattr(language_id, "ALL_LANDMARKS", 60)
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.format_string("l%02d", F.col("id") % 40).alias("lang"), F.repeat(F.format_string("%s%s ", F.chr(97 + F.col("id") % 20), F.chr(65 + F.col("id") % 40 % 23)), 9).alias("text"))
+    model = language_id.fit(docs)
+    assert len(model.value.languages) == 40
+    out = language_id.predict(docs, model).join(docs, "doc_id")
+    assert out.where("lang_pred = lang").count() > 550
+
+
+def test_short_items_and_places_of_passages(spark):
+    rng = random.Random(4)
+    item = " ".join(words(rng, 40))
+    docs = spark.createDataFrame(
+        [(1, "yes"), (2, "oh yes it is"), (3, "Yes!"), (4, "zz " * 30 + item + " yy" * 30), (4, "zz " * 30 + item + " yy" * 30), (5, None), (6, "qq " * 50_000 + item)], "doc_id bigint, text string"
+    )
+    items = spark.createDataFrame([(1, "yes"), (2, item), (2, item), (3, "")], "item_id bigint, text string")
+    got = sorted(tuple(r) for r in decontaminate.contaminated(docs, items).select("doc_id", "item_id", "first_word", "end_word", F.round("score", 6)).collect())
+    assert got == [(1, 1, 0, 1, 1.0), (3, 1, 0, 1, 1.0), (4, 2, 30, 70, 1.0), (4, 2, 30, 70, 1.0), (6, 2, 50_000, 50_040, 1.0)]
+    assert decontaminate.contaminated(docs, items).where("score > 1").isEmpty()
+    assert decontaminate.contaminated(docs.limit(0), items).isEmpty() and decontaminate.contaminated(docs, items.limit(0)).isEmpty()
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()) == [2, 5]
+
+
+def test_paths_under_a_cycle_and_of_a_long_chain(spark):
+    chain = [("t", i, i - 1 if i else None, "user", str(i), 1.0) for i in range(300)]
+    loop = [(None, 1, 2, "user", "x", 0.0), (None, 2, 1, "user", "y", 0.0), (None, 3, 1, "user", "z", 0.0)]
+    df = spark.createDataFrame(chain + loop, "tree string, node bigint, parent bigint, role string, text string, score double")
+    got = chat.paths(df, None).orderBy("depth").collect()
+    assert [r.text for r in got] == [str(i) for i in range(300)] and {r.leaf for r in got} == {299}
+    assert chat.paths(df.limit(0)).count() == 0
+
+
+def test_an_edited_crowd_below_the_likeness_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    base = words(rng, 150)
+    def edited(k):
+        w = list(base)
+        for j in rng.sample(range(150), k):
+            w[j] = f"own{rng.random()}"
+        return " ".join(w)
+    texts = [edited(rng.randrange(0, 25)) for _ in range(400)]
+    made = []
+    links = jaccard_join._Join.links
+    monkeypatch.setattr(jaccard_join._Join, "links", lambda self, pairs, label: (made.append(pairs.count()), links(self, pairs, label))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.link(df).collect()}
+    assert got == {i: c for i, _, c in brute(list(enumerate(texts)))}
+    assert sum(made) < 4000
