@@ -188,18 +188,21 @@ def _windows(seeds: _Seeds, data: np.ndarray, offsets: np.ndarray) -> Iterator[t
         a, b = max(first[t], start - slack), min(first[t + 1], stop + slack)
         passage = words[a:b]
         weight = seeds.weights[item]
+        if length < SEED_WORDS and first[t + 1] - first[t] != length:
+            continue
         if weight[np.isin(seeds.words[item], passage)].sum() >= _enough(length) * weight.sum():
             yield int(t), int(item), int(a - first[t]), passage
 
 
 def _hits(seeds: _Seeds, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
-    """(row, item, score, first word, end) of the contaminating passages."""
+    """(row, item, score, first word, end) of the contaminating passages; the first word comes from the alignment of both reversed."""
     for row, data, offsets in shingles.chunks(texts):
         found = list(_windows(seeds, data, offsets))
         scores = align([p for *_, p in found], [seeds.words[i] for _, i, *_ in found], [seeds.weights[i] for _, i, *_ in found])
-        for (t, item, start, _), (score, end) in zip(found, scores, strict=True):
-            if score >= _enough(len(seeds.words[item])):
-                yield row + t, item, score, start, start + end
+        passing = [(t, item, start, p[:end], score) for (t, item, start, p), (score, end) in zip(found, scores, strict=True) if score >= _enough(len(seeds.words[item]))]
+        back = align([p[::-1] for *_, p, _ in passing], [seeds.words[i][::-1] for _, i, *_ in passing], [seeds.weights[i][::-1] for _, i, *_ in passing])
+        for (t, item, start, p, score), (_, length) in zip(passing, back, strict=True):
+            yield row + t, item, min(score, 1.0), start + len(p) - length, start + len(p)
 
 
 def _report(seeds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,9 +253,10 @@ def _blocks(docs: DataFrame, text_col: str, items: DataFrame) -> Iterator:
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): each document's best passage for every item that it holds.
 
-    The passage looked at begins at first_word of the text, the alignment in it ends before end_word (words from 0).
-    items has item_id and text; a null item_id is reported as it is. score is the alignment's share of the item's weight:
-    THRESHOLD at least, or for items of more than LONG_RUN / THRESHOLD words LONG_RUN mean word weights. Words are runs
+    The alignment begins at first_word of the text and ends before end_word (words from 0); of equal ones the first counts.
+    items has item_id and text; a null item_id is reported as it is, repeated items once. score is the alignment's share
+    of the item's weight, 1 at most: THRESHOLD at least, or for items of more than LONG_RUN / THRESHOLD words LONG_RUN
+    mean word weights. Items of fewer than SEED_WORDS words count only where they are the whole text. Words are runs
     of ASCII letters, digits and other characters beyond ASCII; A-Z are lower-cased. Null texts, texts and items without
     words give nothing; repeated rows give their results each; an empty table on either side gives no rows.
     """
