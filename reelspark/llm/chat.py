@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.shared import written
+from reelspark.llm.shared import discard, written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 # Control strings of common chat templates, without their first character.
@@ -43,39 +43,41 @@ def paths(messages: DataFrame, per_tree: int | None = 1) -> DataFrame:
     messages has tree, node, parent (null for a root), role, text and score. A path's score is the mean of its
     messages' scores (null counts as 0); paths of a tree rank by score, then by leaf; per_tree is how many are kept,
     None for all. Messages whose parent is missing are roots; of rows that repeat a node the least counts. Messages
-    below a cycle have no root and so no path. Null trees are one tree; rows with a null node are left out.
+    below a cycle have no root and so no path. Null trees are one tree; rows with a null node are left out. Other
+    columns of messages are not carried; an empty table gives no rows.
+
+    Jumps of doubling length sum up each path; only the chosen leaves are then expanded to their messages.
     """
     row = F.struct("parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     base = messages.where("node is not null").groupBy("tree", "node").agg(F.min(row).alias("m")).select("tree", "node", "m.parent", "m.role", "m.text", "m.score")
     base = written(base, "messages")
     limit = base.count()
-    keys = base.select("tree", "node")
-    known = base.where("parent is not null").join(keys.select(F.col("tree").alias("pt"), F.col("node").alias("pn")), F.expr("tree <=> pt and parent = pn"), "left_semi")
-    jump = written(known.select("tree", "node", F.col("parent").alias("up")), "jump")
-    has_child = jump.select(F.col("tree").alias("ct"), F.col("up").alias("cn")).distinct()
-    leaves = base.join(has_child, F.expr("tree <=> ct and node = cn"), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("above"))
-    reached, step = written(leaves, "paths"), 1
-    while not jump.isEmpty():
-        if step > limit:
-            # What still climbs does so for ever: paths from there are dropped.
-            reached = reached.join(jump.select(F.col("tree").alias("jt"), F.col("node").alias("jn")), F.expr("tree <=> jt and leaf = jn"), "left_anti")
-            break
-        # (leaf, node `above` it) for above < step; the jump of `step` gives those below 2 step.
-        hop = jump.select(F.col("tree").alias("jt"), F.col("node").alias("jn"), "up")
-        on = F.expr("tree <=> jt and node = jn")
-        further = reached.join(hop, on).select("tree", "leaf", F.col("up").alias("node"), (F.col("above") + step).alias("above"))
-        reached = written(reached.unionByName(further), "paths")
-        # Jumps of twice the length, where there are so many ancestors.
-        twice = jump.select("tree", "node", F.col("up").alias("mid")).join(hop, F.expr("tree <=> jt and mid = jn")).select("tree", "node", "up")
-        jump, step = written(twice, "jump"), step * 2
-    rows = reached.join(base.select(F.col("tree").alias("bt"), F.col("node").alias("bn"), "role", "text", "score"), F.expr("tree <=> bt and node = bn"))
-    ranked = rows.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.max("above").alias("length"))
-    order = Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf")
-    ranked = ranked.withColumn("path_rank", F.row_number().over(order))
+    keys = base.select(F.col("tree").alias("pt"), F.col("node").alias("pn"))
+    known = base.join(keys, F.expr("tree <=> pt and parent = pn"), "left")
+    # (node, the message `up` so many answers above it or null, and of those passed the sum of scores and the number).
+    state = written(known.select("tree", "node", F.col("pn").alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("length")), "jumps")
+    jumps, step = [state], 1
+    while step <= limit and not state.where("up is not null").isEmpty():
+        above = state.select(F.col("tree").alias("jt"), F.col("node").alias("jn"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("longer"))
+        climbed = state.join(above, F.expr("tree <=> jt and up = jn"), "left")
+        state = written(climbed.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("longer", F.lit(0))).alias("length")), "jumps")
+        jumps, step = [*jumps, state], step * 2
+    has_child = jumps[0].where("up is not null").select(F.col("tree").alias("ct"), F.col("up").alias("cn")).distinct()
+    # What still climbs after as many steps as there are messages does so for ever.
+    leaves = state.where("up is null").join(has_child, F.expr("tree <=> ct and node = cn"), "left_anti")
+    ranked = leaves.withColumn("path_rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("length")), "node")))
     if per_tree is not None:
         ranked = ranked.where(F.col("path_rank") <= per_tree)
-    ranked = ranked.select(F.col("tree").alias("rt"), F.col("leaf").alias("rl"), "path_rank", "length")
-    return rows.join(ranked, F.expr("tree <=> rt and leaf = rl")).select("tree", "leaf", "path_rank", (F.col("length") - F.col("above")).alias("depth"), "role", "text")
+    # (leaf, node `above` it) for above < step; the jump of `step` gives those below 2 step.
+    reached = written(ranked.select("tree", F.col("node").alias("leaf"), "path_rank", "length", "node", F.lit(0).cast("bigint").alias("above")), "paths")
+    for k, jump in enumerate(jumps[:-1]):
+        hop = jump.where("up is not null").select(F.col("tree").alias("jt"), F.col("node").alias("jn"), "up")
+        further = reached.join(hop, F.expr("tree <=> jt and node = jn")).select("tree", "leaf", "path_rank", "length", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
+        passed, reached = reached, written(reached.unionByName(further), "paths")
+        discard(passed)
+    discard(*jumps)
+    said = base.select(F.col("tree").alias("bt"), F.col("node").alias("bn"), "role", "text")
+    return reached.join(said, F.expr("tree <=> bt and node = bn")).select("tree", "leaf", "path_rank", (F.col("length") - 1 - F.col("above")).cast("int").alias("depth"), "role", "text")
 
 
 def chain(turns: DataFrame) -> DataFrame:
@@ -87,7 +89,11 @@ def chain(turns: DataFrame) -> DataFrame:
 
 
 def format_paths(rows: DataFrame) -> DataFrame:
-    """(tree, path_rank, formatted, loss_spans) of paths' rows: loss_spans are (start, length) in code points, from 1, of assistant texts."""
+    """(tree, path_rank, formatted, loss_spans) of paths' rows: loss_spans are (start, length) in code points, from 1, of assistant texts.
+
+    Turns follow by depth; null roles and texts are empty. Turns of one depth, which paths never make, follow by role and text,
+    repeated ones all of them. One conversation is one row: its texts meet in one task. An empty table gives no rows.
+    """
     turn = F.struct("depth", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.groupBy("tree", "path_rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     pieces = F.transform(
