@@ -30,8 +30,6 @@ PARTS = (75, 100)
 SHINGLE_WORDS = 5
 #: Shingles dealt out in one piece of a task: bounds the task's memory.
 AT_ONCE = 500_000
-#: The share of a set's shingles, the least by hash, in which wide ones are counted; prefixes lie within it.
-COUNTED = 0.4
 #: A shingle of this many sets is widely shared. At most WIDE_SHINGLES of them, the commonest, go last in the order; any
 #: choice gives the same links, and this bounds what is broadcast to 12 MB.
 WIDE_FROM = 8
@@ -53,21 +51,34 @@ def _prefix_length(n: int) -> int:
     return n - -(-part * n // whole) + 1 if n else 0
 
 
-def _by_bucket(buckets: int, bucket: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+def _by_bucket(buckets: int, bucket: np.ndarray, entries: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """(bucket, entries): one row for every bucket with entries, as bytes."""
     by = np.argsort(bucket, kind="stable")
     bucket, entries = bucket[by], entries[by]
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     used = np.flatnonzero(cuts[1:] > cuts[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([entries[cuts[u] : cuts[u + 1]].tobytes() for u in used], pa.binary())], ["bucket", "entries"])
+    return pa.array(used.astype(np.int32)), pa.array([entries[cuts[u] : cuts[u + 1]].tobytes() for u in used], pa.binary())
 
 
-def _codes(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, entries): the upper 48 bits of the counted shingles of each set, equal sets of a piece once."""
+#: A shingle as it is counted: the upper 48 bits of its hash; one that a piece holds more than once has its number beside it.
+CODE = np.dtype([("code", np.uint8, 6)])
+COUNTED = np.dtype([("code", np.uint8, 6), ("n", np.uint32)])
+
 
-    def told(held: list[np.ndarray]) -> pa.RecordBatch:
-        codes = np.concatenate(held) >> np.uint64(16)
-        return _by_bucket(buckets, (codes % np.uint64(buckets)).astype(np.int64), np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8)[:, :6]))
+def _codes(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, many, entries): the shingles of all sets of a piece, counted in it (CODE, COUNTED if many), equal sets of a piece once."""
+
+    def told(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        codes, n = np.unique(np.concatenate(held) >> np.uint64(16), return_counts=True)
+        for many, kind in ((False, CODE), (True, COUNTED)):
+            some = codes[(n > 1) == many]
+            if len(some):
+                entries = np.empty(len(some), kind)
+                entries["code"] = some.view(np.uint8).reshape(-1, 8)[:, :6]
+                if many:
+                    entries["n"] = n[n > 1]
+                bucket, packed = _by_bucket(buckets, (some % np.uint64(buckets)).astype(np.int64), entries)
+                yield pa.RecordBatch.from_arrays([bucket, pa.array([many] * len(bucket)), packed], ["bucket", "many", "entries"])
 
     held, size, seen = [], 0, set()
     for batch in batches:
@@ -75,30 +86,33 @@ def _codes(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             ref = int(_hash_of(s, 1))
             if len(s) and ref not in seen:
                 seen.add(ref)
-                held.append(s[: max(_prefix_length(len(s)), int(COUNTED * len(s)))])
-                size += len(held[-1])
+                held.append(s)
+                size += len(s)
                 if size >= AT_ONCE:
-                    yield told(held)
+                    yield from told(held)
                     held, size, seen = [], 0, set()
     if held:
-        yield told(held)
+        yield from told(held)
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(code, n) of the shingles found at least WIDE_FROM times, of whole buckets."""
-    by_bucket: dict[int, list[np.ndarray]] = {}
+    by_bucket: dict[int, list[tuple[bool, bytes]]] = {}
     for batch in batches:
-        for b, x in zip(batch.column("bucket").to_pylist(), batch.column("entries"), strict=True):
-            by_bucket.setdefault(b, []).append(np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6))
+        for b, many, x in zip(batch.column("bucket").to_pylist(), batch.column("many").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+            by_bucket.setdefault(b, []).append((many, x))
     for b in list(by_bucket):
-        packed = np.concatenate(by_bucket.pop(b))
-        wide = np.zeros((len(packed), 8), np.uint8)
-        wide[:, :6] = packed
-        codes = np.sort(wide.view(np.uint64).reshape(-1))
+        found = [np.frombuffer(x, COUNTED if many else CODE) for many, x in by_bucket.pop(b)]
+        wide = np.zeros((sum(map(len, found)), 8), np.uint8)
+        wide[:, :6] = np.concatenate([x["code"] for x in found])
+        times = np.concatenate([x["n"].astype(np.int64) if "n" in x.dtype.names else np.ones(len(x), np.int64) for x in found])
+        codes = wide.view(np.uint64).reshape(-1)
+        by = np.argsort(codes, kind="stable")
+        codes, times = codes[by], times[by]
         first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
-        n = np.diff(np.append(first, len(codes)))
+        n = np.add.reduceat(times, first)
         often = n >= WIDE_FROM
-        yield pa.RecordBatch.from_arrays([pa.array(codes[first][often].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(codes[first][often].astype(np.int64)), pa.array(n[often])], ["code", "n"])
 
 
 #: What a prefix shingle is dealt as: its hash, its group, the size of the group's sets, its place in their prefix.
@@ -192,7 +206,7 @@ def _deal(order, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         out["g"] = np.repeat(np.array([g for g, _ in groups], np.uint64), lengths)
         out["n"] = np.repeat(np.array([n for _, n in groups], np.uint32), lengths)
         out["p"] = np.concatenate([np.arange(length) for length in lengths])
-        return _by_bucket(buckets, (out["s"] % np.uint64(buckets)).astype(np.int64), out)
+        return pa.RecordBatch.from_arrays([*_by_bucket(buckets, (out["s"] % np.uint64(buckets)).astype(np.int64), out)], ["bucket", "entries"])
 
     held, groups, size, seen = [], [], 0, set()
     for batch in batches:
@@ -293,7 +307,7 @@ class _Join:
         self.docs, self.spark = docs, docs.sparkSession
         small_batches(self.spark)
         parts = self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = docs.select("text").mapInArrow(partial(_codes, 4 * parts), "bucket int, entries binary").repartition(parts, "bucket")
+        dealt = docs.select("text").mapInArrow(partial(_codes, 4 * parts), "bucket int, many boolean, entries binary").repartition(parts, "bucket")
         wide = dealt.mapInArrow(_tally, "code bigint, n bigint").orderBy(F.desc("n"), "code").limit(WIDE_SHINGLES).toPandas()
         self.order = self.spark.sparkContext.broadcast(_Order(wide["code"].to_numpy(), wide["n"].to_numpy()))
         self.meta = written(docs.mapInArrow(partial(_describe, self.order), "doc_id bigint, n int, ref bigint, grp bigint, sketch binary"), "sets-meta")
@@ -338,12 +352,12 @@ def _placed_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[_Join, Da
     # A group stands in its meetings by its least set; its other sets hang on that one.
     leads = sets.groupBy("grp").agg(F.min("ref").alias("lead"))
     inside = sets.join(leads, "grp").select(F.col("lead").alias("a"), F.col("ref").alias("b"))
-    met = meetings.join(leads, "grp").select("run", F.col("lead").alias("ref"), "n")
-    hubs = met.groupBy("run").agg(F.min("ref").alias("hub"))
+    met = meetings.join(leads, "grp").select("run", F.col("lead").alias("ref"), "n", "p")
+    # The hub has the fewest rare shingles before the meeting: of edited copies, the one that is nearest to all.
+    hubs = met.groupBy("run").agg(F.min_by("ref", F.struct("p", "n", "ref")).alias("hub"))
     stars = written(inside.union(met.join(hubs, "run").select(F.col("hub").alias("a"), F.col("ref").alias("b"))).where("a <> b").distinct(), "stars")
     edges = join.links(stars, "stars")
     labels = components(edges)
-    runs = written(met.select("run", "ref").join(hubs, "run").select("run", "hub").distinct(), "hubs")
     part, whole = PARTS
     near = f"{part} * greatest(n_a, n_b) <= {whole} * least(n_a, n_b) and {part + whole} * least(n_a - p_a, n_b - p_b) >= {part} * (n_a + n_b)"
 
@@ -368,10 +382,9 @@ def _placed_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[_Join, Da
             break
         edges = edges.union(more)
         labels = components(edges)
-    # Then every pair that met and is not connected is verified. Meetings under one hub are joined as one, so that a pair
-    # comes up once for each hub, not once for each shingle that it shares; a set counts from its first place under the hub.
-    rest = still_open().join(runs, "run", "left").groupBy(F.coalesce("hub", "run").alias("hub"), "ref", "n", "label").agg(F.min("p").alias("p"))
-    labels = components(edges.union(join.links(pairs_of(rest, ["hub"]), "rest")))
+    # Then every pair that met and is not connected is verified, if its places in one meeting at least leave it room to
+    # link. At their first common shingle the rests of both are longest, so no pair that links is lost.
+    labels = components(edges.union(join.links(pairs_of(still_open(), ["run"]), "rest")))
     least = sets.select("ref").join(labels.withColumnRenamed("node", "ref"), "ref", "left").join(join.sets.select("ref", "rep"), "ref").select("ref", "rep", F.coalesce("label", "ref").alias("label"))
     return join, least
 
