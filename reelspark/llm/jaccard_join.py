@@ -23,7 +23,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from reelspark.llm import shingles
 from reelspark.llm.components import components
-from reelspark.llm.shared import fresh, small_batches, written
+from reelspark.llm.shared import discard, fresh, small_batches, written
 
 #: Link when PARTS[1] * intersection >= PARTS[0] * union.
 PARTS = (75, 100)
@@ -340,7 +340,9 @@ class _Join:
         if self.repeated:
             texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["ref", "h"]).select("ref", "text")
         both = few.join(texts.select(F.col("ref").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("ref").alias("b"), F.col("text").alias("y")), "b")
-        return written(both.mapInArrow(_verify, "a bigint, b bigint"), f"links-{label}")
+        out = written(both.mapInArrow(_verify, "a bigint, b bigint"), f"links-{label}")
+        discard(few)
+        return out
 
 
 def _placed_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[_Join, DataFrame]:
@@ -357,17 +359,20 @@ def _placed_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[_Join, Da
     hubs = met.groupBy("run").agg(F.min_by("ref", F.struct("p", "n", "ref")).alias("hub"))
     stars = written(inside.union(met.join(hubs, "run").select(F.col("hub").alias("a"), F.col("ref").alias("b"))).where("a <> b").distinct(), "stars")
     edges = join.links(stars, "stars")
+    discard(stars)
     labels = components(edges)
     part, whole = PARTS
     near = f"{part} * greatest(n_a, n_b) <= {whole} * least(n_a, n_b) and {part + whole} * least(n_a - p_a, n_b - p_b) >= {part} * (n_a + n_b)"
 
     def still_open() -> DataFrame:
-        """(run, m, ref, n, p, label): the sets of meetings, and of groups, that lie in different components yet."""
+        """(run, m, ref, n, p, label), written: the sets of meetings, and of groups, that lie in different components yet."""
         placed = written(sets.join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "grp", "n", F.coalesce("label", "ref").alias("label")), "placed")
         groups = placed.select(F.xxhash64(F.col("grp"), F.lit("group")).alias("run"), "ref", "n", F.lit(0).alias("p"), "label")
         spread = meetings.select("run", "grp", "p").join(placed, "grp").select("run", "ref", "n", "p", "label").unionByName(groups)
         mixed = spread.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("run", "m")
-        return written(spread.join(mixed, "run"), "open")
+        out = written(spread.join(mixed, "run"), "open")
+        discard(placed)
+        return out
 
     def pairs_of(rows: DataFrame, keys: list[str]) -> DataFrame:
         left, right = (rows.select(*keys, F.col("ref").alias(x), F.col("n").alias(f"n_{x}"), F.col("p").alias(f"p_{x}"), F.col("label").alias(f"l_{x}")) for x in "ab")
@@ -375,16 +380,20 @@ def _placed_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[_Join, Da
 
     # Sets of large meetings first meet a few others by chance: nearly all that can link do so here, for a few pairs each.
     for salt in range(ROUNDS):
-        large = still_open().where(F.col("m") > MEET).where(F.pmod(F.xxhash64("run", F.lit(salt)), F.lit(RUN_SHARE)) == 0)
+        unplaced = still_open()
+        large = unplaced.where(F.col("m") > MEET).where(F.pmod(F.xxhash64("run", F.lit(salt)), F.lit(RUN_SHARE)) == 0)
         table = F.pmod(F.xxhash64("ref", "run", F.lit(salt)), F.ceil(F.col("m") / MEET))
         more = join.links(pairs_of(large.withColumn("table", table), ["run", "table"]), f"round-{salt}")
+        discard(unplaced)
         if more.isEmpty():
             break
         edges = edges.union(more)
         labels = components(edges)
     # Then every pair that met and is not connected is verified, if its places in one meeting at least leave it room to
     # link. At their first common shingle the rests of both are longest, so no pair that links is lost.
-    labels = components(edges.union(join.links(pairs_of(still_open(), ["run"]), "rest")))
+    unplaced = still_open()
+    labels = components(edges.union(join.links(pairs_of(unplaced, ["run"]), "rest")))
+    discard(unplaced, meetings)
     least = sets.select("ref").join(labels.withColumnRenamed("node", "ref"), "ref", "left").join(join.sets.select("ref", "rep"), "ref").select("ref", "rep", F.coalesce("label", "ref").alias("label"))
     return join, least
 
@@ -422,9 +431,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     k, ref, apart = (fresh(docs, x) for x in ("k", "ref", "apart"))
     heads = written(least.groupBy("label").agg(F.min(F.struct("rep", "ref")).alias("head")).select(F.col("head.rep").alias(k), F.col("head.ref").alias(ref)), "heads")
     ids = join.meta.groupBy(F.col("doc_id").alias(k)).agg(F.count("*").alias("rows"), F.max("n").alias("most"))
-    ids = written(ids.join(heads.select(k).distinct().withColumn("head", F.lit(True)), k, "left").where("rows > 1 or most = 0 or head").select(k, "rows"), "kept")
+    ids = ids.join(heads.select(k).distinct().withColumn("head", F.lit(True)), k, "left").where("rows > 1 or (most > 0 and head is null)")
+    ids = written(ids.select(k, "rows"), "gone")
     rows = docs.withColumn(k, F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)))
-    single = rows.join(ids.where("rows = 1").select(k), k, "left_semi").select(*docs.columns)
+    # Rows that go are fewer than rows that stay: texts need no shuffle while the ids that go can be broadcast.
+    gone = ids.select(k)
+    if ids.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    single = rows.join(gone, k, "left_anti").select(*docs.columns)
     repeated = ids.where("rows > 1").select(k)
     if repeated.isEmpty():
         return single
