@@ -120,8 +120,10 @@ def reference_lists(before: Column, after: Column, slice_type: Column, n0: Colum
     """First reference lists as arrays of POCs: both sets in turn, cycled to the wanted length (16 at most); none for I, the second for B only."""
 
     def build(first: Column, second: Column, want: Column, on: Column) -> Column:
-        both = F.concat(first, second)
-        cycled = F.transform(F.sequence(F.lit(0), F.greatest(F.least(want, F.lit(16)) - 1, F.lit(0))), lambda i: F.get(both, i % F.size(both)))
-        return F.when(on & (F.size(both) > 0) & (want > 0), cycled).otherwise(F.array().cast("array<int>"))
+        # Sizes alone tell where an element comes from: no list of both is made for each element.
+        split, size = F.size(first), F.size(first) + F.size(second)
+        element = lambda i: F.when(i % size < split, F.get(first, i % size)).otherwise(F.get(second, i % size - split))
+        cycled = F.transform(F.sequence(F.lit(0), F.greatest(F.least(want, F.lit(16)) - 1, F.lit(0))), element)
+        return F.when(on & (size > 0) & (want > 0), cycled).otherwise(F.array().cast("array<int>"))
 
     return build(before, after, n0, slice_type != "I"), build(after, before, n1, slice_type == "B")

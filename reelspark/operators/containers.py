@@ -71,6 +71,12 @@ def to_annexb(nals: DataFrame) -> DataFrame:
     return joined.select("object_id", (F.length(stream) / 2).cast("bigint").alias("bytes"), stream.alias("stream"))
 
 
+def with_parameter_sets(nals: DataFrame, sets: DataFrame) -> DataFrame:
+    """NAL rows (object_id, nal_no, body) and before an object's first one, once, its sets (object_id, sps, pps), all in hex."""
+    put = lambda column, no: sets.select("object_id", F.lit(no).cast("bigint").alias("nal_no"), F.col(column).alias("body")).where("body is not null")
+    return nals.select("object_id", F.col("nal_no").cast("bigint").alias("nal_no"), "body").unionByName(put("sps", -2)).unionByName(put("pps", -1))
+
+
 def split_annexb(stream: Column) -> Column:
     """NAL bodies (hex) of an Annex B stream in hex: what lies between start codes, trailing zero bytes stripped."""
     octets = F.array_join(F.regexp_extract_all(stream, F.lit(".."), F.lit(0)), " ")

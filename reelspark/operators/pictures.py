@@ -55,9 +55,12 @@ def access_units(slices: DataFrame, fields: list[str]) -> DataFrame:
 
 def sliding_window(pictures: DataFrame, references: int) -> DataFrame:
     """pictures (stream_id, n, is_reference, idr) with held: the n of the reference pictures marked when each is decoded, oldest first."""
-    run = Window.partitionBy("stream_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("stream_id").orderBy("n")
+    runs = pictures.withColumn("_run", F.sum(F.col("idr").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Each reference knows the few references up to itself; every picture takes what the latest reference before it knows.
+    # References of a run come first in their own window, so a frame of fixed length holds them all.
+    own = Window.partitionBy("stream_id", "_run", "is_reference").orderBy("n").rowsBetween(-(references - 1), 0)
+    known = runs.withColumn("_known", F.when(F.col("is_reference"), F.collect_list("n").over(own)))
     inside = Window.partitionBy("stream_id", "_run").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    held = F.collect_list(F.when(F.col("is_reference"), F.col("n"))).over(inside)
-    # Frames of reference pictures are short: the running list is cut to the marked ones at once.
-    cut = F.slice(held, F.greatest(F.size(held) - references + 1, F.lit(1)), references)
-    return pictures.withColumn("_run", F.sum(F.col("idr").cast("int")).over(run)).withColumn("held", F.when(F.col("idr"), F.array().cast("array<bigint>")).otherwise(cut)).drop("_run")
+    held = F.coalesce(F.last("_known", ignorenulls=True).over(inside), F.array().cast("array<bigint>"))
+    return known.withColumn("held", F.when(F.col("idr"), F.array().cast("array<bigint>")).otherwise(held)).drop("_run", "_known")

@@ -68,3 +68,38 @@ def fill_gaps(units: DataFrame) -> DataFrame:
 def scaled_pts(pts, clock):
     """Milliseconds of a video pts: (max(pts, 0) * ((1000 << 16) div clock)) >> 16."""
     return F.shiftright(F.greatest(pts, F.lit(0)) * F.floor(F.lit(65536000) / clock).cast("bigint"), 16)
+
+
+# What record ports take, as (codec, packing, port).
+ADMITTED = (("aac", "raw", "audio"), ("aac", "framed", "audio"), ("mp3", "framed", "audio"), ("h264", "annexb", "video"), ("h264", "length", "video"))
+
+
+def admitted(streams: DataFrame) -> DataFrame:
+    """streams (codec, packing, port, ...) with admitted: whether a decoder of that port takes them; nulls are refused."""
+    taken = F.struct("codec", "packing", "port").isin(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("codec", "packing", "port"), t, strict=True)]) for t in ADMITTED])
+    return streams.withColumn("admitted", F.coalesce(taken, F.lit(False)))
+
+
+def pop_times(pictures: DataFrame) -> DataFrame:
+    """(stream_id, n, pts): the n-th picture of a stream in display order (poc) takes the n-th pts of decoding order (n)."""
+    order = lambda *c: F.row_number().over(Window.partitionBy("stream_id").orderBy(*c))
+    both = pictures.select("stream_id", "n", "pts", order("n").alias("i"), order("poc", "n").alias("j"))
+    # One shuffle: both numberings and this window have the same partitioning.
+    tagged = both.select("stream_id", F.explode(F.array(F.struct(F.col("i").alias("at"), F.lit(None).cast("bigint").alias("n"), "pts"), F.struct(F.col("j").alias("at"), "n", F.lit(None).cast("bigint").alias("pts")))).alias("s"))
+    met = tagged.groupBy("stream_id", "s.at").agg(F.max("s.n").alias("n"), F.max("s.pts").alias("pts"))
+    return met.select("stream_id", "n", "pts")
+
+
+def with_silence(units: DataFrame) -> DataFrame:
+    """(stream_id, seq, pts, samples, silence): the units, and before each gap that fill_gaps() fills a row of silence of its length."""
+    gap = F.struct(F.col("expected").alias("pts"), F.col("silence").alias("samples"), F.lit(True).alias("silence"))
+    own = F.struct("pts", "samples", F.lit(False).alias("silence"))
+    rows = F.when(F.col("silence") > 0, F.array(gap, own)).otherwise(F.array(own))
+    return fill_gaps(units).select("stream_id", "seq", F.explode(rows).alias("u")).select("stream_id", "seq", "u.*")
+
+
+def chunks(objects: DataFrame, key: str, column: str, size: int) -> DataFrame:
+    """(key, chunk, bytes): the hex text of a column in chunks of so many bytes; empty and null ones have none."""
+    n = F.ceil(F.length(column) / (2 * size)).cast("int")
+    each = objects.where(F.length(column) > 0).select(key, column, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    return each.select(key, "chunk", F.substring(F.col(column), F.col("chunk") * (2 * size) + 1, F.lit(2 * size)).alias("bytes"))

@@ -48,12 +48,12 @@ SELECT stream_id, n, z AS ulaw_left, z AS ulaw_right, CASE WHEN a & 128 <> 0 THE
 
 
 def g711_gap_fill(spark, d):
-    units = view(spark, d, "units").where("seq % 7 <> 0")
+    units = view(spark, d, "units").where("not lost")
     return records.fill_gaps(units).select("stream_id", "seq", "pts", "expected", "silence", (F.col("silence") + F.col("samples")).alias("samples_out"))
 
 
 QUERIES["g711_gap_fill"] = g711_gap_fill
-ORACLE_SQL["g711_gap_fill"] = f"""WITH {sql('units')}, w AS (SELECT *, lag(pts + samples) OVER (PARTITION BY stream_id ORDER BY seq) AS expected FROM units WHERE seq % 7 <> 0),
+ORACLE_SQL["g711_gap_fill"] = f"""WITH {sql('units')}, w AS (SELECT *, lag(pts + samples) OVER (PARTITION BY stream_id ORDER BY seq) AS expected FROM units WHERE NOT lost),
 f AS (SELECT *, CASE WHEN discontinuity AND pts - expected BETWEEN 1 AND {records.MAX_SILENCE} THEN pts - expected ELSE 0 END AS silence FROM w)
 SELECT stream_id, seq, pts, expected, silence, silence + samples AS samples_out FROM f"""
 

@@ -97,15 +97,18 @@ SELECT img, x, y, l + m + n - greatest(l, m, n) - least(l, m, n) AS median, CASE
 
 
 def conceal(spark, d):
-    """Lost samples (every one with b % 5 = 0) taken from the image before at their place; null where there is none."""
-    p = pixels(spark, d)
-    order = Window.partitionBy("x", "y").orderBy("img").rowsBetween(Window.unboundedPreceding, 0)
+    """Lost samples (every one with b % 5 = 0) taken from the image before in their sequence at their place; null where there is none.
+
+    Sequences are of sixteen images: each place of each sequence is a window of its own.
+    """
+    p = pixels(spark, d).withColumn("sequence", F.floor(C("img") / 16))
+    order = Window.partitionBy("sequence", "x", "y").orderBy("img").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.last(F.when(C("b") % 5 != 0, C("r")), ignorenulls=True).over(order)
     return p.withColumn("shown", seen).groupBy("img").agg(F.count(F.when(C("b") % 5 == 0, 1)).alias("concealed"), F.sum("shown").alias("level"))
 
 
 QUERIES["conceal"] = conceal
-ORACLE_SQL["conceal"] = f"""WITH {PIXELS_SQL}, s AS (SELECT *, last_value(CASE WHEN b % 5 <> 0 THEN r END IGNORE NULLS) OVER (PARTITION BY x, y ORDER BY img ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS shown FROM pixels)
+ORACLE_SQL["conceal"] = f"""WITH {PIXELS_SQL}, s AS (SELECT *, last_value(CASE WHEN b % 5 <> 0 THEN r END IGNORE NULLS) OVER (PARTITION BY img // 16, x, y ORDER BY img ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS shown FROM pixels)
 SELECT img, count(*) FILTER (WHERE b % 5 = 0) AS concealed, sum(shown)::BIGINT AS level FROM s GROUP BY 1"""
 
 

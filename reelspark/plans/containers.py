@@ -58,19 +58,21 @@ SELECT object_id, track, c AS codec_id, kind, row_number() OVER (PARTITION BY ob
 
 
 def ebml_varint(spark, d):
-    """Width and value of EBML numbers of up to three bytes, whether they are of unknown size, and time scales."""
+    """Width and value of EBML numbers of up to eight bytes, whether they are of unknown size, and time scales; -1 for none."""
     x = view(spark, d, "octets")
     w = bitstream.ebml_width(C("b0"))
-    rest = F.when(w == 1, F.lit(0)).when(w == 2, C("b1")).otherwise(C("b1") * 256 + C("b2"))
-    ones = F.pow(F.lit(2), 7 * w).cast("bigint") - 1
-    y = x.where(w <= 3).select("object_id", "k", w.alias("width"), bitstream.ebml_value(C("b0"), rest).alias("value"), ones.alias("ones"), "w")
+    tail = ((C("b1") * 256 + C("b2")) * 65536 + C("w")) * 16777216 + (C("object_id") * 31 + C("k")) % 16777216
+    y = x.select("object_id", "k", "b0", "w", w.cast("int").alias("width"), tail.alias("tail"))
+    rest = F.expr("shiftright(tail, 8 * (8 - width))")
+    ones = F.pow(F.lit(2), 7 * C("width")).cast("bigint") - 1
+    y = y.select("object_id", "k", "width", F.coalesce(bitstream.ebml_value(C("b0"), rest), F.lit(-1)).alias("value"), ones.alias("ones"), "w")
     return y.select("object_id", "k", "width", "value", (C("value") == C("ones")).alias("unknown"), bitstream.timescale(C("w") * 100).alias("timescale"), bitstream.track_id(C("w") * 2).alias("track"))
 
 
 QUERIES["ebml_varint"] = ebml_varint
-ORACLE_SQL["ebml_varint"] = f"""WITH {sql('octets')}, x AS (SELECT *, (CASE WHEN b0 >= 128 THEN 1 WHEN b0 >= 64 THEN 2 WHEN b0 >= 32 THEN 3 WHEN b0 = 0 THEN 0 ELSE 9 END) AS width FROM octets),
-y AS (SELECT *, CASE width WHEN 1 THEN b0 - 128 WHEN 2 THEN (b0 - 64) * 256 + b1 WHEN 3 THEN (b0 - 32) * 65536 + b1 * 256 + b2 END AS value FROM x WHERE width <= 3)
-SELECT object_id, k, width, value, value = (1 << (7 * width)) - 1 AS "unknown", CASE WHEN w > 0 THEN 1000000000 // (w * 100) ELSE 0 END AS timescale, CASE WHEN w * 2 BETWEEN 1 AND 65535 THEN w * 2 END AS track FROM y"""
+ORACLE_SQL["ebml_varint"] = f"""WITH {sql('octets')}, x AS (SELECT *, CASE WHEN b0 > 0 THEN 9 - length(bin(b0)) ELSE 0 END AS width, ((b1 * 256 + b2) * 65536 + w) * 16777216 + (object_id * 31 + k) % 16777216 AS tail FROM octets),
+y AS (SELECT *, CASE WHEN width > 0 THEN (b0 - (1 << (8 - width)::INT)) * (1::BIGINT << (8 * (width - 1))::INT) + (tail >> (8 * (8 - width))::INT) ELSE -1 END AS value FROM x)
+SELECT object_id, k, width::INT AS width, value, value = (1::BIGINT << (7 * width)::INT) - 1 AS "unknown", CASE WHEN w > 0 THEN 1000000000 // (w * 100) ELSE 0 END AS timescale, CASE WHEN w * 2 BETWEEN 1 AND 65535 THEN w * 2 END AS track FROM y"""
 
 QUERIES["cluster_time"] = lambda spark, d: containers.cluster_time(view(spark, d, "elements"))
 ORACLE_SQL["cluster_time"] = f"""WITH {sql('elements')}, t AS (SELECT *, val + last_value(CASE WHEN kind = 'cluster' THEN val END IGNORE NULLS) OVER (PARTITION BY object_id ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ts FROM elements)

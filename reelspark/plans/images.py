@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelspark.functions import raster
+from reelspark.operators import images
 from reelspark.sources.views import PIXELS_SQL, pixels, sql, view
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -81,6 +82,23 @@ t AS (SELECT *, CASE WHEN abs(b2 - c) <= abs(a - c) AND abs(b2 - c) <= abs(a + b
 SELECT img, x, y, predicted, ((r - predicted) % 256 + 256) % 256 AS residual FROM t"""
 
 
+def png_unfilter_lines(spark, d):
+    """Lines filtered in the five ways, by number of image and line, and brought back."""
+    p = pixels(spark, d)
+    line, column = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
+    q = p.withColumn("a", F.lag("r", 1, 0).over(line)).withColumn("b0", F.lag("r", 1, 0).over(column)).withColumn("c", F.lag("a", 1, 0).over(column))
+    kind = ((C("img") + C("y")) % 5).cast("int")
+    guess = F.when(kind == 1, C("a")).when(kind == 2, C("b0")).when(kind == 3, F.floor((C("a") + C("b0")) / 2)).when(kind == 4, raster.paeth(C("a"), C("b0"), C("c"))).otherwise(0)
+    coded = q.select("img", "y", kind.alias("filter"), "x", F.pmod(C("r") - guess, F.lit(256)).cast("int").alias("v"))
+    lines = coded.groupBy("img", "y", "filter").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("samples"))
+    back = images.unfilter(lines, 1)
+    return back.select("img", "y", F.array_join("samples", ",").alias("line"))
+
+
+QUERIES["png_unfilter_lines"] = png_unfilter_lines
+ORACLE_SQL["png_unfilter_lines"] = f"WITH {PIXELS_SQL} SELECT img, y, string_agg(r::VARCHAR, ',' ORDER BY x) AS line FROM pixels GROUP BY 1, 2"
+
+
 def png_palette(spark, d):
     """Sub-byte samples: scaled to 8 bits by depth, and as indexes into the image's palette (its first line's colours)."""
     p = pixels(spark, d)

@@ -72,9 +72,11 @@ def ref_lists(spark, d):
     before = F.transform(F.sequence(F.lit(1), (C("b0") % 4 + 1).cast("int")), lambda i: poc - i * 2)
     after = F.transform(F.sequence(F.lit(1), (C("b1") % 3 + 1).cast("int")), lambda i: poc + i)
     kind = F.get(F.array(F.lit("B"), F.lit("P"), F.lit("I")), (C("b2") % 3).cast("int"))
-    l0, l1 = bitstream.reference_lists(before, after, kind, (C("b0") % 8).cast("int"), (C("b1") % 20).cast("int"))
-    no_backward = ~F.exists(F.concat(l0, l1), lambda p: p > poc)
-    return x.select("object_id", "k", kind.alias("slice_type"), F.array_join(l0, ",").alias("l0"), F.array_join(l1, ",").alias("l1"), no_backward.alias("no_backward"))
+    sets = x.select("object_id", "k", "b0", "b1", poc.alias("poc"), before.alias("before"), after.alias("after"), kind.alias("slice_type"))
+    l0, l1 = bitstream.reference_lists(C("before"), C("after"), C("slice_type"), (C("b0") % 8).cast("int"), (C("b1") % 20).cast("int"))
+    lists = sets.select("object_id", "k", "poc", "slice_type", l0.alias("l0"), l1.alias("l1"))
+    later = lambda p: F.coalesce(F.array_max(p) > C("poc"), F.lit(False))
+    return lists.select("object_id", "k", "slice_type", F.array_join("l0", ",").alias("l0"), F.array_join("l1", ",").alias("l1"), (~(later(C("l0")) | later(C("l1")))).alias("no_backward"))
 
 
 QUERIES["ref_lists"] = ref_lists

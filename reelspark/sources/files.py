@@ -25,10 +25,12 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def riff_chunks(b: bytes) -> Iterator[tuple[str, int, int]]:
-    """Chunks of a RIFF file; odd ones are padded, one that says more than there is ends with the file."""
+    """Chunks of a RIFF file; odd ones are padded; one that says more than there is, and data of size 0, end with the file."""
     at = 12
     while b[:4] == b"RIFF" and at + 8 <= len(b):
         size = struct.unpack_from("<I", b, at + 4)[0]
+        if b[at : at + 4] == b"data" and not size:
+            size = len(b) - at - 8
         yield b[at : at + 4].decode("latin-1"), at + 8, min(size, len(b) - at - 8)
         at += 8 + size + size % 2
 
@@ -53,7 +55,7 @@ def adts_frames(b: bytes) -> Iterator[tuple[str, int, int]]:
             yield ("frame" if at + size <= len(b) else "fault"), at, min(size, len(b) - at)
             at += size
         else:
-            at += 1
+            at = b.find(b"\xff", at + 1) % (len(b) + 1)
 
 
 def mp3_frames(b: bytes) -> Iterator[tuple[str, int, int]]:
@@ -69,7 +71,23 @@ def mp3_frames(b: bytes) -> Iterator[tuple[str, int, int]]:
             yield ("frame" if at + size <= len(b) else "fault"), at, min(size, len(b) - at)
             at += size
         else:
-            at += 1
+            at = b.find(b"\xff", at + 1) % (len(b) + 1)
+
+
+def prefixed_nals(width: int) -> Callable[[bytes], Iterator[tuple[str, int, int]]]:
+    """NALs after lengths of 1, 2 or 4 bytes; a cut one is a fault."""
+
+    def step(b: bytes) -> Iterator[tuple[str, int, int]]:
+        at = 0
+        while at < len(b):
+            size = int.from_bytes(b[at : at + width], "big")
+            if at + width + size > len(b):
+                yield "fault", at, len(b) - at
+                return
+            yield "nal", at + width, size
+            at += width + size
+
+    return step
 
 
 def ebml_elements(b: bytes) -> Iterator[tuple[str, int, int]]:
@@ -102,21 +120,38 @@ def ebml_elements(b: bytes) -> Iterator[tuple[str, int, int]]:
             at += size
 
 
-WALKS: dict[str, Callable[[bytes], Iterator[tuple[str, int, int]]]] = {"riff": riff_chunks, "png": png_chunks, "adts": adts_frames, "mp3": mp3_frames, "ebml": ebml_elements}
+WALKS: dict[str, Callable[[bytes], Iterator[tuple[str, int, int]]]] = {
+    "riff": riff_chunks, "png": png_chunks, "adts": adts_frames, "mp3": mp3_frames, "ebml": ebml_elements, **{f"nal{w}": prefixed_nals(w) for w in (1, 2, 4)},
+}
+#: Rows, and bytes of payload, that a task of a walk holds before it hands them on.
+WALK_ROWS, WALK_BYTES = 20_000, 8_000_000
+
 
+def walk(media: DataFrame, how: str, keep: Callable[[str, int], bool] | None = None) -> DataFrame:
+    """(object_id, seq, kind, offset, length) of media (object_id, content); null contents have no rows, broken ones a 'fault'.
 
-def walk(media: DataFrame, how: str) -> DataFrame:
-    """(object_id, seq, kind, offset, length) of media (object_id, content); null contents have no rows, broken ones a 'fault'."""
+    With keep there is payload too: the bytes of the rows whose kind and length it takes, from the walk itself.
+    """
     import pandas as pd
 
     step = WALKS[how]
+    names = ["object_id", "seq", "kind", "offset", "length", *(["payload"] if keep else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
-            rows = [(i, n, *x) for i, b in zip(batch["object_id"], batch["content"], strict=True) if b is not None for n, x in enumerate(step(bytes(b)))]
-            yield pd.DataFrame(rows, columns=["object_id", "seq", "kind", "offset", "length"])
+            for i, b in zip(batch["object_id"], batch["content"], strict=True):
+                for n, (kind, at, size) in enumerate(step(bytes(b)) if b is not None else ()):
+                    payload = [bytes(b[at : at + size]) if keep(kind, size) else None] if keep else []
+                    rows.append((i, n, kind, at, size, *payload))
+                    held += len(payload[0]) if payload and payload[0] else 0
+                    if len(rows) >= WALK_ROWS or held >= WALK_BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+        yield pd.DataFrame(rows, columns=names)
 
-    return media.select("object_id", "content").mapInPandas(run, FRAMES)
+    key = media.schema["object_id"].dataType.simpleString()
+    return media.select("object_id", "content").mapInPandas(run, FRAMES.replace("object_id string", f"object_id {key}") + (", payload binary" if keep else ""))
 
 
 def unsigned(content: Column, at: Column | int, size: int, little: bool = True) -> Column:
@@ -138,26 +173,25 @@ def wav_info(media: DataFrame) -> DataFrame:
 
     The first fmt and data chunks count; a data size of 0 means all that is left.
     """
-    chunks = walk(media, "riff").where("kind in ('fmt ', 'data')").groupBy("object_id").agg(
-        F.min_by("offset", F.when(F.col("kind") == "fmt ", F.col("seq"))).alias("f"), F.min_by(F.struct("offset", "length"), F.when(F.col("kind") == "data", F.col("seq"))).alias("d")
-    )
-    x = chunks.join(media.withColumnRenamed("object_id", "m_id"), F.col("object_id") == F.col("m_id")).where(unsigned(F.col("content"), F.col("f"), 2) == 1)
-    c, f = F.col("content"), F.col("f")
-    data = F.when(F.col("d.length") == 0, F.length(c) - F.col("d.offset")).otherwise(F.col("d.length"))
-    return x.select(
-        "object_id", unsigned(c, f + 2, 2).cast("int").alias("channels"), unsigned(c, f + 4, 4).cast("int").alias("sample_rate_hz"), unsigned(c, f + 12, 2).cast("int").alias("block_align"),
-        unsigned(c, f + 14, 2).cast("int").alias("bit_depth"), F.col("d.offset").alias("data_offset"), data.alias("data_bytes"),
+    first = lambda v, kind: F.min_by(v, F.when(F.col("kind") == kind, F.col("seq")))
+    chunks = walk(media, "riff", lambda kind, size: kind == "fmt ").where("kind in ('fmt ', 'data')")
+    x = chunks.groupBy("object_id").agg(first("payload", "fmt ").alias("f"), first(F.struct("offset", "length"), "data").alias("d"))
+    f = F.col("f")
+    return x.where(unsigned(f, 0, 2) == 1).select(
+        "object_id", unsigned(f, 2, 2).cast("int").alias("channels"), unsigned(f, 4, 4).cast("int").alias("sample_rate_hz"), unsigned(f, 12, 2).cast("int").alias("block_align"),
+        unsigned(f, 14, 2).cast("int").alias("bit_depth"), F.col("d.offset").alias("data_offset"), F.col("d.length").alias("data_bytes"),
     )
 
 
 def wav_samples(media: DataFrame) -> DataFrame:
     """(object_id, n, ch, v) of 16-bit WAV files, one row per sample and channel."""
     info = wav_info(media).where("bit_depth = 16 and channels > 0")
-    x = info.join(media.withColumnRenamed("object_id", "m_id"), F.col("object_id") == F.col("m_id"))
+    data = walk(media, "riff", lambda kind, size: kind == "data").where("kind = 'data'").select("object_id", F.col("offset").alias("data_offset"), "payload")
+    x = info.join(data, ["object_id", "data_offset"])
     # Blocks of samples are dealt out first, so that one long file does not become one long row.
     count = F.floor(F.col("data_bytes") / 2)
     parts = x.where(count > 0).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((count - 1) / 4096))))
-    cut = parts.select("object_id", "channels", "part", F.substring("content", (F.col("data_offset") + F.col("part") * 8192 + 1).cast("int"), F.least(F.lit(8192), 2 * count - F.col("part") * 8192).cast("int")).alias("c"))
+    cut = parts.select("object_id", "channels", "part", F.substring("payload", (F.col("part") * 8192 + 1).cast("int"), F.least(F.lit(8192), 2 * count - F.col("part") * 8192).cast("int")).alias("c"))
     each = cut.repartition("object_id", "part").withColumn("i", F.explode(F.sequence(F.lit(0), F.floor(F.length("c") / 2) - 1)))
     at = F.col("part") * 4096 + F.col("i")
     return each.select("object_id", F.floor(at / F.col("channels")).alias("n"), (at % F.col("channels")).cast("int").alias("ch"), signed16(F.col("c"), F.col("i") * 2).alias("v"))
@@ -180,11 +214,39 @@ def bmp_pixels(media: DataFrame) -> DataFrame:
 
 def matroska(media: DataFrame) -> DataFrame:
     """Elements of Matroska files: (object_id, seq, kind, offset, length, payload). Payloads are whole; faults and masters over 8 KiB have none."""
-    found = walk(media, "ebml")
-    x = found.join(media.withColumnRenamed("object_id", "m_id"), F.col("object_id") == F.col("m_id"))
-    nested = F.col("kind").isin("fault", *(f"{m:X}" for m in sorted(MASTERS)))
-    payload = F.when((F.col("length") >= 0) & (~nested | (F.col("length") <= 8192)), F.expr("substring(content, int(offset) + 1, int(length))"))
-    return x.select("object_id", "seq", "kind", "offset", "length", payload.alias("payload"))
+    nested = {f"{m:X}" for m in MASTERS} | {"fault"}
+    return walk(media, "ebml", lambda kind, size: size >= 0 and (kind not in nested or size <= 8192))
+
+
+def _whole() -> Column:
+    return F.conv(F.hex("payload"), 16, 10).cast("bigint")
+
+
+def _inside(elements: DataFrame, **masters: str) -> DataFrame:
+    """Elements with, for each name, the seq of the latest element of that id so far."""
+    order = Window.partitionBy("object_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return elements.withColumns({n: F.last(F.when(F.col("kind") == k, F.col("seq")), ignorenulls=True).over(order) for n, k in masters.items()})
+
+
+def matroska_segments(elements: DataFrame) -> DataFrame:
+    """(object_id, data_offset) of segments: where their payload begins, the base of all positions."""
+    return elements.where("kind = '18538067'").select("object_id", F.col("offset").alias("data_offset"))
+
+
+def matroska_cues(elements: DataFrame) -> DataFrame:
+    """(object_id, ticks, track, position, relative) from matroska(): one row for each track position of a cue point, whose time they share."""
+    x = _inside(elements.where("kind in ('BB', 'B3', 'B7', 'F7', 'F1', 'F0')"), point="BB", place="B7").where("point is not null")
+    x = x.withColumn("ticks", F.max(F.when(F.col("kind") == "B3", _whole())).over(Window.partitionBy("object_id", "point")))
+    leaf = lambda k: F.max(F.when(F.col("kind") == k, _whole()))
+    told = x.where("place > point and kind in ('B7', 'F7', 'F1', 'F0')").groupBy("object_id", "place", "ticks").agg(leaf("F7").alias("track"), leaf("F1").alias("position"), leaf("F0").alias("relative"))
+    return told.select("object_id", "ticks", "track", "position", "relative")
+
+
+def matroska_seek_entries(elements: DataFrame) -> DataFrame:
+    """(object_id, element_id, position) from matroska(): where the seek head says that elements are, ids in hex."""
+    x = _inside(elements.where("kind in ('4DBB', '53AB', '53AC')"), entry="4DBB").where("entry is not null")
+    told = x.groupBy("object_id", "entry").agg(F.max(F.when(F.col("kind") == "53AB", F.hex("payload"))).alias("element_id"), F.max(F.when(F.col("kind") == "53AC", _whole())).alias("position"))
+    return told.select("object_id", "element_id", "position")
 
 
 def matroska_tracks(elements: DataFrame) -> DataFrame:

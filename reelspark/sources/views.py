@@ -16,7 +16,7 @@ STREAM_SAMPLES = 16000
 # Each view: its columns in an SQL that both engines read, but for div (Spark) and // (DuckDB).
 _VIEWS = {
     "pcm": ("events", f"event_id DIV {STREAM_SAMPLES} AS stream_id, event_id % {STREAM_SAMPLES} AS n, (event_id * 7919) % 65536 - 32768 AS l, (event_id * 104729 + user_id) % 65536 - 32768 AS r"),
-    "units": ("events", "user_id AS stream_id, event_id AS seq, event_id * 4 AS pts, 160 + event_id % 3 * 80 AS samples, event_id % 3 = 0 AS discontinuity"),
+    "units": ("events", "user_id AS stream_id, event_id AS seq, event_id * 4 AS pts, 160 + event_id % 3 * 80 AS samples, event_id % 3 = 0 AS discontinuity, event_id % 7 = 0 AS lost"),
     "records": ("events", "user_id AS stream_id, event_id AS seq, CASE WHEN event_id % 10 = 0 THEN 'STREAM' WHEN event_id % 10 = 9 THEN 'END' ELSE 'UNIT' END AS kind, event_id % 5 IN (1, 3) AS continues, event_id % 11 = 3 AS truncated, event_id % 1500 AS bytes"),
     "elements": ("lineitem", "l_orderkey % 97 AS object_id, l_orderkey * 8 + l_linenumber AS off, CASE WHEN l_linenumber = 1 THEN 'cluster' ELSE 'block' END AS kind, CASE WHEN l_linenumber = 1 THEN l_orderkey * 1000 ELSE l_partkey % 65536 - 32768 END AS val, l_suppkey % 256 AS flags"),
     "octets": ("lineitem", "l_orderkey AS object_id, l_linenumber AS k, l_orderkey * 31 % 256 AS b0, l_partkey % 256 AS b1, l_suppkey * 7 % 256 AS b2, l_partkey * 13 % 65536 AS w"),
