@@ -52,7 +52,7 @@ SELECT book, symbol, bits, CASE WHEN used + (1 << (15 - bits)) <= 32768 THEN use
 def inverse_cosine(spark, d):
     """Both passes of the 8 x 8 inverse cosine transform as joins with the basis and sums: coefficients are the images' levels."""
     basis = spark.createDataFrame([(k, n, coding.cosine(k, n)) for k in range(8) for n in range(8)], "k int, n int, v bigint")
-    p = pixels(spark, d).select("img", "x", "y", (C("r") - 128).cast("bigint").alias("c"))
+    p = pixels(spark, d, by_image=True).select("img", "x", "y", (C("r") - 128).cast("bigint").alias("c"))
     rows = p.join(F.broadcast(basis), C("x") == C("k")).groupBy("img", "y", "n").agg(F.shiftright(F.sum(C("c") * C("v")) + 4096, 13).alias("c"))
     out = rows.toDF("img", "y", "col", "c").join(F.broadcast(basis), C("y") == C("k")).groupBy("img", "col", "n").agg(F.shiftright(F.sum(C("c") * C("v")) + 4096, 13).alias("v"))
     return out.select("img", C("col").alias("x"), C("n").alias("y"), F.greatest(F.least(C("v") + 128, F.lit(255)), F.lit(0)).alias("v"))
@@ -67,7 +67,7 @@ SELECT img, col AS x, n AS y, greatest(least(v + 128, 255), 0) AS v FROM b"""
 
 def half_samples(spark, d):
     """Half-sample interpolation along lines: six neighbours by a window, edges repeated."""
-    p = pixels(spark, d)
+    p = pixels(spark, d, by_image=True)
     w = Window.partitionBy("img", "y").orderBy("x")
     edge = lambda k: F.coalesce(F.lag("r", -k).over(w) if k < 0 else F.lead("r", k).over(w), F.first("r").over(whole) if k < 0 else F.last("r").over(whole))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -82,7 +82,7 @@ ORACLE_SQL["half_samples"] = f"WITH {PIXELS_SQL} SELECT img, x, y, greatest(leas
 
 def motion_prediction(spark, d):
     """Median of the left, upper and upper-right vectors (0 outside), and intra DC from the left and upper samples (128 without either)."""
-    p = pixels(spark, d)
+    p = pixels(spark, d, by_image=True)
     line, column = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
     q = p.withColumn("a", F.lag("r").over(line)).withColumn("b", F.lag("r").over(column)).withColumn("up_right", F.lead("r").over(line)).withColumn("c", F.lag("up_right").over(column))
     zero = lambda n: F.coalesce(C(n), F.lit(0))

@@ -14,12 +14,12 @@ C = F.col
 
 
 def nearest_resample(spark, d):
-    """Every image stretched to 13 x 5: target pixels join their source pixel by its coordinates."""
-    src = pixels(spark, d)
-    size = src.groupBy("img").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    grid = size.withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(12)))).withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    grid = grid.select("img", "dx", "dy", raster.nearest(C("dx"), C("w"), F.lit(13)).alias("x"), raster.nearest(C("dy"), C("h"), F.lit(5)).alias("y"))
-    return grid.join(src, ["img", "x", "y"]).select("img", "dx", "dy", raster.rgb565(C("r"), C("g"), C("b")).alias("v"))
+    """Every image stretched to 13 x 5: its packed samples are one array, which target pixels index by their source's place."""
+    src = pixels(spark, d, by_image=True).select("img", "x", "y", raster.rgb565(C("r"), C("g"), C("b")).alias("v"))
+    whole = src.groupBy("img").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("s"))
+    grid = whole.withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(12)))).withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    at = raster.nearest(C("dy"), C("h"), F.lit(5)) * C("w") + raster.nearest(C("dx"), C("w"), F.lit(13))
+    return grid.select("img", "dx", "dy", F.get("s", at.cast("int"))["v"].alias("v"))
 
 
 QUERIES["nearest_resample"] = nearest_resample
@@ -57,7 +57,7 @@ SELECT object_id, k, x // 128 * 8192 + y * 128 + x % 128 AS off8, x // 3 * 4 //
 
 def png_unfilter(spark, d):
     """Sub and Up filters undone: running sums of the residuals along the line, or down the column, modulo 256."""
-    p = pixels(spark, d)
+    p = pixels(spark, d, by_image=True)
     along = Window.partitionBy("img", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("img", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
     return p.select("img", "x", "y", (F.sum("r").over(along) % 256).alias("sub"), (F.sum("r").over(down) % 256).alias("up"))
@@ -69,7 +69,7 @@ ORACLE_SQL["png_unfilter"] = f"WITH {PIXELS_SQL} SELECT img, x, y, (sum(r) OVER
 
 def png_paeth(spark, d):
     """The predictor of every pixel from its left, upper and upper-left neighbours; outside is 0. And the residual by it."""
-    p = pixels(spark, d)
+    p = pixels(spark, d, by_image=True)
     line, column = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
     q = p.withColumn("a", F.lag("r", 1, 0).over(line)).withColumn("b", F.lag("r", 1, 0).over(column)).withColumn("c", F.lag("a", 1, 0).over(column))
     return q.select("img", "x", "y", raster.paeth(C("a"), C("b"), C("c")).alias("predicted"), F.pmod(C("r") - raster.paeth(C("a"), C("b"), C("c")), F.lit(256)).alias("residual"))
@@ -84,7 +84,7 @@ SELECT img, x, y, predicted, ((r - predicted) % 256 + 256) % 256 AS residual FRO
 
 def png_unfilter_lines(spark, d):
     """Lines filtered in the five ways, by number of image and line, and brought back."""
-    p = pixels(spark, d)
+    p = pixels(spark, d, by_image=True)
     line, column = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
     q = p.withColumn("a", F.lag("r", 1, 0).over(line)).withColumn("b0", F.lag("r", 1, 0).over(column)).withColumn("c", F.lag("a", 1, 0).over(column))
     kind = ((C("img") + C("y")) % 5).cast("int")
@@ -133,9 +133,10 @@ SELECT img // 10 AS picture, x, line, coalesce(arg_max((r >> 3) * 2048 + (g >> 2
 
 def jpeg_upsample(spark, d):
     """4:2:0 chroma brought to full size: each pixel joins the chroma sample of its 2 x 2 block."""
-    p = pixels(spark, d)
-    chroma = p.where("x % 2 = 0 and y % 2 = 0").select(C("img").alias("c_img"), F.floor(C("x") / 2).alias("cx"), F.floor(C("y") / 2).alias("cy"), C("g").alias("cb"), C("b").alias("cr"))
-    full = p.join(chroma, (C("img") == C("c_img")) & (F.floor(C("x") / 2) == C("cx")) & (F.floor(C("y") / 2) == C("cy")))
+    p = pixels(spark, d, by_image=True)
+    # One row of each block carries its chroma: a window over the block, no join of the image with itself.
+    block = Window.partitionBy("img", F.floor(C("x") / 2), F.floor(C("y") / 2)).orderBy("y", "x").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    full = p.select("*", F.first("g").over(block).alias("cb"), F.first("b").over(block).alias("cr"))
     r, g, b = raster.ycbcr_to_rgb(C("r"), C("cb"), C("cr"))
     return full.select("img", "x", "y", r.alias("red"), g.alias("green"), b.alias("blue"))
 

@@ -45,9 +45,13 @@ def _split(columns: str) -> list[str]:
     return [*out, columns[start:]]
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(img, x, y, r, g, b): every vector as an image of 8 columns."""
-    at = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"), F.posexplode("embedding").alias("i", "e"))
+def pixels(spark: SparkSession, sf_dir: str, by_image: bool = False) -> DataFrame:
+    """(img, x, y, r, g, b): every vector as an image of 8 columns.
+
+    by_image deals whole images to tasks before they become pixels: what follows by image, line or column needs no further shuffle.
+    """
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    at = (vectors.repartition("vec_id") if by_image else vectors).select(F.col("vec_id").alias("img"), F.posexplode("embedding").alias("i", "e"))
     level = F.floor(F.abs(F.col("e").cast("double")) * 1000).cast("int")
     return at.select("img", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), (level % 256).alias("r"), (level * 3 % 256).alias("g"), (level * 7 % 256).alias("b"))
 
