@@ -161,10 +161,13 @@ windows AS (
   SELECT n, e, greatest(a - {pii.NEAR}, 0) AS off, substr(t, greatest(a - {pii.NEAR}, 0) + 1, a - greatest(a - {pii.NEAR}, 0)) AS w, a > {pii.NEAR} AS cut_left, false AS cut_right FROM entity
   UNION ALL SELECT n, e, z, substr(t, z + 1, {pii.NEAR}), false, length(t) > z + {pii.NEAR} FROM entity),
 words AS (SELECT n, e, off, w, cut_left, cut_right, f[i] AS v, {_PLACED} AS a FROM (SELECT *, unnest(generate_series(1, len(f))) AS i FROM (
-  SELECT *, regexp_extract_all(w, '\p{{L}}{{4,}}') AS f, string_split_regex(w, '\p{{L}}{{4,}}') AS g FROM windows WHERE regexp_matches(w, '\p{{L}}{{4,}}')))),
+  SELECT *, regexp_extract_all(w, '\p{{L}}{{3,}}|\p{{Han}}{{2}}') AS f, string_split_regex(w, '\p{{L}}{{3,}}|\p{{Han}}{{2}}') AS g FROM windows WHERE regexp_matches(w, '\p{{L}}{{3,}}|\p{{Han}}{{2}}')))),
 beside AS (SELECT n, e, off + a AS a, off + a + length(v) AS z, lower(v) AS w FROM words WHERE NOT (cut_left AND a = 0) AND NOT (cut_right AND a + length(v) = length(w))),
 n_e AS (SELECT e, count(DISTINCT n) AS n_e FROM entity GROUP BY 1),
-together AS (SELECT e, w, count(DISTINCT n) AS n_te FROM beside GROUP BY 1, 2 HAVING count(DISTINCT n) >= {pii.MIN_TOGETHER}),
+held AS (SELECT DISTINCT n, unnest(string_split_regex(lower(t), '[^\p{{L}}]+')) AS w FROM d WHERE n IN (SELECT n FROM entity)),
+together AS (
+  SELECT e, w, count(*) AS n_te FROM (SELECT DISTINCT n, e FROM entity) JOIN held USING (n) SEMI JOIN (SELECT DISTINCT e, w FROM beside) USING (e, w)
+  GROUP BY 1, 2 HAVING count(*) >= {pii.MIN_TOGETHER}),
 n_t AS (SELECT w, count(DISTINCT n) AS n_t FROM (SELECT n, unnest(string_split_regex(lower(t), '[^\p{{L}}]+')) AS w FROM d) WHERE w IN (SELECT w FROM together) GROUP BY 1),
 shares AS (
   SELECT e, w, CASE WHEN n_e >= c THEN 0 ELSE ln(c::DOUBLE * n_te / (n_t * n_e)) / ln(c::DOUBLE / n_e) END AS share

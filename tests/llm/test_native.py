@@ -285,3 +285,11 @@ def test_very_many_entities_in_one_text(spark):
     text = " ".join(f"a{i}@mail{i}.com Firstname Lastname" for i in range(1500))
     found = [r.pii for r in pii.find(spark.createDataFrame([(1, text), (2, text), (3, "clean")], "doc_id bigint, text string")).orderBy("doc_id").collect()]
     assert found[0] == found[1] and found[2] == [] and sum(s.kind == "email" for s in found[0]) == 1500
+
+
+def test_terms_are_counted_over_whole_documents(spark):
+    # In the second document the name stands far from the address: it counts there, and only the near occurrence goes.
+    far = "filler words without any name " * 20
+    texts = ["mail kim lee-zorbat jo@mail.org", "zorbat " + far + "jo@mail.org", "\u738b\u660e jo@mail.org", "\u738b\u660e jo@mail.org"] + [far + str(i) for i in range(60)]
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.stop] for s in r.pii if s.rank > 3] for r in pii.find(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    assert "zorbat" in got[0] and got[1] == [] and got[2] == got[3] == ["\u738b\u660e"] and "kim" not in got[0]
