@@ -7,6 +7,8 @@ Control strings inside texts are escaped reversibly.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,17 +56,20 @@ def paths(messages: DataFrame, per_tree: int | None = 1) -> DataFrame:
     limit = base.count()
     keys = base.select(F.col("tree").alias("pt"), F.col("node").alias("pn"))
     known = base.join(keys, F.expr("tree <=> pt and parent = pn"), "left")
-    # (node, the message `up` so many answers above it or null, and of those passed the sum of scores and the number).
+    # (node, the message `up` so many answers above it or null, and of those passed the sum of scores and the number). Only
+    # messages that have not come to their root climb on.
     state = written(known.select("tree", "node", F.col("pn").alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("length")), "jumps")
-    jumps, step = [state], 1
-    while step <= limit and not state.where("up is not null").isEmpty():
-        above = state.select(F.col("tree").alias("jt"), F.col("node").alias("jn"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("longer"))
-        climbed = state.join(above, F.expr("tree <=> jt and up = jn"), "left")
-        state = written(climbed.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("longer", F.lit(0))).alias("length")), "jumps")
-        jumps, step = [*jumps, state], step * 2
+    jumps, ended, step = [state], [state.where("up is null")], 1
+    climbing = state.where("up is not null")
+    while step <= limit and not climbing.isEmpty():
+        above = reduce(DataFrame.unionByName, ended, climbing).select(F.col("tree").alias("jt"), F.col("node").alias("jn"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("longer"))
+        climbed = climbing.join(above, F.expr("tree <=> jt and up = jn"))
+        state = written(climbed.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("longer")).alias("length")), "jumps")
+        jumps, ended, step = [*jumps, state], [*ended, state.where("up is null")], step * 2
+        climbing = state.where("up is not null")
     has_child = jumps[0].where("up is not null").select(F.col("tree").alias("ct"), F.col("up").alias("cn")).distinct()
     # What still climbs after as many steps as there are messages does so for ever.
-    leaves = state.where("up is null").join(has_child, F.expr("tree <=> ct and node = cn"), "left_anti")
+    leaves = reduce(DataFrame.unionByName, ended).join(has_child, F.expr("tree <=> ct and node = cn"), "left_anti")
     ranked = leaves.withColumn("path_rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("length")), "node")))
     if per_tree is not None:
         ranked = ranked.where(F.col("path_rank") <= per_tree)
