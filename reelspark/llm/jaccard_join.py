@@ -34,6 +34,8 @@ AT_ONCE = 500_000
 #: choice gives the same links, and this bounds what is broadcast to 12 MB.
 WIDE_FROM = 8
 WIDE_SHINGLES = 1_000_000
+#: Meetings at a shingle of this many sets are not put together in one task: their rows go on as they are.
+HOT_FROM = 200_000
 #: Document ids up to so many (16 bytes each) are broadcast when sets are fetched; more are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Before all open pairs are verified: rounds in which sets of larger meetings meet about so many others, in one of so
@@ -123,6 +125,7 @@ class _Order:
     """The order of shingles: those that are not wide by hash, then wide ones, rarer first."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        self.hot = np.sort(codes[counts >= HOT_FROM]).astype(np.uint64)
         rank = np.empty(len(codes), np.int64)
         rank[np.lexsort((codes, counts))] = np.arange(len(codes))
         by_code = np.argsort(codes)
@@ -196,17 +199,24 @@ def _describe(order, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _deal(order, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, entries): for every bucket of prefix shingles, its entries (ENTRY) as bytes, repeated groups of a piece once."""
+    """(bucket, hot, entries): for every bucket of prefix shingles, its entries (ENTRY) as bytes, repeated groups of a piece once.
+
+    Entries of hot shingles are dealt by group too, so that no bucket has them all.
+    """
     order = order.value
 
-    def told(held: list, groups: list) -> pa.RecordBatch:
+    def told(held: list, groups: list) -> Iterator[pa.RecordBatch]:
         lengths = [len(p) for p in held]
         out = np.empty(sum(lengths), ENTRY)
         out["s"] = np.concatenate(held)
         out["g"] = np.repeat(np.array([g for g, _ in groups], np.uint64), lengths)
         out["n"] = np.repeat(np.array([n for _, n in groups], np.uint32), lengths)
         out["p"] = np.concatenate([np.arange(length) for length in lengths])
-        return pa.RecordBatch.from_arrays([*_by_bucket(buckets, (out["s"] % np.uint64(buckets)).astype(np.int64), out)], ["bucket", "entries"])
+        hot = np.isin(out["s"] >> np.uint64(16), order.hot)
+        for which, key in ((False, out["s"]), (True, shingles.mixed(out["s"] ^ out["g"]))):
+            if (hot == which).any():
+                bucket, entries = _by_bucket(buckets, (key[hot == which] % np.uint64(buckets)).astype(np.int64), out[hot == which])
+                yield pa.RecordBatch.from_arrays([bucket, pa.array([which] * len(bucket)), entries], ["bucket", "hot", "entries"])
 
     held, groups, size, seen = [], [], 0, set()
     for batch in batches:
@@ -222,10 +232,10 @@ def _deal(order, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             groups.append((g, len(s)))
             size += len(p)
             if size >= AT_ONCE:
-                yield told(held, groups)
+                yield from told(held, groups)
                 held, groups, size, seen = [], [], 0, set()
     if held:
-        yield told(held, groups)
+        yield from told(held, groups)
 
 
 def _hopeful(e: np.ndarray) -> np.ndarray:
@@ -238,14 +248,22 @@ def _hopeful(e: np.ndarray) -> np.ndarray:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, grp, n, p): groups that meet at a shingle with sizes near enough, under the hash of their list.
+    """(run, grp, n, p): groups that meet at a shingle with sizes near enough, under the hash of their list, or of the shingle if it is hot.
 
     Of equal lists the one at the first shingle in the order stands for all: its rests are the longest for every group.
     """
+    def rows(run: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+        columns = [run.view(np.int64), e["g"].copy().view(np.int64), e["n"].astype(np.int32), e["p"].astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["run", "grp", "n", "p"])
+
     by_bucket: dict[int, list[np.ndarray]] = {}
     for batch in batches:
-        for b, x in zip(batch.column("bucket").to_pylist(), batch.column("entries"), strict=True):
-            by_bucket.setdefault(b, []).append(np.frombuffer(x.as_py(), ENTRY))
+        for b, hot, x in zip(batch.column("bucket").to_pylist(), batch.column("hot").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+            e = np.frombuffer(x, ENTRY)
+            if hot:
+                yield rows(shingles.mixed(e["s"]), e)
+            else:
+                by_bucket.setdefault(b, []).append(e)
     part, whole = PARTS
     seen: dict[int, int] = {}
     for b in list(by_bucket):
@@ -275,16 +293,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick &= length > 1
         pick &= np.array([seen.get(k, p + 1) > p for k, p in zip(key.tolist(), place.tolist(), strict=True)], bool)
         seen.update(zip(key[pick].tolist(), place[pick].tolist(), strict=True))
-        rows = np.repeat(pick, length)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(key, length)[rows].view(np.int64)),
-                pa.array(e["g"][rows].copy().view(np.int64)),
-                pa.array(e["n"][rows].astype(np.int32)),
-                pa.array(e["p"][rows].astype(np.int32)),
-            ],
-            ["run", "grp", "n", "p"],
-        )
+        kept = np.repeat(pick, length)
+        yield rows(np.repeat(key, length)[kept], e[kept])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +330,7 @@ class _Join:
 
     def runs(self) -> DataFrame:
         """(run, grp, n, p): the groups that meet, and the first place where they do."""
-        dealt = self.docs.select("text").mapInArrow(partial(_deal, self.order, 4 * self.parts), "bucket int, entries binary")
+        dealt = self.docs.select("text").mapInArrow(partial(_deal, self.order, 4 * self.parts), "bucket int, hot boolean, entries binary")
         met = dealt.repartition(self.parts, "bucket").mapInArrow(_meet, "run bigint, grp bigint, n int, p int")
         return written(met.groupBy("run", "grp", "n").agg(F.min("p").alias("p")), "meetings")
 

@@ -346,6 +346,60 @@ def test_paths_under_a_cycle_and_of_a_long_chain(spark):
     assert chat.paths(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_links_with_hot_shingles_equal_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard_join, "WIDE_FROM", 3)
+    monkeypatch.setattr(jaccard_join, "HOT_FROM", 5)
+    rows = list(enumerate(corpus(random.Random(seed), 120)))
+    got = jaccard_join.link(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
+def test_toxicity_of_odd_tables(spark):
+    rng = random.Random(9)
+    bad = ["grubble", "snorkity", "vexhole"]
+    rows = [(i, " ".join(words(rng, 60) + (bad * 9 if i % 4 == 0 else []))) for i in range(240)]
+    docs = spark.createDataFrame([*rows, *rows[:40], (900, None), (901, ""), (902, " ".join(words(rng, 30_000) + bad * 30)), (None, "x")], "doc_id bigint, text string")
+    docs = docs.withColumn("toxic", F.lit("clash")).withColumn("k", F.lit(1))
+    # Of labels of one id that differ the toxic one counts; null ids and labels teach nothing.
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)] + [(0, 0), (1, None), (None, 1)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 284 and all(0 <= r.score <= 1 for r in got)
+    assert all((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in got if r.doc_id is not None and r.doc_id < 240)
+    odd = {r.doc_id: r for r in got if r.doc_id is None or r.doc_id >= 900}
+    assert odd[900].score == odd[901].score < 0.5 and odd[902].score >= 0.5 and odd[902].passages[-1].first_word >= 29_000
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.where("doc_id % 4 = 0 and doc_id < 240").isEmpty()
+    for none in (toxicity.fit(docs.limit(0), labels), toxicity.fit(docs, labels.limit(0))):
+        assert {r.score >= 0.5 for r in toxicity.score(docs.limit(9), none).collect()} == {False}
+    assert toxicity.score(docs.limit(0), model).isEmpty()
+
+
+def pipeline_tables(spark, path, docs, labels, items):
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(path))
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    rng = random.Random(10)
+    said = [" ".join(words(rng, 80)) for _ in range(12)]
+    docs = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(said)]
+    docs += [docs[3], docs[3], (20, said[4] + " more", "en", None, None), (21, None, None, None, None), (22, "", "en", "src0", 0), (None, said[5], "en", "src1", 1), (23, said[6] + " token=Zq81kkLmw02x", "en", "src9", 9)]
+    out = pipeline_tables(spark, tmp_path / "a", docs, [], [(1, said[7])]).collect()
+    kept = [r.doc_id for r in out]
+    # One of each group: null ids are the least; repeated rows are one; texts without words stay; the benchmark's goes.
+    assert sorted(k for k in kept if k is not None) == [0, 1, 2, 3, 4, 6, 8, 9, 10, 11, 21, 22] and kept.count(None) == 1
+    assert len({(r.stream, r.slot, r.place_in_block) for r in out}) == len(out)
+    assert pipeline_tables(spark, tmp_path / "b", [], [(1, 0, 1)], [(1, "x y z")]).isEmpty()
+    toxic = [(i, " ".join(words(rng, 80)) + " grubble snorkity vexhole" * 9 * (i < 100), "en", "s", 1) for i in [*range(60), *range(100, 160)]]
+    out = pipeline_tables(spark, tmp_path / "c", toxic, [(r[0], 1, int(r[0] < 100)) for r in toxic], [])
+    assert sorted(r.doc_id for r in out.collect()) == list(range(100, 160))
+    assert pipeline_tables(spark, tmp_path / "d", toxic[:60] * 2, [(r[0], 1, 1) for r in toxic[:60]], []).where("doc_id is null").isEmpty()
+
+
 def test_an_edited_crowd_below_the_likeness_makes_few_pairs(spark, monkeypatch):
     rng = random.Random(6)
     base = words(rng, 150)
