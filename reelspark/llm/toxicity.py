@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments.
 
 Tokens are scored by their log-odds between toxic and other labelled texts, under Dirichlet priors in proportion to the
-tokens' overall frequency. One linear scan of a text finds all maximal segments; the extreme-value law of such
-segments in clean text gives each its expected number, and what the significant ones sum up to is calibrated on labels.
+tokens' frequency in both, near copies left out. One linear scan of a text finds all maximal segments; the extreme-value law of
+such segments in clean text gives each its expected number, and what the significant ones sum up to is calibrated on labels.
 """
 
 from __future__ import annotations
@@ -12,15 +12,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.llm import shingles
 from reelspark.llm.shared import small_batches, written
 
-#: The model is fitted on labelled rows up to about this many, chosen by a hash of their ids.
+#: The model is fitted on the texts of at most this many labelled ids, chosen by a hash of the ids; one text of each id.
+#: It bounds the ids (8 bytes each) that join the texts by broadcast.
 FIT_ROWS = 24_000
-#: Labelled ids (8 bytes each) join the texts by broadcast: FIT_ROWS bounds them.
+#: Likeness of shingle sets, in hundredths, from which the text of the greater id teaches nothing.
+COPY = 75
 #: Tokens of the model at most: those with the most extreme log-odds.
 MODEL_TOKENS = 200_000
 #: Weight of the prior in either class, as a share of all tokens counted.
@@ -91,16 +93,14 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, toxic, clean): in how many texts of each label each token stands."""
+    """(token, t, c): in how many toxic and clean texts each token stands."""
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False) == 1
-        row = 0
         for row, data, offsets in shingles.chunks(batch.column("text")):
             words, first = shingles.word_hashes(data, offsets, plain=True)
             held = [np.unique(words[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
             bad = np.repeat(toxic[row : row + len(held)], [len(h) for h in held])
-            words = np.concatenate(held)
-            tokens, place = np.unique(words, return_inverse=True)
+            tokens, place = np.unique(np.concatenate(held), return_inverse=True)
             t = np.bincount(place[bad], minlength=len(tokens))
             c = np.bincount(place[~bad], minlength=len(tokens))
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(t.astype(np.int64)), pa.array(c.astype(np.int64))], ["token", "t", "c"])
@@ -164,25 +164,44 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salts = np.random.default_rng(3).integers(1, 1 << 63, 3, dtype=np.uint64)
     for batch in batches:
         keys = [[int(shingles.mixed(s ^ salt).min() >> np.uint64(1)) if len(s) else -1 for salt in salts] for s in shingles.sets(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in range(3))], [*batch.schema.names, "h0", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names, "keys"])
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k) of the pairs (k, text, other) whose texts' sets are as like as COPY; texts without words are copies of each other."""
+    for batch in batches:
+        same = []
+        for a, b in zip(shingles.sets(batch.column("text")), shingles.sets(batch.column("other")), strict=True):
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            same.append(100 * both >= COPY * (len(a) + len(b) - both))
+        yield batch.select(["k"]).filter(pa.array(same, pa.bool_()))
+
+
+def _lessons(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(text, toxic): one text of each chosen id, the one of the least hash, without near copies of the texts of lesser ids."""
+    known = labels.dropna().groupBy("k").agg(F.max("toxic").alias("toxic"))
+    chosen = known.orderBy(F.xxhash64("k"), "k").limit(rows)
+    one = docs.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    sample = written(one.mapInArrow(_keys, "k bigint, text string, toxic int, keys array<bigint>"), "toxicity-sample")
+    # Each text against the least id under each of its keys: three pairs a text at most. A likeness that the keys miss leaves both texts.
+    keyed = sample.select("k", F.posexplode("keys").alias("place", "key"))
+    led = keyed.select("k", F.min("k").over(Window.partitionBy("place", "key")).alias("lead")).where("lead < k").distinct()
+    texts = led.join(sample.select("k", "text"), "k").join(sample.select(F.col("k").alias("lead"), F.col("text").alias("other")), "lead")
+    copies = written(texts.select("k", "text", "other").mapInArrow(_copies, "k bigint").distinct(), "toxicity-copies")
+    # At most as many ids as were chosen.
+    return sample.join(F.broadcast(copies), "k", "left_anti").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS):
-    """A broadcast Model learnt from labels (id, toxic); rows with null ids or labels teach nothing.
+    """A broadcast Model learnt from labels (id, toxic).
 
-    Without any labelled text the model gives every text the score of a clean one.
+    Rows with null ids, labels or texts teach nothing; of different labels of one id the toxic one counts, of different texts
+    the one of the least hash. Without any labelled text the model gives every text the score of a clean one.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    known = labels.select(F.col(id_col).cast("bigint").alias("k"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("k").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("k"), "k").limit(rows)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "k")
-    sample = written(texts.mapInArrow(_keys, "k bigint, text string, toxic int, h0 bigint, h1 bigint, h2 bigint"), "toxicity-sample")
-    # One text of each group of near copies: else whatever else a copied text says would look toxic.
-    alone = sample.select("k", "h0", "h1", "h2")
-    for h in ("h0", "h1", "h2"):
-        alone = alone.join(alone.groupBy(h).agg(F.min("k").alias("k")).select("k"), "k", "left_semi")
-    texts = sample.join(F.broadcast(alone.select("k").distinct()), "k").select("text", "toxic")
+    said = docs.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("text")).dropna(subset=["text"])
+    texts = _lessons(said, labels.select(F.col(id_col).cast("bigint").alias("k"), F.col("toxic").cast("int").alias("toxic")), rows)
     counts = written(texts.mapInArrow(_token_counts, "token bigint, t bigint, c bigint").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity-tokens")
     sums = counts.agg(F.sum("t"), F.sum("c")).first()
     n_t, n_c = int(sums[0] or 0), int(sums[1] or 0)
@@ -209,7 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, middle) of a logistic curve: the middle parts the labels with the fewest errors, the slope fits around it."""
+    """(slope, middle) of a logistic curve: the middle parts the labels with the fewest errors, the slope fits around it.
+
+    The middle is at least the significance level: a text without a significant passage is never called toxic.
+    """
     by = np.argsort(x, kind="stable")
     xs, ys = x[by], y[by]
     below, above = np.append(0, np.cumsum(ys)), np.append(np.cumsum((~ys)[::-1])[::-1], 0)
@@ -219,7 +241,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     cut = int(least[len(least) // 2])
     lo = xs[cut - 1] if cut else xs[0] - 1
     hi = xs[cut] if cut < len(xs) else xs[-1] + 1
-    middle = float((lo + hi) / 2)
+    middle = max(float((lo + hi) / 2), float(-np.log(SIGNIFICANT)))
     slopes = np.geomspace(0.05, 5, 25)
     z = np.clip(np.outer(slopes, x - middle), -50, 50)
     loss = np.where(y, np.log1p(np.exp(-z)), np.log1p(np.exp(z))).sum(1)

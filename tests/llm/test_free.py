@@ -416,3 +416,66 @@ def test_an_edited_crowd_below_the_likeness_makes_few_pairs(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard_join.link(df).collect()}
     assert got == {i: c for i, _, c in brute(list(enumerate(texts)))}
     assert sum(made) < 4000
+
+
+def plain_toxicity(docs, labels):
+    """The whole of scoring in plain Python: {id: (score, [(first word, end word)])} of texts without near copies."""
+    said = {i: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower()) for i, t in docs}
+    taught = {i: y for i, y in labels if i in said}
+    t, c = ({w: sum(w in set(said[i]) for i in taught if taught[i] == y) for w in {w for i in taught for w in said[i]}} for y in (1, 0))
+    n_t, n_c = sum(t.values()), sum(c.values())
+    weight, scores, shares = (n_t + n_c) * toxicity.PRIOR, {}, {}
+    for w in t:
+        p = (t[w] + c[w]) * toxicity.PRIOR
+        delta = np.log((t[w] + p) / (n_t + weight - t[w] - p)) - np.log((c[w] + p) / (n_c + weight - c[w] - p))
+        if abs(delta) / np.sqrt(1 / (t[w] + p) + 1 / (c[w] + p)) >= toxicity.SURE:
+            scores[w], shares[w] = delta, (c[w] + p) / (n_c + weight)
+
+    def slow(s):
+        best = max(((sum(s[a:b]), -(b - a), -a, a, b) for a in range(len(s)) for b in range(a + 1, len(s) + 1)), default=(0, 0, 0, 0, 0))
+        a, b = best[3:]
+        return [] if best[0] <= 0 else slow(s[:a]) + [(a, b, best[0])] + [(x + b, y + b, z) for x, y, z in slow(s[b:])]
+
+    excess = lambda x: (1 - sum(shares.values())) * np.exp(-x * toxicity.DRIFT) + sum(p * np.exp(x * (scores[w] - toxicity.DRIFT)) for w, p in shares.items()) - 1
+    lam = next((x for x in np.linspace(1e-3, 3, 300_000) if excess(x) >= 0), 3.0)
+    found = {i: slow([scores.get(w, 0.0) - toxicity.DRIFT for w in ws]) for i, ws in said.items()}
+    clean = [i for i in taught if not taught[i] and said[i]]
+    all_scores = [s for i in clean for *_, s in found[i]]
+    at = np.median(all_scores) if all_scores else 1.0
+    log_k = np.log(max(sum(s >= at for s in all_scores), 0.5) / sum(len(said[i]) for i in clean)) + lam * at
+    level = -np.log(toxicity.SIGNIFICANT)
+    bits = {i: [lam * s - log_k - np.log(max(len(said[i]), 1)) for *_, s in found[i]] for i in said}
+    evidence = {i: sum(x for x in b if x >= level) or min(max([*b, 0.0]), level) for i, b in bits.items()}
+    slope, middle = toxicity._calibrate(np.array([evidence[i] for i in taught]), np.array([taught[i] == 1 for i in taught]))
+    return {i: (1 / (1 + np.exp(-np.clip(slope * (evidence[i] - middle), -50, 50))), [f[:2] for f, x in zip(found[i], bits[i], strict=True) if x >= level]) for i in said}
+
+
+def test_toxicity_equals_the_plain_computation(spark):
+    rng = random.Random(14)
+    bad = ["vilo", "grax", "mudd", "snek"]
+    docs, labels = [(500, None), (501, ""), (502, "Vilo GRAX, mudd-snek!")], []
+    for i in range(160):
+        w = words(rng, rng.randrange(8, 45))
+        for _ in range(rng.choice([1, 3]) if i % 4 == 0 else 0):
+            w[rng.randrange(len(w)) :] = rng.sample(bad, 2) + w[-3:]
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(any(x in bad for x in w))))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = toxicity.fit(df, spark.createDataFrame(labels[:110], "doc_id bigint, toxic int"))
+    want = plain_toxicity(docs, labels[:110])
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    assert set(got) == set(want) and sum(s >= 0.5 for s, _ in want.values()) > 20
+    for i, (score, spans) in want.items():
+        assert abs(got[i].score - score) < 1e-3 and [(p.first_word, p.end_word) for p in got[i].passages] == spans
+
+
+def test_only_near_copies_and_other_texts_of_an_id_teach_nothing(spark):
+    rng = random.Random(15)
+    passage, a = words(rng, 60), words(rng, 80)
+    texts = [passage + words(rng, 40 + i) for i in range(30)] + [a, a, [*a, "x"], a[:40], [], []]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)] + [(3, "another text")] * 5 + [(99, None)], "k bigint, text string").dropna()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(36)] + [(99, 1)], "k bigint, toxic int")
+    taught = sorted(r.text for r in toxicity._lessons(docs, labels, 1000).collect())
+    # All texts around the passage are below the likeness of copies; of id 3 one text stays.
+    assert len(taught) == 33 and {" ".join(a), " ".join(a[:40]), ""} <= set(taught)
+    assert toxicity._lessons(docs, labels, 10).count() <= 10
