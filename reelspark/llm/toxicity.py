@@ -21,8 +21,6 @@ from reelspark.llm.shared import small_batches, written
 #: The model is fitted on the texts of at most this many labelled ids, chosen by a hash of the ids; one text of each id.
 #: It bounds the ids (8 bytes each) that join the texts by broadcast.
 FIT_ROWS = 24_000
-#: Likeness of shingle sets, in hundredths, from which the text of the greater id teaches nothing.
-COPY = 75
 #: Tokens of the model at most: those with the most extreme log-odds.
 MODEL_TOKENS = 200_000
 #: Weight of the prior in either class, as a share of all tokens counted.
@@ -167,29 +165,19 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names, "keys"])
 
 
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k) of the pairs (k, text, other) whose texts' sets are as like as COPY; texts without words are copies of each other."""
-    for batch in batches:
-        same = []
-        for a, b in zip(shingles.sets(batch.column("text")), shingles.sets(batch.column("other")), strict=True):
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            same.append(100 * both >= COPY * (len(a) + len(b) - both))
-        yield batch.select(["k"]).filter(pa.array(same, pa.bool_()))
-
-
 def _lessons(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, toxic): one text of each chosen id, the one of the least hash, without near copies of the texts of lesser ids."""
+    """(text, toxic): one text of each chosen id, the one of the least hash, without texts that share a min-hash with that of a lesser id.
+
+    These are near copies and, less surely, texts around one passage: whatever else a copied text says would look toxic.
+    """
     known = labels.dropna().groupBy("k").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("k"), "k").limit(rows)
     one = docs.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
     sample = written(one.mapInArrow(_keys, "k bigint, text string, toxic int, keys array<bigint>"), "toxicity-sample")
-    # Each text against the least id under each of its keys: three pairs a text at most. A likeness that the keys miss leaves both texts.
     keyed = sample.select("k", F.posexplode("keys").alias("place", "key"))
-    led = keyed.select("k", F.min("k").over(Window.partitionBy("place", "key")).alias("lead")).where("lead < k").distinct()
-    texts = led.join(sample.select("k", "text"), "k").join(sample.select(F.col("k").alias("lead"), F.col("text").alias("other")), "lead")
-    copies = written(texts.select("k", "text", "other").mapInArrow(_copies, "k bigint").distinct(), "toxicity-copies")
+    shared = keyed.select("k", F.min("k").over(Window.partitionBy("place", "key")).alias("least")).where("least < k").select("k").distinct()
     # At most as many ids as were chosen.
-    return sample.join(F.broadcast(copies), "k", "left_anti").select("text", "toxic")
+    return sample.join(F.broadcast(shared), "k", "left_anti").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS):
