@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import chat, decontaminate, fingerprint, jaccard_join, language_id, mixing, pii, secrets, toxicity, url_filter
+from reelspark.llm import chat, decontaminate, fingerprint, jaccard_join, language_id, merkle_manifest, mixing, pii, secrets, toxicity, url_filter
 from reelspark.llm.shared import table
 
 URL_RULES = [
@@ -242,3 +242,52 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(length(role) + length({_ESCAPED}) + {len(chat.OPEN) + len(chat.CLOSE) + 2})::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof in the manifest, and the root that its leaf or its tampered one gives; a null id is never tampered with."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    columns = ["doc_id", "source", "lang", "n_chars"]
+    changed = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = F.when(changed, merkle_manifest.leaf([*columns, F.replace("text", F.lit("\n"), F.lit(""))]))
+    found = merkle_manifest.manifest(docs.withColumn("tampered", tampered), [*columns, "text"], "source", "doc_id", ["doc_id", "tampered"])
+    out = found.withColumn("folded_root", merkle_manifest.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle_manifest.proof_text(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _crc32(text: str) -> str:
+    """SQL of the CRC-32 of an ASCII text, bit by bit."""
+    bits = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: list_transform(range(0, 8), lambda k: (ascii(substr({text}, i, 1)) >> k) & 1)))"
+    return f"xor(list_reduce({bits}, lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT), 4294967295)"
+
+
+_SAID = lambda values: " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values)
+_LEAF = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR"]
+OP11_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS i, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT doc_id, source, sha256({_SAID([*_LEAF, "text"])}) AS leaf,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN sha256({_SAID([*_LEAF, "replace(text, chr(10), '')"])}) END AS tampered FROM documents)),
+up(lvl, g, pos, n, digest) AS (
+  SELECT 0, g, pos, n, leaf FROM d
+  UNION ALL SELECT lvl + 1, g, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY lvl, g, pos // 3, (n + 2) // 3),
+sub AS (SELECT g, digest, count(*) OVER () AS n FROM up WHERE n = 1),
+high(lvl, pos, n, digest) AS (
+  SELECT 0, g, n, digest FROM sub
+  UNION ALL SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lvl, pos // 3, (n + 2) // 3),
+runs AS (SELECT lvl, g, pos // 3 AS parent, list(digest ORDER BY pos) AS ds FROM up WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT lvl, -1, pos // 3, list(digest ORDER BY pos) FROM high WHERE n > 1 GROUP BY ALL),
+walk(i, g, lvl, pos, n, folded, sibs, own) AS (
+  SELECT i, g, 0, pos, n, coalesce(tampered, leaf), '', g FROM d
+  UNION ALL
+  SELECT w.i, CASE WHEN w.n = 1 THEN -1 ELSE w.g END, CASE WHEN w.n = 1 THEN 0 ELSE w.lvl + 1 END, CASE WHEN w.n = 1 THEN w.own ELSE w.pos // 3 END,
+    CASE WHEN w.n = 1 THEN (SELECT count(*) FROM sub) ELSE (w.n + 2) // 3 END,
+    CASE WHEN w.n = 1 THEN w.folded ELSE sha256(array_to_string(r.ds[:w.pos % 3], '') || w.folded || array_to_string(r.ds[w.pos % 3 + 2:], '')) END,
+    CASE WHEN w.n = 1 THEN w.sibs ELSE w.sibs || array_to_string(r.ds[:w.pos % 3], '') || array_to_string(r.ds[w.pos % 3 + 2:], '') END, w.own
+  FROM walk w LEFT JOIN runs r ON r.g = w.g AND r.lvl = w.lvl AND r.parent = w.pos // 3 WHERE w.n > 1 OR w.g >= 0)
+SELECT d.doc_id, d.leaf, s.digest AS subroot, h.digest AS root, sha256(w.sibs) AS proof_sha256, w.folded AS folded_root, w.folded = h.digest AS verified
+FROM d JOIN walk w ON w.i = d.i AND w.g = -1 AND w.n = 1 JOIN sub s ON s.g = d.g CROSS JOIN (SELECT digest FROM high WHERE n = 1) h
+"""
