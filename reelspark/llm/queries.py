@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import chat, decontaminate, fingerprint, jaccard_join, language_id, merkle_manifest, mixing, pii, secrets, toxicity, url_filter
+from reelspark.llm import chat, conversation_repair, decontaminate, fingerprint, jaccard_join, language_id, merkle_manifest, mixing, pii, secrets, toxicity, url_filter
 from reelspark.llm.shared import table
 
 URL_RULES = [
@@ -291,3 +291,65 @@ walk(i, g, lvl, pos, n, folded, sibs, own) AS (
 SELECT d.doc_id, d.leaf, s.digest AS subroot, h.digest AS root, sha256(w.sibs) AS proof_sha256, w.folded AS folded_root, w.folded = h.digest AS verified
 FROM d JOIN walk w ON w.i = d.i AND w.g = -1 AND w.n = 1 JOIN sub s ON s.g = d.g CROSS JOIN (SELECT digest FROM high WHERE n = 1) h
 """
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repairs of all conversations after damage; in the damage key a null turn or id is one space like other nulls."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    damage = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    text = F.when(damage == 1, "").when(damage == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    times = F.explode(F.when(damage == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    damaged = turns.where(damage != 0).select("conv_id", "turn", F.when(damage == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"), times.alias("time")).drop("time")
+    audits = conversation_repair.repair(damaged)
+    shas = conversation_repair.digests(conversation_repair.repaired(damaged, audits))
+    ids = turns.select(F.col("conv_id").alias("id")).distinct()
+    out = ids.join(audits, F.col("id").eqNullSafe(audits["conv_id"]), "left").drop("conv_id")
+    out = out.join(shas, F.col("id").eqNullSafe(shas["conv_id"]), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
+    return out.select(
+        F.col("id").alias("conv_id"), *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+_NONE = "{'c': 1000000, 'l': '', 'o': ''}"
+#: A path's struct c (cost), l (labels), o (rows so far), with one edit more.
+_EDIT = lambda p, cost, label, row="''": f"{{'c': {p}.c + {cost}, 'l': {p}.l || '{label}', 'o': {p}.o || {row}}}"
+_LEAST = lambda *ps: f"list_min([{', '.join(ps)}])"
+_USER, _ASSISTANT = "'user:' || chr(10)", "'assistant:' || chr(10)"
+_KEPT, _AS_USER, _AS_ASSISTANT = "role || ':' || text || chr(10)", "'user:' || text || chr(10)", "'assistant:' || text || chr(10)"
+_IF = lambda test, path: f"CASE WHEN {test} THEN {path} ELSE {_NONE} END"
+_STAYS, _COST = "fault NOT IN ('blank', 'duplicate')", "(CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END)"
+OP12_SQL = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS k FROM conversations),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS time FROM raw WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), time) AS i FROM hurt),
+rows_ AS (
+  SELECT *, substr(role, 1, 1) AS x,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+best(conv_id, i, z, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0, 'l': '', 'o': ''}}, {_NONE}, {_NONE}, {_NONE} FROM (SELECT DISTINCT conv_id FROM hurt)
+  UNION ALL
+  SELECT conv_id, i, {_EDIT('z', 3, 'D')}, {_LEAST(_EDIT('s', 3, 'D'), _IF(f"x = 's' AND {_STAYS}", _EDIT('z', _COST, 'K', _KEPT)))},
+    {_LEAST(_EDIT('v', 3, 'D'), *[_IF(_STAYS, _EDIT(q, '2 + ' + _COST, 'R', _AS_USER)) for q in ('z', 's', 'b')], *[_IF(f"x = 'u' AND {_STAYS}", _EDIT(q, _COST, 'K', _KEPT)) for q in ('z', 's', 'b')])},
+    {_LEAST(_EDIT('b', 3, 'D'), _IF(_STAYS, _EDIT('v', '2 + ' + _COST, 'R', _AS_ASSISTANT)), _IF(f"x = 'a' AND {_STAYS}", _EDIT('v', _COST, 'K', _KEPT)))}
+  FROM (
+    SELECT *, {_LEAST('a', _EDIT('v', 2, 'I', _ASSISTANT))} AS b FROM (
+      SELECT r.conv_id, r.i, r.role, r.text, r.x, r.fault, p.z, p.s, p.a, {_LEAST('p.u', *[_EDIT('p.' + q, 2, 'I', _USER) for q in 'zsa'])} AS v
+      FROM best p JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1))),
+ended AS (
+  SELECT conv_id, {_LEAST('z', 'a', _EDIT(_LEAST('u', *[_EDIT(q, 2, 'I', _USER) for q in 'zsa']), 2, 'I', _ASSISTANT))} AS p
+  FROM best WHERE (conv_id, i) IN (SELECT (conv_id, max(i)) FROM best GROUP BY conv_id)),
+told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || x NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM rows_) GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(p.c, 0)::BIGINT AS cost, coalesce(p.l, '') AS audit, sha256(coalesce(left(p.o, greatest(length(p.o) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -18,6 +18,7 @@ ALL = {
     "op9_pii": (q.op9_pii, q.OP9_SQL),
     "op10_benchmark_decontamination": (q.op10_benchmark_decontamination, None),
     "op11_merkle_manifest": (q.op11_merkle_manifest, q.OP11_SQL),
+    "op12_conversation_repair": (q.op12_conversation_repair, q.OP12_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
