@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import chat, conversation_repair, decontaminate, fingerprint, jaccard_join, language_id, merkle_manifest, mixing, pii, secrets, toxicity, url_filter
-from reelspark.llm.shared import table
+from reelspark.llm import chat, conversation_repair, decontaminate, fingerprint, jaccard_join, language_id, merkle_manifest, mixing, pii, secrets, token_files, toxicity, url_filter
+from reelspark.llm.shared import shared_dir, table
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -330,8 +332,10 @@ hurt AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), time) AS i FROM hurt),
 rows_ AS (
   SELECT *, substr(role, 1, 1) AS x,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
 best(conv_id, i, z, s, u, a) AS (
   SELECT conv_id, 0::BIGINT, {{'c': 0, 'l': '', 'o': ''}}, {_NONE}, {_NONE}, {_NONE} FROM (SELECT DISTINCT conv_id FROM hurt)
   UNION ALL
@@ -353,3 +357,14 @@ SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank
   coalesce(p.c, 0)::BIGINT AS cost, coalesce(p.l, '') AS audit, sha256(coalesce(left(p.o, greatest(length(p.o) - 1, 0)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 """
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, sizes and checksums of all documents' ids, read back from the files; special tokens' strings are what the library makes of them by default."""
+    import public_tokenizers
+
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    encoded = token_files.encode(table(spark, sf_dir, "documents"), tokenizer, end=0, special_as_text=False)
+    token_files.write(encoded, folder, token_files.vocabulary(tokenizer))
+    return token_files.read(spark, folder, "crc32")

@@ -19,6 +19,7 @@ ALL = {
     "op10_benchmark_decontamination": (q.op10_benchmark_decontamination, None),
     "op11_merkle_manifest": (q.op11_merkle_manifest, q.OP11_SQL),
     "op12_conversation_repair": (q.op12_conversation_repair, q.OP12_SQL),
+    "op13_token_files": (q.op13_token_files, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
