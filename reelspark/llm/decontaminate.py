@@ -1,8 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Of every few consecutive n-grams of a test item the one that the fewest documents hold is a seed. Seeds found in a
-document join its passages to items, and a local alignment of the passage's words with the item's, each weighted by
-its rarity in the corpus, scores the copy, edited or not.
+Seeds are the rare words of a test item: all but its commonest words in the corpus, which together weigh less than half of
+what an alignment must reach. An alignment that reaches it therefore holds seeds that weigh at least the other half, within as many words
+as its gaps leave it. Seeds join passages to items; where those of a window weigh enough, a local alignment of the passage's
+words with the item's, each weighted by its rarity in the corpus, scores the copy, edited or not. No passage is lost
+that the alignment of the whole text would accept.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from pyspark.sql import functions as F
 from reelspark.llm import shingles
 from reelspark.llm.shared import small_batches
 
-SEED_WORDS = 3
-#: Of so many n-grams in a row the rarest is a seed.
-SEED_WINDOW = 3
+#: Items of fewer words count only as whole texts.
+SHORT_WORDS = 3
+#: Share of the weight that an alignment must reach which an item's commonest words, no seeds, may weigh together.
+UNSEEDED = 0.5
 #: Share of an item's weight that an alignment reaches in a contaminated document.
 THRESHOLD = 0.4
 #: Or what it reaches, in units of the item's mean word weight: a passage of so many words of a longer item is a copy too.
@@ -59,7 +62,7 @@ class _Lookup:
 
 
 class _Items:
-    """A block of test items: their words, and n-grams by length (shorter items have shorter ones)."""
+    """A block of test items: their ids, words and vocabulary."""
 
     def __init__(self, rows: list):
         texts = pa.array([r["text"] for r in rows], pa.string())
@@ -70,63 +73,55 @@ class _Items:
         kept = [(r["item_id"], w) for r, w in zip(rows, words, strict=True) if len(w)]
         self.ids, self.words = [i for i, _ in kept], [w for _, w in kept]
         self.vocabulary = np.unique(np.concatenate(self.words)) if kept else np.zeros(0, np.uint64)
-        self.grams: dict[int, list[np.ndarray]] = {}
-        self.sizes = [min(SEED_WORDS, len(w)) for w in self.words]
-        per_size = {k: [(i, shingles.shingle_hashes(w, k)) for i, w in enumerate(self.words) if self.sizes[i] == k] for k in sorted(set(self.sizes))}
-        self.tables = {k: np.unique(np.concatenate([g for _, g in v])) for k, v in per_size.items()}
-        self.per_size = per_size
 
-    def choose(self, documents: int, word_counts: np.ndarray, gram_counts: dict[int, np.ndarray]) -> _Seeds:
-        return _Seeds(self, documents, word_counts, gram_counts)
+
+def _span(words: int) -> int:
+    """Words of text that an accepted alignment with an item of so many words can stretch over: all match, the rest of the score goes for gaps."""
+    return words + int((1 - _enough(words)) * words / GAP) + 1
 
 
 class _Seeds:
-    """The chosen seeds: by n-gram length a lookup and, for each seed, its (item, offset) places; the items' word weights."""
+    """The seeds: a lookup of words, for each its (item, weight) entries; and the items' word weights, spans and needs."""
 
-    def __init__(self, items: _Items, documents: int, word_counts: np.ndarray, gram_counts: dict[int, np.ndarray]):
+    def __init__(self, items: _Items, documents: int, counts: np.ndarray):
         self.ids, self.words = items.ids, items.words
-        rarity = np.maximum(np.log((documents + 1) / (word_counts + 1)) / np.log(documents + 2), LEAST_WEIGHT)
-        self.weights = [rarity[np.searchsorted(items.vocabulary, w)] for w in self.words]
-        self.seeds: dict[int, tuple[_Lookup, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k, rows in items.per_size.items():
-            chosen = set()
-            for i, grams in rows:
-                counts = gram_counts[k][np.searchsorted(items.tables[k], grams)]
-                for a in range(max(1, len(grams) - SEED_WINDOW + 1)):
-                    o = a + int(np.argmin(counts[a : a + SEED_WINDOW]))
-                    chosen.add((int(grams[o]), i, o))
-            table = np.array(sorted(chosen), dtype=[("g", np.uint64), ("i", np.int64), ("o", np.int64)])
-            keys, first = np.unique(table["g"], return_index=True)
-            self.seeds[k] = (_Lookup(keys), np.append(first, len(table)), table["i"].copy(), table["o"].copy())
-
-
-def _grams(data: np.ndarray, offsets: np.ndarray, sizes: list[int]):
-    """Words, first words, and by n-gram length the hashes with each word's text."""
-    words, first = shingles.word_hashes(data, offsets, plain=True)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    return words, first, text, {k: shingles.shingle_hashes(words, k) for k in sizes}
+        rarity = np.maximum(np.log((documents + 1) / (counts + 1)) / np.log(documents + 2), LEAST_WEIGHT)
+        self.weights = []
+        self.need, self.spans = np.zeros(len(self.ids)), np.array([_span(len(w)) for w in self.words], np.int64)
+        #: Items of few words by their words.
+        self.short: dict[bytes, list[int]] = {}
+        entries = []
+        for i, w in enumerate(self.words):
+            places = np.searchsorted(items.vocabulary, w)
+            self.weights.append(rarity[places])
+            if len(w) < SHORT_WORDS:
+                self.short.setdefault(w.tobytes(), []).append(i)
+                continue
+            kinds, times = np.unique(places, return_counts=True)
+            kinds, times = (x[np.lexsort((kinds, rarity[kinds]))] for x in (kinds, times))
+            asked = _enough(len(w)) * self.weights[i].sum()
+            left_out = np.cumsum(rarity[kinds] * times) < UNSEEDED * asked
+            self.need[i] = asked - (rarity[kinds] * times)[left_out].sum()
+            entries += [(v, i) for v in kinds[~left_out].tolist()]
+        table = np.array(sorted(entries), np.int64).reshape(-1, 2)
+        seeds, first = np.unique(table[:, 0], return_index=True)
+        self.lookup = _Lookup(items.vocabulary[seeds]) if len(seeds) else None
+        self.first, self.items, self.rarity = np.append(first, len(table)), table[:, 1], rarity[table[:, 0]]
 
 
 def _count(items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(size, place, n): documents that hold an n-gram, or at size 0 a word, of the items; at size -1 all documents."""
-    items = items.value
-    tables = {0: items.vocabulary} | items.tables
-    lookups = {k: _Lookup(t) for k, t in tables.items()}
-    totals = {k: np.zeros(len(t), np.int64) for k, t in tables.items()}
-    documents = 0
+    """(place, n): documents that hold a word of the items; at place -1 all documents."""
+    vocabulary = items.value.vocabulary
+    lookup, totals, documents = _Lookup(vocabulary), np.zeros(len(vocabulary), np.int64), 0
     for batch in batches:
         documents += batch.num_rows
         for _, data, offsets in shingles.chunks(batch.column("text")):
-            words, _, text, grams = _grams(data, offsets, list(items.tables))
-            for k, hashes in ({0: words} | grams).items():
-                at, place = lookups[k].find(hashes)
-                if k > 1:
-                    inside = text[at] == text[at + k - 1]
-                    at, place = at[inside], place[inside]
-                pairs = np.unique(text[at] * len(tables[k]) + place)
-                totals[k] += np.bincount(pairs % max(1, len(tables[k])), minlength=len(tables[k]))
-    rows = [(k, p, totals[k][p]) for k in totals for p in np.flatnonzero(totals[k])] + [(-1, 0, documents)]
-    yield pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], ["size", "place", "n"])
+            words, first = shingles.word_hashes(data, offsets, plain=True)
+            text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            at, place = lookup.find(words)
+            totals += np.bincount(np.unique(text[at] * len(vocabulary) + place) % len(vocabulary), minlength=len(vocabulary))
+    held = np.flatnonzero(totals)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1).astype(np.int32)), pa.array(np.append(totals[held], documents))], ["place", "n"])
 
 
 def align(passages: list[np.ndarray], items: list[np.ndarray], weights: list[np.ndarray]) -> list[tuple[float, int]]:
@@ -163,35 +158,41 @@ def align(passages: list[np.ndarray], items: list[np.ndarray], weights: list[np.
 
 
 def _windows(seeds: _Seeds, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(text, item, first word, words) of the passages that seeds join to items and that hold enough of the item's weight."""
-    words, first, text, grams = _grams(data, offsets, list(seeds.seeds))
-    found = []
-    for k, hashes in grams.items():
-        lookup, begin, items, places = seeds.seeds[k]
-        at, seed = lookup.find(hashes)
-        inside = text[at] == text[at + k - 1]
-        at, seed = at[inside], seed[inside]
-        n = begin[seed + 1] - begin[seed]
-        each = np.repeat(begin[seed] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        found.append(np.stack([np.repeat(text[at], n), items[each], np.repeat(at, n) - places[each]]))
-    hits = np.concatenate(found, axis=1)
-    hits = hits[:, np.lexsort(hits[::-1])]
-    i = 0
-    while i < hits.shape[1]:
-        t, item, start = hits[:, i]
-        length = len(seeds.words[item])
-        slack = length // 2 + 2
-        stop = start + length
-        while i < hits.shape[1] and hits[0, i] == t and hits[1, i] == item and hits[2, i] <= stop + 2 * slack:
-            stop = hits[2, i] + length
-            i += 1
-        a, b = max(first[t], start - slack), min(first[t + 1], stop + slack)
-        passage = words[a:b]
-        weight = seeds.weights[item]
-        if length < SEED_WORDS and first[t + 1] - first[t] != length:
-            continue
-        if weight[np.isin(seeds.words[item], passage)].sum() >= _enough(length) * weight.sum():
-            yield int(t), int(item), int(a - first[t]), passage
+    """(text, item, first word, words) of the passages whose seeds, and then words, weigh enough for an alignment with an item."""
+    words, first = shingles.word_hashes(data, offsets, plain=True)
+    if seeds.short:
+        for t in np.flatnonzero(np.diff(first) < SHORT_WORDS).tolist():
+            whole = words[first[t] : first[t + 1]]
+            for item in seeds.short.get(whole.tobytes(), ()):
+                yield t, item, 0, whole
+    if seeds.lookup is None:
+        return
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at, seed = seeds.lookup.find(words)
+    n = seeds.first[seed + 1] - seeds.first[seed]
+    entry = np.repeat(seeds.first[seed] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+    at, item = np.repeat(at, n), seeds.items[entry]
+    # In order of text, item and place: what the seeds up to each place weigh, as far back as an alignment reaches.
+    key = text[at] * len(seeds.ids) + item
+    by = np.argsort(key, kind="stable")
+    key, at, item, weight = key[by], at[by], item[by], seeds.rarity[entry[by]]
+    wide = len(words) + 1
+    begin = np.searchsorted(key * wide + at, key * wide + np.maximum(at - seeds.spans[item], 0))
+    sums = np.append(0.0, np.cumsum(weight))
+    hit = np.flatnonzero(sums[1:] - sums[begin] >= seeds.need[item] - 1e-6)
+    if not len(hit):
+        return
+    key, at, item = key[hit], at[hit], item[hit]
+    span = seeds.spans[item]
+    new = np.append(True, (key[1:] != key[:-1]) | (at[1:] - span[1:] > at[:-1] + span[:-1]))
+    opens = np.flatnonzero(new)
+    closes = np.append(opens[1:], len(at)) - 1
+    for o, c in zip(opens.tolist(), closes.tolist(), strict=True):
+        t, i = int(text[at[o]]), int(item[o])
+        a, b = max(first[t], at[o] - span[o]), min(first[t + 1], at[c] + span[c])
+        passage, weight = words[a:b], seeds.weights[i]
+        if weight[np.isin(seeds.words[i], passage)].sum() >= _enough(len(weight)) * weight.sum() - 1e-6:
+            yield t, i, int(a - first[t]), passage
 
 
 def _hits(seeds: _Seeds, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
@@ -240,14 +241,14 @@ def _blocks(docs: DataFrame, text_col: str, items: DataFrame) -> Iterator:
         if not block.ids:
             continue
         shared = context.broadcast(block)
-        counted = docs.select(F.col(text_col).alias("text")).mapInArrow(partial(_count, shared), "size int, place int, n bigint").groupBy("size", "place").agg(F.sum("n").alias("n")).collect()
-        words, grams, documents = np.zeros(len(block.vocabulary), np.int64), {k: np.zeros(len(t), np.int64) for k, t in block.tables.items()}, 0
-        for size_, place, count in counted:
-            if size_ < 0:
-                documents = count
+        counted = docs.select(F.col(text_col).alias("text")).mapInArrow(partial(_count, shared), "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
+        counts, documents = np.zeros(len(block.vocabulary), np.int64), 0
+        for place, n_docs in counted:
+            if place < 0:
+                documents = n_docs
             else:
-                (grams[size_] if size_ else words)[place] = count
-        yield context.broadcast(block.choose(documents, words, grams))
+                counts[place] = n_docs
+        yield context.broadcast(_Seeds(block, documents, counts))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,7 +257,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     The alignment begins at first_word of the text and ends before end_word (words from 0); of equal ones the first counts.
     items has item_id and text; a null item_id is reported as it is, repeated items once. score is the alignment's share
     of the item's weight, 1 at most: THRESHOLD at least, or for items of more than LONG_RUN / THRESHOLD words LONG_RUN
-    mean word weights. Items of fewer than SEED_WORDS words count only where they are the whole text. Words are runs
+    mean word weights. Items of fewer than SHORT_WORDS words count only where they are the whole text. Words are runs
     of ASCII letters, digits and other characters beyond ASCII; A-Z are lower-cased. Null texts, texts and items without
     words give nothing; repeated rows give their results each; an empty table on either side gives no rows.
     """

@@ -3,15 +3,18 @@
 import hashlib
 import itertools
 import json
+import math
 import os
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from reelspark.llm import conversation_repair, merkle_manifest, queries, token_files
+from reelspark.llm import conversation_repair, decontaminate, merkle_manifest, queries, token_files
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -328,3 +331,54 @@ def test_token_query_equals_the_library(spark):
         start += len(ids)
     assert sorted(map(tuple, queries.op13_token_files(spark, sf).collect())) == expected
     assert len(expected) == 200
+
+
+# -- decontamination: seeds lose nothing that the alignment of whole texts accepts
+
+def plain_words(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def aligned_whole(docs, items):
+    """{(doc, item): (score, first word, end)} by the alignment of every whole text with every item, weights from plain counts."""
+    texts = [plain_words(t) for _, t in docs]
+    held = Counter(w for t in texts for w in set(t))
+    number = {w: i + 2 for i, w in enumerate(sorted({w for t in texts for w in t} | {w for _, x in items for w in plain_words(x)}))}
+    code = lambda ws: np.array([number[w] for w in ws], np.uint64)
+    out = {}
+    for item, text in items:
+        words = plain_words(text)
+        weight = np.array([max(math.log((len(docs) + 1) / (held[w] + 1)) / math.log(len(docs) + 2), decontaminate.LEAST_WEIGHT) for w in words])
+        some = [(d, ws) for (d, _), ws in zip(docs, texts, strict=True) if ws]
+        scores = decontaminate.align([code(ws) for _, ws in some], [code(words)] * len(some), [weight] * len(some))
+        for (d, _), (score, end) in zip(some, scores, strict=True):
+            if score >= min(decontaminate.THRESHOLD, decontaminate.LONG_RUN / len(words)):
+                out[d, item] = (round(min(score, 1.0), 6), end)
+    return out
+
+
+def test_densely_edited_copies_are_found_as_by_the_whole_alignment(spark):
+    rng = random.Random(6)
+    sf = "/root/testdata/sf0.01"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    noise = [w for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").collect() for w in plain_words(r.text)]
+    docs, planted = [(i, " ".join(rng.choices(noise, k=rng.randrange(5, 400)))) for i in range(100)], {}
+    for every in (3, 4, 5):
+        for item, text in items:
+            words = text.split()
+            phase = rng.randrange(every)
+            words = [rng.choice(noise) if k % every == phase else w for k, w in enumerate(words)]
+            planted[len(docs)] = (every, item)
+            docs.append((len(docs), " ".join([*rng.choices(noise, k=30), *words, *rng.choices(noise, k=30)])))
+    # Copies pulled apart by words between theirs, and an item longer than a long run.
+    long_item = " ".join(rng.choices(noise, k=400))
+    items.append((9999, long_item))
+    docs.append((len(docs), " ".join(w if k % 4 else f"{w} between" for k, w in enumerate(items[0][1].split()))))
+    docs.append((len(docs), " ".join([*rng.choices(noise, k=50), *long_item.split()[100:180], *rng.choices(noise, k=50)])))
+    expected = aligned_whole(docs, items)
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (round(r.score, 6), r.end_word) for r in decontaminate.contaminated(*frames).collect()}
+    assert got == expected
+    for every, least in ((3, 0.9), (4, 1.0), (5, 1.0)):
+        wanted = [(d, i) for d, (e, i) in planted.items() if e == every]
+        assert sum(x in got for x in wanted) >= least * len(wanted)
