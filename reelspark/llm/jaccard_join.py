@@ -97,14 +97,24 @@ def _codes(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield from told(held)
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(code, n) of the shingles found at least WIDE_FROM times, of whole buckets."""
-    by_bucket: dict[int, list[tuple[bool, bytes]]] = {}
+def _bucket_by_bucket(batches: Iterator[pa.RecordBatch], columns: tuple[str, str]) -> Iterator[list[tuple]]:
+    """The rows of one bucket after the other, of batches sorted by bucket: a task holds one bucket, however many it has."""
+    bucket, held = None, []
     for batch in batches:
-        for b, many, x in zip(batch.column("bucket").to_pylist(), batch.column("many").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-            by_bucket.setdefault(b, []).append((many, x))
-    for b in list(by_bucket):
-        found = [np.frombuffer(x, COUNTED if many else CODE) for many, x in by_bucket.pop(b)]
+        for b, *row in zip(batch.column("bucket").to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
+            if held and b != bucket:
+                yield held
+                held = []
+            bucket = b
+            held.append(tuple(row))
+    if held:
+        yield held
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, n) of the shingles found at least WIDE_FROM times, of whole buckets, which come one after the other."""
+    for rows in _bucket_by_bucket(batches, ("many", "entries")):
+        found = [np.frombuffer(x, COUNTED if many else CODE) for many, x in rows]
         wide = np.zeros((sum(map(len, found)), 8), np.uint8)
         wide[:, :6] = np.concatenate([x["code"] for x in found])
         times = np.concatenate([x["n"].astype(np.int64) if "n" in x.dtype.names else np.ones(len(x), np.int64) for x in found])
@@ -256,18 +266,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [run.view(np.int64), e["g"].copy().view(np.int64), e["n"].astype(np.int32), e["p"].astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["run", "grp", "n", "p"])
 
-    by_bucket: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for b, hot, x in zip(batch.column("bucket").to_pylist(), batch.column("hot").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-            e = np.frombuffer(x, ENTRY)
-            if hot:
-                yield rows(shingles.mixed(e["s"]), e)
-            else:
-                by_bucket.setdefault(b, []).append(e)
     part, whole = PARTS
     seen: dict[int, int] = {}
-    for b in list(by_bucket):
-        e = np.concatenate(by_bucket.pop(b))
+    for held in _bucket_by_bucket(batches, ("hot", "entries")):
+        some = [np.frombuffer(x, ENTRY) for hot, x in held if not hot]
+        for e in (np.frombuffer(x, ENTRY) for hot, x in held if hot):
+            yield rows(shingles.mixed(e["s"]), e)
+        if not some:
+            continue
+        e = np.concatenate(some)
         # Only shingles of two entries or more are sorted in full.
         shingle = np.sort(e["s"])
         twice = np.unique(shingle[1:][shingle[1:] == shingle[:-1]])
@@ -312,17 +319,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """ids, broadcast where they are few."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 class _Join:
     def __init__(self, docs: DataFrame):
         self.docs, self.spark = docs, docs.sparkSession
         small_batches(self.spark)
         parts = self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = docs.select("text").mapInArrow(partial(_codes, 4 * parts), "bucket int, many boolean, entries binary").repartition(parts, "bucket")
+        dealt = docs.select("text").mapInArrow(partial(_codes, 4 * parts), "bucket int, many boolean, entries binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
         wide = dealt.mapInArrow(_tally, "code bigint, n bigint").orderBy(F.desc("n"), "code").limit(WIDE_SHINGLES).toPandas()
         self.order = self.spark.sparkContext.broadcast(_Order(wide["code"].to_numpy(), wide["n"].to_numpy()))
         self.meta = written(docs.mapInArrow(partial(_describe, self.order), "doc_id bigint, n int, ref bigint, grp bigint, sketch binary"), "sets-meta")
-        # Whole rows that stand in the table more than once: only then fetched texts need to be told apart again.
-        self.repeated = not self.meta.where("n > 0").groupBy("doc_id", "ref").count().where("count > 1").isEmpty()
+        # Ids on several rows: their texts are told apart by the sets' hashes, which takes another hashing of these rows.
+        self.several = written(self.meta.where("n > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "sets-several")
+        self.repeated = not self.several.isEmpty()
         sketch = F.first("sketch")
         self.sets = written(
             self.meta.where("n > 0").groupBy("ref").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("grp").alias("grp"), sketch.alias("sketch")), "sets-distinct"
@@ -331,7 +344,7 @@ class _Join:
     def runs(self) -> DataFrame:
         """(run, grp, n, p): the groups that meet, and the first place where they do."""
         dealt = self.docs.select("text").mapInArrow(partial(_deal, self.order, 4 * self.parts), "bucket int, hot boolean, entries binary")
-        met = dealt.repartition(self.parts, "bucket").mapInArrow(_meet, "run bigint, grp bigint, n int, p int")
+        met = dealt.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "run bigint, grp bigint, n int, p int")
         return written(met.groupBy("run", "grp", "n").agg(F.min("p").alias("p")), "meetings")
 
     def links(self, pairs: DataFrame, label: str) -> DataFrame:
@@ -342,13 +355,17 @@ class _Join:
         near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{part} * greatest(n_a, n_b) <= {whole} * least(n_a, n_b)")
         few = written(near.select("a", "b", "n_a", "n_b", "k_a", "k_b").mapInArrow(_sift, "a bigint, b bigint"), f"pairs-{label}")
         needed = few.select(F.col("a").alias("ref")).union(few.select("b")).distinct().join(self.sets.select("ref", "rep"), "ref").select("ref", F.col("rep").alias("doc_id"))
-        if needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-            needed = F.broadcast(needed)
-        # Texts travel, not sets: compressed, they are less than half as large. An id may stand on several rows with
-        # different texts: the set's own hash tells the right one.
-        texts = self.docs.join(needed, "doc_id").select("ref", "text")
-        if self.repeated:
-            texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["ref", "h"]).select("ref", "text")
+        # Texts travel, not sets: compressed, they are less than half as large.
+        if not self.repeated:
+            texts = self.docs.join(_small(needed), "doc_id").select("ref", "text")
+        else:
+            needed = written(needed, f"needed-{label}")
+            single = needed.join(self.several, "doc_id", "left_anti")
+            of_several = needed.join(self.several, "doc_id", "left_semi")
+            # Of the rows of such ids each has its own set's hash before it is joined, and one text of a set goes on.
+            own = self.docs.join(_small(of_several.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(partial(_with_ref, "text", "ref"), "doc_id bigint, text string, ref bigint")
+            own = own.join(_small(of_several), ["doc_id", "ref"], "left_semi").groupBy("ref").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+            texts = self.docs.join(_small(single), "doc_id").select("ref", "text").union(own)
         both = few.join(texts.select(F.col("ref").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("ref").alias("b"), F.col("text").alias("y")), "b")
         out = written(both.mapInArrow(_verify, "a bigint, b bigint"), f"links-{label}")
         discard(few)

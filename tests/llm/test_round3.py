@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from reelspark.llm import conversation_repair, decontaminate, merkle_manifest, queries, token_files
+from reelspark.llm import conversation_repair, decontaminate, jaccard_join, merkle_manifest, queries, token_files
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -382,3 +383,27 @@ def test_densely_edited_copies_are_found_as_by_the_whole_alignment(spark):
     for every, least in ((3, 0.9), (4, 1.0), (5, 1.0)):
         wanted = [(d, i) for d, (e, i) in planted.items() if e == every]
         assert sum(x in got for x in wanted) >= least * len(wanted)
+
+
+# -- near copies under repeated ids
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_many_texts_under_one_id_take_no_longer(spark, hot):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(100):
+        w = [f"w{rng.randrange(500)}" for _ in range(60)]
+        texts += [" ".join(w), " ".join([*w[:58], "x", "y"]), " ".join([*w[:57], "z", "y", "q"])]
+    rows = list(enumerate(texts, 1000))
+    took = []
+    for renamed in (rows, [(hot if i % 3 else d, t) for i, (d, t) in enumerate(rows)]):
+        began = time.monotonic()
+        got = sorted(((r.doc_id is not None, r.doc_id or 0), r.n_shingles, (r.component_id is not None, r.component_id or 0)) for r in jaccard_join.link(spark.createDataFrame(renamed, "doc_id bigint, text string").repartition(6)).collect())
+        took.append(time.monotonic() - began)
+        order = lambda d: (d is not None, d or 0)
+        expected = []
+        for a in range(0, len(renamed), 3):
+            least = min(order(d) for d, _ in renamed[a : a + 3])
+            expected += [(order(d), 56, least) for d, _ in renamed[a : a + 3]]
+        assert got == sorted(expected)
+    assert took[1] <= 2 * took[0] + 5
