@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.shared import fresh
+from reelspark.llm.shared import fresh, written
 
 #: The largest sum of shares: the period of the schedule, computed in one expression.
 MAX_PERIOD = 4096
 #: Hex digits of the shuffling key that number rows in pieces: 16**3 pieces of every source.
 PIECE_DIGITS = 3
+#: An id of more than this share of all rows, and of so many rows at least, is numbered in ranges of its rows: at most 4096 ids.
+HOT_SHARE, HOT_ROWS = 1 / 4096, 100_000
 
 
 def one_period(shares: list[int]) -> Column:
@@ -42,6 +44,30 @@ def one_period(shares: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(total - 1)), start, step, lambda acc: acc["out"])
 
 
+def _pieces(keyed: DataFrame, id_col: str, lane: str, key: str, piece: str, ties: list[Column]) -> DataFrame:
+    """keyed with piece: pieces of a lane ascend as their rows do in the order of key, id and ties.
+
+    Rows of an id that holds a large share of all rows are dealt and sorted by ranges and written; their pieces stand
+    inside the piece of their key's first digits, and the keys after them there are a piece of their own.
+    """
+    digits = F.substring(key, 1, PIECE_DIGITS)
+    counts = keyed.groupBy(F.col(id_col).alias("id")).count()
+    most = counts.agg(F.max("count"), F.sum("count")).first()
+    least = max((most[1] or 0) * HOT_SHARE, HOT_ROWS)
+    if (most[0] or 0) <= least:
+        return keyed.withColumn(piece, digits)
+    hot = F.broadcast(counts.where(F.col("count") > least).select("id"))
+    same = F.col(id_col).eqNullSafe(F.col("id"))
+    row, tie = fresh(keyed, "row"), fresh(keyed, "tie")
+    order = [lane, key, tie, row]
+    apart = written(keyed.join(hot, same, "left_semi").withColumns({row: F.monotonically_increasing_id(), tie: ties[0] if ties else F.lit(0)}), "mix-hot")
+    apart = written(apart.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(piece, F.concat(F.col(key), F.lit(":"), F.lpad(F.spark_partition_id().cast("string"), 8, "0"))), "mix-hot-order")
+    keys = sorted(r[0] for r in apart.select(key).distinct().collect())
+    before = F.array_max(F.filter(F.array(*[F.lit(k) for k in keys]), lambda k: (k < F.col(key)) & k.startswith(digits)))
+    others = keyed.join(hot, same, "left_anti").withColumn(piece, F.coalesce(F.concat(before, F.lit("~")), digits))
+    return others.unionByName(apart.drop(row, tie))
+
+
 def mix(
     docs: DataFrame,
     shares: dict[str, int],
@@ -56,7 +82,8 @@ def mix(
     shares maps sources to whole numbers; sources without one, null among them, form one stream '*' with rest_share.
     Rows of a stream are taken in the order of md5(seed, id), then of the other columns' hash, and cut into blocks of
     block_rows. Every row is kept once; when a stream has ended, its slots stay empty, so slots have gaps from there on.
-    Rows that are equal in all columns may swap places. Null ids are numbered like others. An empty table stays empty.
+    Rows that are equal in all columns may swap places. Null ids are numbered like others; one id, or null, may stand on
+    any share of the rows. An empty table stays empty.
     """
     if not shares or min([*shares.values(), rest_share]) < 1 or sum(shares.values()) + rest_share > MAX_PERIOD:
         raise ValueError(f"shares must be whole numbers from 1, with a sum of at most {MAX_PERIOD}")
@@ -69,12 +96,12 @@ def mix(
     lanes = F.create_map(*[x for i, n in enumerate(names[:-1]) for x in (F.lit(n), F.lit(i))])
     keyed = docs.withColumn(lane, F.coalesce(F.get(F.array(*[F.lit(i) for i in range(len(names))]), lanes[F.col(source_col)]), F.lit(len(names) - 1)))
     keyed = keyed.withColumn(key, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))))
-    keyed = keyed.withColumn(piece, F.substring(key, 1, PIECE_DIGITS))
+    ties = [F.xxhash64(*[F.col(c) for c in docs.columns])] if len(docs.columns) > 1 else []
+    keyed = _pieces(keyed, id_col, lane, key, piece, ties)
     # Rows are numbered inside a piece of a stream, and pieces by their sizes: 16**PIECE_DIGITS rows a stream.
     pieces = keyed.groupBy(lane, piece).count()
     before = F.sum("count").over(Window.partitionBy(lane).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1))
     offsets = pieces.select(F.col(lane).alias(o_lane), F.col(piece).alias(o_piece), F.coalesce(before, F.lit(0)).alias(o_at))
-    ties = [F.xxhash64(*[F.col(c) for c in docs.columns])] if len(docs.columns) > 1 else []
     inside = Window.partitionBy(lane, piece).orderBy(F.col(key), F.col(id_col), *ties)
     numbered = keyed.withColumn(at, F.row_number().over(inside) - 1)
     numbered = numbered.join(offsets, (F.col(lane) == F.col(o_lane)) & (F.col(piece) == F.col(o_piece)))

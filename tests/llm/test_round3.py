@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from reelspark.llm import conversation_repair, decontaminate, jaccard_join, merkle_manifest, queries, token_files
+from reelspark.llm import conversation_repair, decontaminate, jaccard_join, merkle_manifest, mixing, queries, token_files
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -407,3 +407,18 @@ def test_many_texts_under_one_id_take_no_longer(spark, hot):
             expected += [(order(d), 56, least) for d, _ in renamed[a : a + 3]]
         assert got == sorted(expected)
     assert took[1] <= 2 * took[0] + 5
+
+
+# -- mixing of rows of one id
+
+@pytest.mark.parametrize("hot", [None, 5])
+def test_a_third_of_the_rows_under_one_id_are_numbered_in_pieces(spark, monkeypatch, hot):
+    monkeypatch.setattr(mixing, "HOT_ROWS", 20)
+    monkeypatch.setattr(mixing, "PIECE_DIGITS", 1)
+    rows = [(i, f"t{i}", "en", f"s{i % 2}", 1) for i in range(400)] + [(hot, f"h{i % 40}", "en", f"s{i % 3}", 1) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = mixing.mix(df, {"s0": 2, "s1": 1}, 1, 4).collect()
+    monkeypatch.setattr(mixing, "HOT_ROWS", 10_000)
+    plain = mixing.mix(df, {"s0": 2, "s1": 1}, 1, 4).collect()
+    assert len(got) == len(rows) and len({(r.slot, r.place_in_block) for r in got}) == len(rows)
+    assert sorted(map(str, got)) == sorted(map(str, plain))
