@@ -153,10 +153,18 @@ SELECT object_id, 1 AS track, 'V_MPEG4/ISO/AVC' AS codec_id, 'h264' AS codec, 'v
 UNION ALL SELECT object_id, 2, 'A_AAC', 'aac', 'audio', NULL, NULL, 44100, 2, true FROM o"""
 QUERIES["matroska_cues"] = lambda spark, d: files.matroska_cues(matroska(spark, d))
 ORACLE_SQL["matroska_cues"] = f"""WITH {sql('octets')} SELECT object_id, w AS ticks, 1 AS track, b1 AS position, NULL::BIGINT AS relative FROM octets UNION ALL SELECT object_id, w, 2, b2, b0 FROM octets"""
-QUERIES["matroska_seek_entries"] = lambda spark, d: files.matroska_seek_entries(matroska(spark, d)).join(files.matroska_segments(matroska(spark, d)), "object_id")
+
+
+def matroska_seek_entries(spark, d):
+    """The seek head's entries with the segment's base, from one walk of the files."""
+    elements = matroska(spark, d).where("kind in ('18538067', '4DBB', '53AB', '53AC')").repartition("object_id")
+    return files.matroska_seek_entries(elements).join(files.matroska_segments(elements), "object_id")
+
+
+QUERIES["matroska_seek_entries"] = matroska_seek_entries
 ORACLE_SQL["matroska_seek_entries"] = f"""WITH {sql('octets')}, o AS (SELECT DISTINCT object_id FROM octets)
 SELECT object_id, '1C53BB6B' AS element_id, object_id % 65536 AS position, 17 AS data_offset FROM o UNION ALL SELECT object_id, '1654AE6B', 32, 17 FROM o"""
-QUERIES["matroska_frames"] = lambda spark, d: files.matroska_blocks(matroska(spark, d)).select("object_id", "track", "ts", "keyframe", "lacing", "frame", F.length("payload").alias("bytes"), "fault")
+QUERIES["matroska_frames"] = lambda spark, d: files.matroska_frames(matroska_media(spark, d)).select("object_id", "track", "ts", "keyframe", "lacing", "frame", F.length("payload").alias("bytes"), "fault")
 ORACLE_SQL["matroska_frames"] = f"""WITH {sql('octets')}, c AS (SELECT *, object_id % 65536 AS t FROM octets)
 SELECT object_id, (w % 2 + 1)::BIGINT AS track, t + CASE WHEN w >= 32768 THEN w - 65536 ELSE w END AS ts, b0 % 2 = 1 AS keyframe, 0 AS lacing, 0 AS frame, (b1 % 20)::INT AS bytes, false AS fault FROM c
 UNION ALL SELECT object_id, 1, t + 5, false, 3, 0, (b1 % 200)::INT, false FROM c UNION ALL SELECT object_id, 1, t + 5, false, 3, 1, (b2 % 20)::INT, false FROM c"""

@@ -301,32 +301,63 @@ def lace_bounds(lacing: int | None, body: bytes | None) -> list[int] | None:
     return [at + sum(sizes[:i]) for i in range(n)] + [len(body)]
 
 
-def matroska_blocks(elements: DataFrame) -> DataFrame:
-    """(object_id, seq, track, ts, keyframe, lacing, frame, payload, fault) of blocks, one row for each frame.
+def block_frames(block: bytes, cluster: int | None, simple: bool) -> list[tuple]:
+    """(track, ts, keyframe, lacing, frame, payload, fault) of the frames of a whole block; of a broken one, one row with fault."""
+    none = [(None, None, None, None, None, None, True)]
+    w = 9 - block[0].bit_length() if block and block[0] else 0
+    if not w or len(block) < w + 3:
+        return none
+    track, flags = int.from_bytes(block[:w], "big") - (1 << 7 * w), block[w + 2]
+    ts = None if cluster is None else cluster + int.from_bytes(block[w : w + 2], "big", signed=True)
+    lacing, body = flags >> 1 & 3, block[w + 3 :]
+    head = (track, ts, simple and flags & 128 != 0, lacing)
+    if not lacing:
+        return [(*head, 0, body, False)]
+    bounds = lace_bounds(lacing, body)
+    if bounds is None:
+        return [(*head, None, None, True)]
+    return [(*head, i, body[a:z], False) for i, (a, z) in enumerate(zip(bounds, bounds[1:], strict=False))]
+
+
+def matroska_frames(media: DataFrame) -> DataFrame:
+    """(object_id, seq, track, ts, keyframe, lacing, frame, payload, fault) of the blocks of Matroska files (object_id, content), one row for each frame.
 
     A block's time is its cluster's plus its own 16 bits; all frames of a lace share it and count from 0. A block that is
-    cut or has a broken header or lace is one row with fault, without frame and payload.
+    cut or has a broken header or lace is one row with fault, without frame and payload. All comes from one walk, in
+    which clusters stand before their blocks; nothing is shuffled.
     """
-    order = Window.partitionBy("object_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    time = F.last(F.when(F.col("kind") == "E7", F.conv(F.hex("payload"), 16, 10).cast("bigint")), ignorenulls=True).over(order)
-    blocks = elements.withColumn("cluster", time).where("kind in ('A3', 'A1')")
-    p = F.col("payload")
-    first = unsigned(p, 0, 1)
-    w = bitstream.ebml_width(first)
-    rest = F.when(w == 1, F.lit(0).cast("bigint"))
-    for k in range(2, 9):
-        rest = rest.when(w == k, unsigned(p, 1, k - 1, False))
-    rel, flags = unsigned(p, w, 2, False), unsigned(p, w + 2, 1)
-    whole = (w > 0) & (F.length(p) == F.col("length")) & (F.length(p) >= w + 3)
-    body = F.substring(p, (w + 4).cast("int"), F.length(p))
-    told = lambda v: F.when(whole, v)
-    x = blocks.select(
-        "object_id", "seq", told(bitstream.ebml_value(first, rest)).alias("track"), told(F.col("cluster") + F.when(rel >= 32768, rel - 65536).otherwise(rel)).alias("ts"),
-        told((F.col("kind") == "A3") & (flags.bitwiseAND(128) != 0)).alias("keyframe"), told(F.shiftright(flags, 1).bitwiseAND(3).cast("int")).alias("lacing"), told(body).alias("body"),
-    )
-    x = x.withColumn("bounds", F.udf(lace_bounds, "array<int>")("lacing", F.when(F.col("lacing") > 0, F.col("body"))))
-    at = lambda i: F.get(F.col("bounds"), i)
-    laced = F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), lambda i: F.substring(F.col("body"), at(i) + 1, at(i + 1) - at(i)))
-    frames = F.when(F.col("lacing") == 0, F.array("body")).when(F.col("bounds").isNotNull(), laced)
-    each = x.select("object_id", "seq", "track", "ts", "keyframe", "lacing", F.posexplode_outer(frames).alias("frame", "payload"))
-    return each.withColumn("fault", F.col("frame").isNull())
+    import pyarrow as pa
+
+    key = media.schema["object_id"].dataType.simpleString()
+    ddl = f"object_id {key}, seq bigint, track bigint, ts bigint, keyframe boolean, lacing int, frame int, payload binary, fault boolean"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+
+    def rows_of(b: bytes) -> Iterator[tuple]:
+        time = None
+        for n, (kind, at, size) in enumerate(ebml_elements(b)):
+            if kind == "E7":
+                time = int.from_bytes(b[at : at + size], "big")
+            elif kind in ("A3", "A1"):
+                whole = at + size <= len(b)
+                yield from ((n, *row) for row in (block_frames(b[at : at + size], time, kind == "A3") if whole else [(None, None, None, None, None, None, True)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows, held = [], [], 0
+
+            def told() -> pa.RecordBatch:
+                columns = [batch.column("object_id").take(pa.array(ids, pa.int64())), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))]  # noqa: B023
+                return pa.RecordBatch.from_arrays(columns, ["object_id", "seq", "track", "ts", "keyframe", "lacing", "frame", "payload", "fault"])
+
+            for i, content in enumerate(batch.column("content")):
+                for row in rows_of(content.as_py()) if content.is_valid else ():
+                    ids.append(i)
+                    rows.append(row)
+                    held += len(row[6] or b"")
+                    if len(rows) >= WALK_ROWS or held >= WALK_BYTES:
+                        yield told()
+                        ids, rows, held = [], [], 0
+            if rows:
+                yield told()
+
+    return media.select("object_id", "content").mapInArrow(run, ddl)

@@ -136,11 +136,12 @@ def test_matroska_tracks_and_blocks(spark):
     cluster = el("1F43B675", el("E7", b"\3\xe8") + el("A3", block(1, -5, 0x80, b"ab")) + el("A0", el("A1", block(2, 7, 0, b"c"))), size=b"\xff")
     later = el("1F43B675", el("E7", b"\x07\xd0") + el("EC", b"pad") + el("A3", block(1, 0, 0, b"")))
     data = el("1A45DFA3", b"") + el("18538067", el("1654AE6B", video + sound + other) + cluster + later, size=b"\x01" + b"\xff" * 7)
-    elements = files.matroska(spark.createDataFrame([("m", data), ("bad", data[:60] + b"\0"), ("none", None)], "object_id string, content binary"))
+    media = spark.createDataFrame([("m", data), ("bad", data[:60] + b"\0"), ("none", None)], "object_id string, content binary")
+    elements = files.matroska(media)
     tracks = {r.track: r for r in files.matroska_tracks(elements).where("object_id = 'm'").collect()}
     assert [(t.codec, t.kind, t.selected) for _, t in sorted(tracks.items())] == [("h264", "video", True), ("aac", "audio", True), ("opus", "audio", False)]
     assert (tracks[1].width, tracks[1].height, tracks[2].sample_rate_hz, tracks[3].sample_rate_hz) == (640, 480, 44100, 8000)
-    blocks = files.matroska_blocks(elements).orderBy("seq").collect()
+    blocks = files.matroska_frames(media).orderBy("seq").collect()
     assert [(b.track, b.ts, b.keyframe, bytes(b.payload)) for b in blocks] == [(1, 995, True, b"ab"), (2, 1007, False, b"c"), (1, 2000, False, b"")]
 
 
@@ -153,7 +154,7 @@ def test_matroska_blocks_of_any_length_lacing_and_track_width(spark):
     bad = [head(b"\x81", 4) + b"\2" + b"1234", b"\x81\0", b"\0" * 9, b""]
     blocks = [head(b"\x81", 0x80) + big, head(b"\x20\x40\0", 0) + b"x", head(b"\1" + bytes(5) + b"\1\2", 0) + b"y", xiph, fixed, ebml, *bad]
     data = el("1F43B675", el("E7", b"\5") + b"".join(el("A3", x) for x in blocks), size=b"\xff") + el("A3", head(b"\x81", 0) + b"cut short")[:-2]
-    got = files.matroska_blocks(files.matroska(spark.createDataFrame([("m", data)], "object_id string, content binary"))).orderBy("seq", "frame").collect()
+    got = files.matroska_frames(spark.createDataFrame([("m", data)], "object_id string, content binary")).orderBy("seq", "frame").collect()
     assert [bytes(r.payload) for r in got if not r.fault] == [big, b"x", b"y", a, b, c, b, c, a, b, c]
     assert [r.track for r in got[:3]] == [1, 0x4000, 0x102] and got[0].keyframe and {r.ts for r in got if not r.fault} == {6}
     assert [r.frame for r in got if r.lacing == 1] == [0, 1, 2] and [r.fault for r in got[11:]] == [True] * 5 and all(r.payload is None for r in got[11:])
