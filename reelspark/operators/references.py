@@ -1,20 +1,57 @@
 """Picture order of H.264, reference marking with commands, reference lists, and picture slots of H.265.
 
-Order counts are windows. Marking and slots carry a state of at most 16 pictures from each picture to the next and start
-anew at every IDR picture, so runs between IDR pictures are the groups.
+Order counts are windows. Marking, slots and bounded output carry a state of at most 16 pictures from each picture to the
+next and start anew at every IDR picture: runs between IDR pictures are dealt over tasks, each task's rows are sorted, and
+one pass streams through them with the state of the run it is in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What a run's state does with a row's values: the rows to give out; at None, after the run's last row, the rest.
+Step = Callable[[tuple | None], list[tuple]]
 
-def _runs(pictures: DataFrame, ends: Column) -> DataFrame:
+
+def in_order(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], begin: Callable[[], Step], schema: str) -> DataFrame:
+    """One pass over rows that are dealt by keys and sorted by order: begin() makes each group's state, which takes columns and gives rows of schema.
+
+    A task holds a batch and one state, however long its groups are.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*dict.fromkeys([*keys, *columns]))
+    return dealt.mapInArrow(partial(_pass, keys, columns, begin, arrow), schema)
+
+
+def _pass(keys: list[str], columns: list[str], begin: Callable[[], Step], schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    group, step, out = None, None, []
+    for batch in batches:
+        told = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+        for key, row in zip(told, zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+            if step is None or key != group:
+                out += step(None) if step else []
+                group, step = key, begin()
+            out += step(row)
+        yield _batch(out, schema)
+        out = []
+    yield _batch(out + step(None) if step else out, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _runs(pictures: DataFrame, ends: Column, by: str = "n") -> DataFrame:
     """pictures with _run: it rises at an IDR picture and after a picture where `ends` holds."""
-    order = Window.partitionBy("stream_id").orderBy("n")
+    order = Window.partitionBy("stream_id").orderBy(by)
     begun = F.sum(F.col("idr").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     ended = F.coalesce(F.sum(ends.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return pictures.withColumn("_run", begun + ended)
@@ -46,17 +83,22 @@ def h264_order(pictures: DataFrame, log2_lsb: int, log2_frame_num: int, cycle: t
     return x.withColumns(out).drop("_run", "_prev", "_change", "_poc0", "_abs")
 
 
-def _marked(rows: Iterator[tuple], references: int, wrap: int) -> Iterator[tuple[list[int], list[int]]]:
-    """For each picture (n, frame_num, is_reference, idr, op, a, b) the pictures held when it is decoded: short-term ones by falling number, long-term ones by index."""
+def _marking(references: int, wrap: int) -> Step:
+    """For each picture (stream_id, n, frame_num, is_reference, idr, op, a, b) the pictures held when it is decoded: short-term ones by falling number, long-term ones by index."""
     short: dict[int, int] = {}
     long: dict[int, int] = {}
-    for n, frame, is_reference, idr, op, a, b in rows:
-        number = lambda p, frame=frame: short[p] - wrap if short[p] > frame else short[p]
+
+    def step(row: tuple | None) -> list[tuple]:
+        nonlocal short, long
+        if row is None:
+            return []
+        stream, n, frame, is_reference, idr, op, a, b = row
+        number = lambda p: short[p] - wrap if short[p] > frame else short[p]
         if idr:
             short, long = {}, {}
-        yield sorted(short, key=lambda p: (-number(p), p)), [long[i] for i in sorted(long)]
+        out = [(stream, n, sorted(short, key=lambda p: (-number(p), p)), [long[i] for i in sorted(long)])]
         if not is_reference:
-            continue
+            return out
         named = next((p for p in short if number(p) == frame - (a + 1)), None) if op in (1, 3) else None
         if op == 2:
             long.pop(a, None)
@@ -76,25 +118,78 @@ def _marked(rows: Iterator[tuple], references: int, wrap: int) -> Iterator[tuple
             long[a] = n
         else:
             short[n] = frame
+        return out
+
+    return step
 
 
-def mark_references(pictures: DataFrame, references: int, log2_frame_num: int) -> DataFrame:
+def mark_references(pictures: DataFrame, references: int, log2_frame_num: int, order: str = "n") -> DataFrame:
     """(stream_id, n, short_term, long_term): the reference pictures held when each picture (stream_id, n, frame_num, is_reference, idr, op, a, b) is decoded.
 
     op is a marking command: 1 drops the short-term picture of a difference a + 1, 2 drops the long-term index a, 3 gives
     that picture the long-term index b, 4 keeps indexes below a, 5 drops all, 6 gives the picture itself the index a; 0
-    and a full buffer drop the oldest short-term picture. short_term and long_term are the first reference list.
+    and a full buffer drop the oldest short-term picture. short_term and long_term are the first reference list. Pictures
+    are decoded in the order of the column that order names.
     """
-    import pandas as pd
+    columns = ["stream_id", "n", "frame_num", "is_reference", "idr", "op", "a", "b"]
+    schema = "stream_id bigint, n bigint, short_term array<bigint>, long_term array<bigint>"
+    return in_order(_runs(pictures, F.lit(False), order), ["stream_id", "_run"], [order], columns, partial(_marking, references, 1 << log2_frame_num), schema)
 
-    names = ["n", "frame_num", "is_reference", "idr", "op", "a", "b"]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n")
-        told = list(_marked(group[names].itertuples(index=False, name=None), references, 1 << log2_frame_num))
-        return pd.DataFrame({"stream_id": group["stream_id"].to_numpy(), "n": group["n"].to_numpy(), "short_term": [s for s, _ in told], "long_term": [x for _, x in told]})
+def frame_gaps(pictures: DataFrame, log2_frame_num: int) -> DataFrame:
+    """pictures with the frames that their numbers say are missing, as non-existing pictures that take part in marking.
 
-    return _runs(pictures, F.lit(False)).groupBy("stream_id", "_run").applyInPandas(run, "stream_id bigint, n bigint, short_term array<bigint>, long_term array<bigint>")
+    Added are place, the order in which pictures and missing frames are marked, and exists. A picture whose frame_num is
+    neither that of the reference picture before it nor the next one (modulo the wrap) has all numbers between before it;
+    they are reference pictures without commands, and their n is -1 - (16 n + k), for k from 0. An IDR picture starts
+    anew, a picture with the fifth command counts as number 0, and before a stream's first picture nothing is missing.
+    """
+    wrap = 1 << log2_frame_num
+    x = _runs(pictures, F.lit(False))
+    earlier = Window.partitionBy("stream_id", "_run").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.when(F.col("is_reference"), F.when(F.col("op") == 5, 0).otherwise(F.col("frame_num")))
+    x = x.withColumn("_prev", F.last(number, ignorenulls=True).over(earlier))
+    ahead = F.pmod(F.col("frame_num") - F.col("_prev"), F.lit(wrap))
+    missing = F.when(~F.col("idr") & (ahead > 1), ahead - 1).otherwise(0).cast("int")
+    each = x.withColumn("_k", F.explode(F.sequence(F.lit(0), missing))).withColumn("exists", F.col("_k") == missing)
+    filled = lambda c, v: F.when(F.col("exists"), F.col(c)).otherwise(F.lit(v)).alias(c)
+    plain = {"is_reference": True, "idr": False, "op": 0, "a": 0, "b": 0}
+    number = F.when(F.col("exists"), F.col("frame_num")).otherwise(F.pmod(F.col("_prev") + 1 + F.col("_k"), F.lit(wrap))).cast(pictures.schema["frame_num"].dataType)
+    name = F.when(F.col("exists"), F.col("n")).otherwise(-1 - (16 * F.col("n") + F.col("_k")))
+    others = [c for c in pictures.columns if c not in ("stream_id", "n", "frame_num", *plain)]
+    return each.select("stream_id", name.alias("n"), number.alias("frame_num"), *[filled(c, v) for c, v in plain.items()], *others, (16 * F.col("n") + F.col("_k")).alias("place"), "exists")
+
+
+def _bumping(size: int) -> Step:
+    """For each picture (stream_id, n, poc, idr) those that it pushes out of a buffer of so many waiting ones."""
+    waiting: list[tuple[int, int]] = []
+    stream, shown = None, 0
+
+    def step(row: tuple | None) -> list[tuple]:
+        nonlocal stream, shown
+        out = []
+        if row is not None:
+            stream, n, poc, _ = row
+            heapq.heappush(waiting, (poc, n))
+        while waiting and (row is None or len(waiting) > size):
+            poc, held = heapq.heappop(waiting)
+            out.append((stream, held, poc, None if row is None else row[1], shown))
+            shown += 1
+        return out
+
+    return step
+
+
+def bounded_output(pictures: DataFrame, size: int) -> DataFrame:
+    """(stream_id, n, poc, shown_at, shown_no): when a display buffer of so many pictures gives each picture (stream_id, n, poc, idr) out.
+
+    A picture that finds the buffer full pushes out the one of the least poc, itself if it is that one; shown_at is the n of
+    the picture that pushes, null where an IDR picture or the end of the stream empties the buffer. shown_no counts inside
+    a run from an IDR picture to the next. A buffer of 0 shows every picture at once; of equal pocs the earlier picture goes first.
+    """
+    x = _runs(pictures, F.lit(False))
+    schema = "stream_id bigint, n bigint, poc bigint, shown_at bigint, shown_no bigint"
+    return in_order(x, ["stream_id", "_run"], ["n"], ["stream_id", "n", "poc", "idr"], partial(_bumping, size), schema)
 
 
 def reordered(first: Column, commands: Column) -> Column:
@@ -109,22 +204,25 @@ def reordered(first: Column, commands: Column) -> Column:
     return F.aggregate(commands, start, step, lambda acc: acc["list"])
 
 
+def _slots(slots: int) -> Step:
+    held: list[int | None] = [None] * slots
+
+    def step(row: tuple | None) -> list[tuple]:
+        nonlocal held
+        if row is None:
+            return []
+        stream, n, poc, keep = row
+        kept = set(keep)
+        held = [p if p in kept else None for p in held]
+        free = held.index(None) if None in held else None
+        if free is not None:
+            held[free] = poc
+        return [(stream, n, free, sum(p is not None for p in held))]
+
+    return step
+
+
 def picture_slots(pictures: DataFrame, slots: int = 16) -> DataFrame:
     """(stream_id, n, slot, occupancy): pictures (stream_id, n, poc, idr, keep: array of POCs) in the lowest slot that is free once all but the kept ones are gone; null without one."""
-    import pandas as pd
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n")
-        held: list[int | None] = [None] * slots
-        slot, occupied = [], []
-        for poc, keep in zip(group["poc"], group["keep"], strict=True):
-            kept = set(keep)
-            held = [p if p in kept else None for p in held]
-            free = held.index(None) if None in held else None
-            if free is not None:
-                held[free] = int(poc)
-            slot.append(free)
-            occupied.append(sum(p is not None for p in held))
-        return pd.DataFrame({"stream_id": group["stream_id"].to_numpy(), "n": group["n"].to_numpy(), "slot": pd.array(slot, dtype="Int32"), "occupancy": occupied})
-
-    return _runs(pictures, F.lit(False)).groupBy("stream_id", "_run").applyInPandas(run, "stream_id bigint, n bigint, slot int, occupancy int")
+    schema = "stream_id bigint, n bigint, slot int, occupancy int"
+    return in_order(_runs(pictures, F.lit(False)), ["stream_id", "_run"], ["n"], ["stream_id", "n", "poc", "keep"], partial(_slots, slots), schema)

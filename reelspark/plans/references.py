@@ -82,3 +82,45 @@ step(stream_id, n, i, held, slot, occupancy) AS (
   FROM (SELECT *, nullif(list_position(list_transform(now, lambda x: x IS NULL), true), 0) AS free FROM (
     SELECT s.stream_id, s.n, s.i, list_transform(p.held, lambda x: CASE WHEN list_contains(s.keep, x) THEN x END) AS now FROM step p JOIN s ON s.stream_id = p.stream_id AND s.i = p.i + 1)))
 SELECT stream_id, n, slot, occupancy FROM step WHERE i > 0"""
+
+
+#: Pictures of the display buffer.
+DISPLAY = 3
+
+
+def bounded_output(spark, d):
+    """Display times with a buffer of three pictures; the pocs are a shuffle of each run's order."""
+    x = view(spark, d, "slices").select("stream_id", "n", (C("lsb") * 5 % 16 + C("tid") * 3).alias("poc"), "idr")
+    return references.bounded_output(x, DISPLAY)
+
+
+QUERIES["bounded_output"] = bounded_output
+ORACLE_SQL["bounded_output"] = f"""WITH RECURSIVE {sql('slices')}, s AS (SELECT stream_id, n, lsb * 5 % 16 + tid * 3 AS poc, idr, row_number() OVER (PARTITION BY stream_id ORDER BY n) AS i, count(*) OVER (PARTITION BY stream_id) AS last FROM slices),
+step(stream_id, i, held, base, out) AS (
+  SELECT DISTINCT stream_id, 0::BIGINT, []::STRUCT(poc BIGINT, n BIGINT)[], 0::BIGINT, []::STRUCT(poc BIGINT, n BIGINT, at BIGINT, no BIGINT)[] FROM s
+  UNION ALL
+  SELECT stream_id, i, list_sort(now)[greatest(len(now) - {DISPLAY}, 0) + 1:], b + greatest(len(now) - {DISPLAY}, 0),
+    CASE WHEN idr THEN list_transform(held, lambda x, k: {{'poc': x.poc, 'n': x.n, 'at': NULL::BIGINT, 'no': base + k - 1}}) ELSE [] END
+      || list_transform(list_sort(now)[:greatest(len(now) - {DISPLAY}, 0)], lambda x, k: {{'poc': x.poc, 'n': x.n, 'at': n, 'no': b + k - 1}})
+  FROM (SELECT *, CASE WHEN idr THEN 0 ELSE base END AS b, CASE WHEN idr THEN [] ELSE held END || [{{'poc': poc, 'n': n}}] AS now
+    FROM (SELECT s.stream_id, s.i, s.n, s.poc, s.idr, p.held, p.base FROM step p JOIN s ON s.stream_id = p.stream_id AND s.i = p.i + 1))),
+ends AS (SELECT stream_id, list_transform(held, lambda x, k: {{'poc': x.poc, 'n': x.n, 'at': NULL::BIGINT, 'no': base + k - 1}}) AS out FROM step p WHERE i = (SELECT max(last) FROM s WHERE s.stream_id = p.stream_id)),
+all_ AS (SELECT stream_id, unnest(out) AS o FROM (SELECT stream_id, out FROM step UNION ALL SELECT stream_id, out FROM ends))
+SELECT stream_id, o.n AS n, o.poc AS poc, o.at AS shown_at, o.no AS shown_no FROM all_""".replace("'at'", "'seen'").replace(" at BIGINT", " seen BIGINT").replace("o.at", "o.seen")
+
+
+def gap_references(spark, d):
+    """References where the frame numbers of pictures leave gaps: missing frames are marked too."""
+    x = _pictures(spark, d).withColumn("frame_num", F.when(C("idr"), 0).otherwise((C("lsb") * 3 + C("delta")) % 16))
+    m = references.mark_references(references.frame_gaps(x, 4), 4, 4, "place")
+    return m.select("stream_id", "n", F.array_join("short_term", ",").alias("short_term"), F.array_join("long_term", ",").alias("long_term"))
+
+
+QUERIES["gap_references"] = gap_references
+_GAPS = f"""{sql('slices')}, o AS (SELECT *, CASE WHEN idr OR n % 6 <> 0 THEN 0 ELSE n // 6 % 7 END AS op, CASE WHEN idr THEN 0 ELSE (lsb * 3 + tid) % 16 END AS f, sum(idr::INT) OVER (PARTITION BY stream_id ORDER BY n) AS run FROM slices),
+q AS (SELECT *, last_value(CASE WHEN is_reference THEN CASE WHEN op = 5 THEN 0 ELSE f END END IGNORE NULLS) OVER (PARTITION BY stream_id, run ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM o),
+g AS (SELECT *, CASE WHEN idr OR prev IS NULL THEN 0 ELSE greatest((f - prev + 16) % 16 - 1, 0) END AS missing FROM q),
+e AS (SELECT *, unnest(range(0, missing + 1)) AS k FROM g),
+s AS (SELECT stream_id, CASE WHEN k = missing THEN n ELSE -1 - (16 * n + k) END AS n, CASE WHEN k = missing THEN f ELSE (prev + 1 + k) % 16 END AS f, k < missing OR is_reference AS is_reference, k = missing AND idr AS idr,
+  CASE WHEN k = missing THEN op ELSE 0 END AS op, CASE WHEN k = missing THEN n % 3 ELSE 0 END AS a, CASE WHEN k = missing THEN lsb % 3 ELSE 0 END AS b, row_number() OVER (PARTITION BY stream_id ORDER BY 16 * n + k) AS i FROM e)"""
+ORACLE_SQL["gap_references"] = ORACLE_SQL["marked_references"].replace(_PICTURES, _GAPS).replace(ORACLE_SQL["marked_references"].split("FROM told")[0].rsplit("SELECT stream_id, n,", 1)[1], " array_to_string(seen_s, ',') AS short_term, array_to_string(seen_l, ',') AS long_term ")
