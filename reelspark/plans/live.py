@@ -34,7 +34,6 @@ def settled(out: DataFrame, label: str) -> DataFrame:
 
 def live_records(spark, d):
     """Whole units and records out of order, by the stateful processor."""
-    live.rocksdb(spark)
     return settled(live.live_units(stream_of(spark, d, "records")), "live-records").where("kind <> 'idle'")
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reelspark.operators.records import MAX_SILENCE
@@ -44,81 +44,62 @@ def bitrate(units: DataFrame, seconds: int = 1, late: str = "10 seconds") -> Dat
 LIVE = "stream_id bigint, kind string, bound_seq bigint, first_seq bigint, last_seq bigint, fragments bigint, bytes bigint"
 
 
-class _Reassembly(StatefulProcessor):
-    """One record stream: the open stream and the unit whose fragments have come so far; a timer ends a stream that is idle."""
-
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        # One value, since each access is a call: the open stream, the partial unit, and when a record last came.
-        self.state = handle.getValueState("stream", "bound_seq bigint, first_seq bigint, last_seq bigint, fragments bigint, bytes bigint, cut boolean, seen_ms bigint")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        bound, part = (None, None) if held is None else (held[0], tuple(held[1:6]) if held[3] else None)
-        armed = held is not None
-        out = []
-        batch = pd.concat(rows).sort_values("seq")
-        names = ["seq", "kind", "continues", "truncated", "bytes"]
-        for seq, kind, continues, truncated, size in zip(*(batch[n].astype(object).where(batch[n].notna(), None) for n in names), strict=True):
-            if kind == "STREAM":
-                bound, part = int(seq), None
-            elif bound is None:
-                out.append((key[0], "fault", None, int(seq), int(seq), 1, None))
-            elif kind == "END":
-                bound, part = None, None
-            else:
-                first, _, n, so_far, cut = part or (int(seq), None, 0, None, None)
-                size = so_far if size is None else int(size) + (so_far or 0)
-                # A unit is known to be whole only if every mark is there: of three values, true wins, then false.
-                cut = cut if truncated is None else bool(truncated) or bool(cut)
-                part = (first, int(seq), n + 1, size, cut)
-                if not continues:
-                    if continues is not None and cut is False:
-                        out.append((key[0], "unit", bound, first, int(seq), n + 1, size))
-                    part = None
-        now = timerValues.getCurrentProcessingTimeInMs()
-        if bound is not None:
-            self.state.update((bound, *(part or (None, None, 0, None, None)), now))
-            if not armed:
-                self.handle.registerTimer(now + self.idle_ms)
-        elif armed:
-            # Its timer finds nothing to end.
-            self.state.clear()
-        yield self._frame(out)
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        names = [c.split()[0] for c in LIVE.split(", ")]
-        return pd.DataFrame(rows, columns=names).astype({n: "Int64" for n in names if n != "kind"})
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held, now = self.state.get(), timerValues.getCurrentProcessingTimeInMs()
-        idle = held is not None and held[6] + self.idle_ms <= now
-        if idle:
-            self.state.clear()
-        elif held is not None:
-            self.handle.registerTimer(held[6] + self.idle_ms)
-        yield self._frame([(key[0], "idle", held[0], None, None, 0, None)] if idle else [])
-
-    def close(self) -> None:
-        pass
-
-
-def live_units(records: DataFrame, idle_seconds: float = 600) -> DataFrame:
+_STATE = "bound_seq bigint, first_seq bigint, last_seq bigint, fragments bigint, bytes bigint, cut boolean"
+
+
+def _live(idle_ms: int | None, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One record stream: its state is the open stream and the unit whose fragments have come so far."""
+    if state.hasTimedOut:
+        bound = state.get[0]
+        state.remove()
+        yield _told([(key[0], "idle", bound, None, None, 0, None)])
+        return
+    held = state.get if state.exists else None
+    bound, part = (None, None) if held is None else (held[0], tuple(held[1:]) if held[3] else None)
+    out = []
+    batch = pd.concat(batches).sort_values("seq")
+    names = ["seq", "kind", "continues", "truncated", "bytes"]
+    for seq, kind, continues, truncated, size in zip(*(batch[n].astype(object).where(batch[n].notna(), None) for n in names), strict=True):
+        if kind == "STREAM":
+            bound, part = int(seq), None
+        elif bound is None:
+            out.append((key[0], "fault", None, int(seq), int(seq), 1, None))
+        elif kind == "END":
+            bound, part = None, None
+        else:
+            first, _, n, so_far, cut = part or (int(seq), None, 0, None, None)
+            size = so_far if size is None else int(size) + (so_far or 0)
+            # A unit is known to be whole only if a mark says so: true wins over false, false over null.
+            cut = cut if truncated is None else bool(truncated) or bool(cut)
+            part = (first, int(seq), n + 1, size, cut)
+            if not continues:
+                if continues is not None and cut is False:
+                    out.append((key[0], "unit", bound, first, int(seq), n + 1, size))
+                part = None
+    if bound is None:
+        if held is not None:
+            state.remove()
+    else:
+        state.update((bound, *(part or (None, None, 0, None, None))))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+    yield _told(out)
+
+
+def _told(rows: list[tuple]) -> pd.DataFrame:
+    names = [c.split()[0] for c in LIVE.split(", ")]
+    return pd.DataFrame(rows, columns=names).astype({n: "Int64" for n in names if n != "kind"})
+
+
+def live_units(records: DataFrame, idle_seconds: float | None = None) -> DataFrame:
     """The streaming form of operators.records: of records (stream_id, seq, kind, continues, truncated, bytes) rows LIVE.
 
     kind 'unit': a whole unit, as reassemble() has it, when its last fragment comes; 'fault': a record out of order, as
     faults() has it; 'idle': a stream of which nothing has come for so long, which is thereby ended; its partial unit is
     gone, and its later units are faults until it opens again. Inside a micro-batch records are put in order of seq, so a
     batch bounds what a task holds of a stream (maxFilesPerTrigger and the like); across batches they must come in order.
-    The session's state store must be the RocksDB one (rocksdb()).
+    Without idle_seconds streams stay open; with it Spark runs batches for the timers for ever, so the trigger must not be availableNow.
     """
-    return records.groupBy("stream_id").transformWithStateInPandas(_Reassembly(int(idle_seconds * 1000)), LIVE, "Append", "ProcessingTime")
-
-
-def rocksdb(spark: SparkSession) -> None:
-    """Sets the state store that processors with timers need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    idle = None if idle_seconds is None else int(idle_seconds * 1000)
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    return records.groupBy("stream_id").applyInPandasWithState(partial(_live, idle), LIVE, _STATE, "append", timeout)

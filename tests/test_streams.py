@@ -46,7 +46,6 @@ def put(spark, folder, rows, k):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_units_of_any_micro_batches_and_after_a_restart(spark, tmp_path, seed):
-    live.rocksdb(spark)
     rng = random.Random(seed)
     rows = made(rng)
     cuts = [0, *sorted(rng.sample(range(1, len(rows)), 5)), len(rows)]
@@ -62,7 +61,6 @@ def test_units_of_any_micro_batches_and_after_a_restart(spark, tmp_path, seed):
 
 
 def test_an_idle_stream_is_ended(spark, tmp_path):
-    live.rocksdb(spark)
     put(spark, tmp_path, [(1, 0, "STREAM", None, None, None), (1, 1, "UNIT", True, False, 5), (2, 2, "STREAM", None, None, None)], 0)
     source = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
     query = live.live_units(source, idle_seconds=0.5).writeStream.format("memory").queryName("idle").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="300 milliseconds").start()
@@ -80,7 +78,6 @@ def test_an_idle_stream_is_ended(spark, tmp_path):
 
 
 def test_live_units_of_an_empty_input(spark, tmp_path):
-    live.rocksdb(spark)
     spark.createDataFrame([], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
     run(spark, tmp_path)
     assert spark.read.schema(live.LIVE).parquet(f"{tmp_path}/out").where(F.lit(True)).count() == 0
