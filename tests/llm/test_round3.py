@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from reelspark.llm import conversation_repair, decontaminate, jaccard_join, merkle_manifest, mixing, queries, token_files
+from reelspark.llm import conversation_repair, decontaminate, jaccard_join, merkle_manifest, mixing, pii, queries, token_files
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -422,3 +422,15 @@ def test_a_third_of_the_rows_under_one_id_are_numbered_in_pieces(spark, monkeypa
     plain = mixing.mix(df, {"s0": 2, "s1": 1}, 1, 4).collect()
     assert len(got) == len(rows) and len({(r.slot, r.place_in_block) for r in got}) == len(rows)
     assert sorted(map(str, got)) == sorted(map(str, plain))
+
+
+# -- terms whose lower case is longer
+
+def test_a_name_whose_lower_case_has_marks_is_removed(spark):
+    rng = random.Random(1)
+    texts = [f"Write to İstanbula at one@mail.org today {k}" for k in range(2)] + [" ".join(rng.choice(["plain", "words", "today", "write"]) for _ in range(12)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in pii.find(df).where("doc_id < 2").collect()}
+    for k in range(2):
+        removed = {texts[k][s["start"] : s["stop"]] for s in found[k].pii if s["kind"] == "removed"}
+        assert "İstanbula" in removed
