@@ -58,3 +58,16 @@ def interlace_row(k: Column, height: Column) -> Column:
     n1, n2, n3 = F.floor((height + 7) / 8), F.floor((height + 3) / 8), F.floor((height + 1) / 4)
     line = F.when(k < n1, k * 8).when(k < n1 + n2, (k - n1) * 8 + 4).when(k < n1 + n2 + n3, (k - n1 - n2) * 4 + 2).otherwise((k - n1 - n2 - n3) * 2 + 1)
     return line.cast("int")
+
+
+def plane_sample(content: Column, at: Column) -> Column:
+    """The byte at a place of a planar buffer; null beyond its end."""
+    h = F.hex(F.substring(content, at.cast("int") + 1, F.lit(1)))
+    return F.when((at >= 0) & (h != ""), F.conv(h, 16, 10).cast("int"))
+
+
+def i420(content: Column, width: Column, height: Column, x: Column, y: Column) -> tuple[Column, Column, Column]:
+    """Luma and both chroma samples of a pixel of a 4:2:0 buffer: a full plane, then two of half the width and height, rounded up."""
+    half = F.floor((width + 1) / 2)
+    chroma = width * height + F.floor(y / 2) * half + F.floor(x / 2)
+    return plane_sample(content, y * width + x), plane_sample(content, chroma), plane_sample(content, chroma + half * F.floor((height + 1) / 2))

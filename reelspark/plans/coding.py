@@ -163,14 +163,14 @@ SELECT object_id, k, denom, weight, greatest(least(raw + 128 - ((128 * weight) >
 def configuration_records(spark, d):
     """Decoder configuration heads (version, profile, level, NAL length size), and addresses in units of 64 where aligned."""
     x = view(spark, d, "octets")
-    return x.where("b0 % 4 = 1").select(
+    return x.select(
         "object_id", "k", C("b1").alias("profile"), C("b2").alias("level"), (C("w") % 4 + 1).alias("nal_length"),
         F.when(C("w") % 64 == 0, F.floor(C("w") / 64)).alias("address"), F.floor((C("w") + 63) / 64).alias("stride"),
     )
 
 
 QUERIES["configuration_records"] = configuration_records
-ORACLE_SQL["configuration_records"] = f"WITH {sql('octets')} SELECT object_id, k, b1 AS profile, b2 AS level, w % 4 + 1 AS nal_length, CASE WHEN w % 64 = 0 THEN w // 64 END AS address, (w + 63) // 64 AS stride FROM octets WHERE b0 % 4 = 1"
+ORACLE_SQL["configuration_records"] = f"WITH {sql('octets')} SELECT object_id, k, b1 AS profile, b2 AS level, w % 4 + 1 AS nal_length, CASE WHEN w % 64 = 0 THEN w // 64 END AS address, (w + 63) // 64 AS stride FROM octets"
 
 
 def frame_gaps(spark, d):

@@ -155,3 +155,23 @@ def duplicate_images(spark, d):
 
 QUERIES["duplicate_images"] = duplicate_images
 ORACLE_SQL["duplicate_images"] = f"WITH {PIXELS_SQL}, b AS (SELECT img, string_agg((r % 2)::VARCHAR, '' ORDER BY y, x) AS bits FROM pixels GROUP BY 1) SELECT md5(bits) AS raster, count(*) AS copies, min(img) AS first_img FROM b GROUP BY 1"
+
+
+def i420_to_rgb565(spark, d):
+    """4:2:0 buffers of the images, stretched to 13 x 5: each target pixel looks its three samples up in the planes and is packed."""
+    byte = lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")
+    joined = lambda rows: F.array_join(F.transform(F.sort_array(rows), lambda p: p["v"]), "")
+    even = (C("x") % 2 == 0) & (C("y") % 2 == 0)
+    plane = lambda v, where=None: joined(F.collect_list(F.when(where, F.struct("y", "x", byte(C(v)).alias("v"))) if where is not None else F.struct("y", "x", byte(C(v)).alias("v"))))
+    p = pixels(spark, d, by_image=True).groupBy("img").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.unhex(F.concat(plane("r"), plane("g", even), plane("b", even))).alias("content"))
+    grid = p.withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(12)))).withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    y, u, v = raster.i420(C("content"), C("w"), C("h"), raster.nearest(C("dx"), C("w"), F.lit(13)), raster.nearest(C("dy"), C("h"), F.lit(5)))
+    r, g, b = raster.yuv_to_rgb(y, u, v)
+    return grid.select("img", "dx", "dy", raster.rgb565(r, g, b).alias("v"))
+
+
+QUERIES["i420_to_rgb565"] = i420_to_rgb565
+ORACLE_SQL["i420_to_rgb565"] = f"""WITH {PIXELS_SQL}, size AS (SELECT img, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels GROUP BY 1),
+grid AS (SELECT img, dx::INT AS dx, dy::INT AS dy, (2 * dx + 1) * w // 26 AS x, (2 * dy + 1) * h // 10 AS y FROM size, generate_series(0, 12) a(dx), generate_series(0, 4) b(dy)),
+c AS (SELECT g.img, dx, dy, 298 * (p.r - 16) AS c, q.g - 128 AS d, q.b - 128 AS e FROM grid g JOIN pixels p ON p.img = g.img AND p.x = g.x AND p.y = g.y JOIN pixels q ON q.img = g.img AND q.x = g.x // 2 * 2 AND q.y = g.y // 2 * 2)
+SELECT img, dx, dy, """ + _PACK.format("((c + 409 * e + 128) >> 8)", "((c - 100 * d - 208 * e + 128) >> 8)", "((c + 516 * d + 128) >> 8)") + " AS v FROM c"

@@ -129,3 +129,14 @@ def test_inverse_transform_of_all_qps(spark):
     df = spark.createDataFrame(rows, "qp int, scaled boolean, levels array<int>")
     got = df.select("qp", "scaled", "levels", residual.inverse(F.col("levels"), F.col("qp"), F.col("scaled")).alias("r")).collect()
     assert all(r.r == scalar_inverse(r.levels, r.qp, r.scaled) for r in got) and any(r.r is None for r in got) and any(r.r for r in got)
+
+
+def test_planes_of_odd_sizes(spark):
+    from reelspark.functions import raster
+
+    w, h = 5, 3
+    data = bytes(range(w * h)) + bytes(range(100, 106)) + bytes(range(200, 206))
+    df = spark.createDataFrame([(data, x, y) for x in range(w) for y in range(h)] + [(data[:20], 4, 2)], "c binary, x int, y int")
+    got = df.select("x", "y", *[v.alias(n) for n, v in zip("abc", raster.i420(F.col("c"), F.lit(w), F.lit(h), F.col("x"), F.col("y")), strict=True)]).collect()
+    assert [tuple(r) for r in got[:-1]] == [(x, y, y * w + x, 100 + y // 2 * 3 + x // 2, 200 + y // 2 * 3 + x // 2) for x in range(w) for y in range(h)]
+    assert tuple(got[-1])[2:] == (14, None, None)
