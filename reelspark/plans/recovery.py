@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelspark.functions import raster, residual
+from reelspark.functions import intra, raster, residual
 from reelspark.operators import recovery
 from reelspark.sources.views import PIXELS_SQL, pixels, sql, view
 
@@ -148,3 +148,36 @@ ORACLE_SQL["dc_transforms"] = f"""WITH {sql('octets')}, x AS (SELECT object_id,
 t AS (SELECT *, [{', '.join(_TERM(i) for i in range(16))}] AS f, [v[1] + v[2] + v[3] + v[4], v[1] - v[2] + v[3] - v[4], v[1] + v[2] - v[3] - v[4], v[1] - v[2] - v[3] + v[4]] AS c, ([10, 11, 13, 14, 16, 18])[qp % 6 + 1] AS s FROM x)
 SELECT object_id, k, qp::INT AS qp, array_to_string(list_transform(f, lambda y: CASE WHEN qp >= 12 THEN y * s * (1 << (qp // 6 - 2)::INT) WHEN qp >= 6 THEN (y * s + 1) >> 1 ELSE (y * s + 2) >> 2 END), ',') AS luma,
   array_to_string(list_transform(c, lambda y: (y * s * (1 << (qp // 6)::INT)) >> 1), ',') AS chroma FROM t"""
+
+
+_EDGE = lambda k: (C("b0") * (k + 3) + C("b1") * (k * k + 1) + C("w") % 97 * k) % 256
+_EDGE_SQL = lambda k: f"(b0 * {k + 3} + b1 * {k * k + 1} + w % 97 * {k}) % 256"
+
+
+def intra_blocks(spark, d):
+    """Predictions of 4 x 4 blocks by each of the nine modes; every eleventh block has nothing above it, every thirteenth nothing to its left."""
+    x = view(spark, d, "octets").withColumn("mode", ((C("b2") + C("k")) % 9).cast("int"))
+    above = F.when(C("w") % 11 > 0, F.array(*[_EDGE(k).cast("int") for k in range(8)]))
+    left = F.when(C("w") % 13 > 0, F.array(*[_EDGE(k).cast("int") for k in range(8, 12)]))
+    x = x.select("object_id", "k", "mode", above.alias("above"), left.alias("left"), F.when((C("w") % 11 > 0) & (C("w") % 13 > 0), _EDGE(12).cast("int")).alias("corner"))
+    r = x.select("object_id", "k", "mode", intra.predicted(C("mode"), C("above"), C("left"), C("corner")).alias("r"))
+    return r.select("object_id", "k", "mode", F.array_join(F.transform("r", lambda v: v.cast("string")), ",").alias("block"))
+
+
+QUERIES["intra_blocks"] = intra_blocks
+_P2, _P3 = "({0} + {1} + 1) >> 1", "({0} + 2 * {1} + {2} + 2) >> 2"
+# p(x, -1) is u[x + 2], p(-1, y) is l[y + 2]; both begin with the corner.
+ORACLE_SQL["intra_blocks"] = f"""WITH {sql('octets')}, e AS (SELECT row_number() OVER () AS n, object_id, k, (b2 + k) % 9 AS mode, w % 11 > 0 AS has_u, w % 13 > 0 AS has_l,
+  [{', '.join(_EDGE_SQL(k) for k in (12, *range(8)))}] AS u, [{', '.join(_EDGE_SQL(k) for k in (12, *range(8, 12)))}] AS l FROM octets),
+p AS (SELECT *, i % 4 AS x, i // 4 AS y FROM (SELECT *, unnest(range(16)) AS i FROM e)),
+v AS (SELECT n, object_id, k, mode, i, CASE mode
+  WHEN 0 THEN CASE WHEN has_u THEN u[x + 2] END WHEN 1 THEN CASE WHEN has_l THEN l[y + 2] END
+  WHEN 2 THEN CASE WHEN has_u AND has_l THEN (u[2] + u[3] + u[4] + u[5] + l[2] + l[3] + l[4] + l[5] + 4) >> 3 WHEN has_u THEN (u[2] + u[3] + u[4] + u[5] + 2) >> 2 WHEN has_l THEN (l[2] + l[3] + l[4] + l[5] + 2) >> 2 ELSE 128 END
+  WHEN 3 THEN CASE WHEN has_u THEN CASE WHEN i = 15 THEN (u[8] + 3 * u[9] + 2) >> 2 ELSE {_P3.format('u[x + y + 2]', 'u[x + y + 3]', 'u[x + y + 4]')} END END
+  WHEN 7 THEN CASE WHEN has_u THEN CASE WHEN y % 2 = 0 THEN {_P2.format('u[x + y // 2 + 2]', 'u[x + y // 2 + 3]')} ELSE {_P3.format('u[x + y // 2 + 2]', 'u[x + y // 2 + 3]', 'u[x + y // 2 + 4]')} END END
+  WHEN 8 THEN CASE WHEN has_l THEN CASE WHEN x + 2 * y > 5 THEN l[5] WHEN x + 2 * y = 5 THEN (l[4] + 3 * l[5] + 2) >> 2 WHEN x % 2 = 0 THEN {_P2.format('l[y + x // 2 + 2]', 'l[y + x // 2 + 3]')} ELSE {_P3.format('l[y + x // 2 + 2]', 'l[y + x // 2 + 3]', 'l[y + x // 2 + 4]')} END END
+  ELSE CASE WHEN has_u AND has_l THEN CASE
+    WHEN mode = 4 THEN CASE WHEN x > y THEN {_P3.format('u[x - y]', 'u[x - y + 1]', 'u[x - y + 2]')} WHEN x < y THEN {_P3.format('l[y - x]', 'l[y - x + 1]', 'l[y - x + 2]')} ELSE {_P3.format('u[2]', 'u[1]', 'l[2]')} END
+    WHEN mode = 5 THEN CASE WHEN 2 * x - y = -1 THEN {_P3.format('l[2]', 'l[1]', 'u[2]')} WHEN 2 * x < y THEN {_P3.format('l[y + 1]', 'l[y]', 'l[y - 1]')} WHEN y % 2 = 0 THEN {_P2.format('u[x - y // 2 + 1]', 'u[x - y // 2 + 2]')} ELSE {_P3.format('u[x - y // 2]', 'u[x - y // 2 + 1]', 'u[x - y // 2 + 2]')} END
+    ELSE CASE WHEN 2 * y - x = -1 THEN {_P3.format('l[2]', 'l[1]', 'u[2]')} WHEN 2 * y < x THEN {_P3.format('u[x + 1]', 'u[x]', 'u[x - 1]')} WHEN x % 2 = 0 THEN {_P2.format('l[y - x // 2 + 1]', 'l[y - x // 2 + 2]')} ELSE {_P3.format('l[y - x // 2]', 'l[y - x // 2 + 1]', 'l[y - x // 2 + 2]')} END END END END AS s FROM p)
+SELECT object_id, k, mode::INT AS mode, CASE WHEN count(s) = 16 THEN string_agg(s::VARCHAR, ',' ORDER BY i) END AS block FROM v GROUP BY n, object_id, k, mode"""
