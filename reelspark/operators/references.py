@@ -96,7 +96,8 @@ def _marking(references: int, wrap: int) -> Step:
         number = lambda p: short[p] - wrap if short[p] > frame else short[p]
         if idr:
             short, long = {}, {}
-        out = [(stream, n, sorted(short, key=lambda p: (-number(p), p)), [long[i] for i in sorted(long)])]
+        listed = sorted(short, key=lambda p: (-number(p), p))
+        out = [(stream, n, listed, [long[i] for i in sorted(long)], [number(p) for p in listed], sorted(long))]
         if not is_reference:
             return out
         named = next((p for p in short if number(p) == frame - (a + 1)), None) if op in (1, 3) else None
@@ -124,15 +125,15 @@ def _marking(references: int, wrap: int) -> Step:
 
 
 def mark_references(pictures: DataFrame, references: int, log2_frame_num: int, order: str = "n") -> DataFrame:
-    """(stream_id, n, short_term, long_term): the reference pictures held when each picture (stream_id, n, frame_num, is_reference, idr, op, a, b) is decoded.
+    """(stream_id, n, short_term, long_term, short_numbers, long_numbers): the reference pictures held when each picture (stream_id, n, frame_num, is_reference, idr, op, a, b) is decoded.
 
     op is a marking command: 1 drops the short-term picture of a difference a + 1, 2 drops the long-term index a, 3 gives
     that picture the long-term index b, 4 keeps indexes below a, 5 drops all, 6 gives the picture itself the index a; 0
-    and a full buffer drop the oldest short-term picture. short_term and long_term are the first reference list. Pictures
-    are decoded in the order of the column that order names.
+    and a full buffer drop the oldest short-term picture. short_term and long_term are the first reference list, and the
+    numbers are those by which commands name its pictures. Pictures are decoded in the order of the column that order names.
     """
     columns = ["stream_id", "n", "frame_num", "is_reference", "idr", "op", "a", "b"]
-    schema = "stream_id bigint, n bigint, short_term array<bigint>, long_term array<bigint>"
+    schema = "stream_id bigint, n bigint, short_term array<bigint>, long_term array<bigint>, short_numbers array<bigint>, long_numbers array<bigint>"
     return in_order(_runs(pictures, F.lit(False), order), ["stream_id", "_run"], [order], columns, partial(_marking, references, 1 << log2_frame_num), schema)
 
 
