@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["audio", "images", "containers", "video", "coding", "syntax", "media", "references", "stored", "live", "recovery", "slices"]
+MODULES = ["audio", "images", "containers", "video", "coding", "syntax", "media", "references", "stored", "live", "recovery", "slices", "prediction"]
 
 
 def _gather(attribute: str) -> dict:
