@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
+
+from reelspark.functions.arrays import matrix, numbers
 
 
 def bound(value: Column, use) -> Column:
@@ -85,11 +91,27 @@ def raster_fits(width: Column, height: Column) -> Column:
     return width.cast("bigint") * height * 2 < 1 << 32
 
 
-def context_words(init_values: Column, qp: Column, state) -> Column:
-    """39 words of an array of 154 first context values: state and most probable symbol of four contexts each, little end first, two bytes of zero at the end."""
-    packed = F.transform(init_values, lambda v: bound(state(v, qp), lambda s: s["state"] * 2 + s["mps"]).cast("bigint"))
-    word = lambda p, i: sum((F.get(p, i * 4 + k) * (1 << 8 * k) for k in range(1, 4)), F.get(p, i * 4))
-    return bound(F.concat(packed, F.array_repeat(F.lit(0).cast("bigint"), 2)), lambda p: F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / 4).cast("int") - 1), lambda i: word(p, i)))
+def _context_words(init_values: pa.Array, qp: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(init_values), 0).to_numpy(zero_copy_only=False)
+    most = int(sizes.max(initial=0) + 2) // 4 * 4
+    v, there = matrix(init_values, most)
+    q, known = numbers(qp)
+    q = np.clip(np.where(known, q, 51), 0, 51)[:, None]
+    first = np.where(there, np.clip((((v >> 4) * 5 - 45) * q >> 4) + (v & 15) * 8 - 16, 1, 126), 126)
+    packed = np.where(first > 63, (first - 64) * 2 + 1, (63 - first) * 2)
+    packed[np.arange(most) >= sizes[:, None]] = 0
+    words = (packed.reshape(len(v), -1, 4) << np.array([0, 8, 16, 24])).sum(axis=2)
+    mine = np.arange(most // 4) < ((sizes + 2) // 4)[:, None]
+    ends = np.concatenate([[0], np.cumsum(mine.sum(axis=1))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words[mine], pa.int64()), mask=init_values.is_null())
+
+
+_CONTEXT_WORDS = F.arrow_udf(_context_words, ArrayType(LongType()))
+
+
+def context_words(init_values: Column, qp: Column) -> Column:
+    """39 words of an array of 154 first context values: first state and most probable symbol (bitstream.cabac_context) of four contexts each, little end first, two bytes of zero at the end."""
+    return _CONTEXT_WORDS(init_values, qp)
 
 
 def slice_group(kind: Column, x: Column, y: Column, width: int, height: int, groups: int, run: int, units: Column, backwards: Column, boxes: list[tuple[int, int, int, int]]) -> Column:

@@ -81,9 +81,9 @@ LEFT JOIN m c ON c.img = m.img AND c.y = m.y - 1 AND c.x = m.x + 1 LEFT JOIN m d
 
 def context_init(spark, d):
     """The context words of a slice: 154 first values of a table row and a QP."""
-    x = table(spark, d, "part").select("p_partkey", (C("p_size") % 52).alias("qp"))
+    x = table(spark, d, "part").select("p_partkey", (C("p_size") % 52).alias("qp")).repartition("p_partkey")
     values = F.transform(F.sequence(F.lit(0), F.lit(153)), lambda i: ((C("p_partkey") * 7 + i * 31) % 256).cast("int"))
-    x = x.select("p_partkey", "qp", values.alias("v")).select("p_partkey", syntax.context_words(C("v"), C("qp"), bitstream.cabac_context).alias("words"))
+    x = x.select("p_partkey", "qp", values.alias("v")).select("p_partkey", syntax.context_words(C("v"), C("qp")).alias("words"))
     return x.select(C("p_partkey").alias("slice_id"), F.size("words").alias("n"), F.array_join("words", ",").alias("words"))
 
 
