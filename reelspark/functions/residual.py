@@ -1,9 +1,15 @@
-"""Scaling and inverse transforms of H.264 residuals, as column expressions over arrays."""
+"""Scaling and inverse transforms of H.264 residuals: columns of arrays, all blocks of a batch transformed at once."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
+
+from reelspark.functions.arrays import lists, matrix, numbers
 
 # The scale of a coefficient at even places, at odd places, and elsewhere, by qp modulo 6; and the scanning order of a 4 x 4 block.
 SCALES = ((10, 16, 13), (11, 18, 14), (13, 20, 16), (14, 23, 18), (16, 25, 20), (18, 29, 23))
@@ -12,71 +18,78 @@ ZIGZAG = (0, 1, 4, 8, 5, 2, 3, 6, 9, 12, 13, 10, 7, 11, 14, 15)
 BOUNDS = (-512, 511)
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value), computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
+_SCALES = np.array(SCALES)
+#: Of each place in raster order: where it stands in scanning order, and its kind (0 even, 1 odd, 2 elsewhere).
+_SCAN = np.array([ZIGZAG.index(at) for at in range(16)])
+_KINDS = np.array([0 if not (at // 4 % 2 or at % 4 % 2) else 1 if at // 4 % 2 and at % 4 % 2 else 2 for at in range(16)])
 
-def scale(qp: Column, kind: int) -> Column:
-    """The scale at a kind of place: 0 even, 1 odd, 2 elsewhere."""
-    base = F.get(F.array(*[F.lit(s[kind]) for s in SCALES]), (qp % 6).cast("int"))
-    return base * F.pow(F.lit(2), F.floor(qp / 6)).cast("int")
 
+def _blocks(levels: pa.ListArray, qp: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first n levels, the qp, and whether all of them are there."""
+    v, there = matrix(levels, n)
+    q, known = numbers(qp)
+    known &= q >= 0
+    return v, np.where(known, q, 0), there.all(axis=1) & known
 
-def dequantised(levels: Column, qp: Column, dc_scaled: Column) -> Column:
-    """array<int> of 16 in raster order from levels in scanning order; a first one that is scaled already stays."""
-    kind = lambda at: 0 if not (at // 4 % 2 or at % 4 % 2) else 1 if at // 4 % 2 and at % 4 % 2 else 2
 
-    def place(at: int) -> Column:
-        level = F.get(levels, F.lit(ZIGZAG.index(at)))
-        scaled = level * scale(qp, kind(at))
-        return F.when(dc_scaled, level).otherwise(scaled) if at == 0 else scaled
+def _across(block: np.ndarray, step) -> np.ndarray:
+    """A step over each line, then over each column, of blocks of 4 x 4."""
+    rows = np.stack(step(*(block[:, :, k] for k in range(4))), axis=2)
+    return np.stack(step(*(rows[:, k, :] for k in range(4))), axis=1).reshape(-1, 16)
 
-    return F.array(*[place(at) for at in range(16)])
 
-
-def _butterfly(a: Column, b: Column, c: Column, d: Column) -> list[Column]:
+def _butterfly(a, b, c, d):
     even, odd = a + c, a - c
-    low, high = F.shiftright(b, 1) - d, b + F.shiftright(d, 1)
+    low, high = (b >> 1) - d, b + (d >> 1)
     return [even + high, odd + low, odd - low, even - high]
 
 
-def _across(block: Column, lines: list[list[int]], step) -> Column:
-    """A step over each line of four places of an array of 16."""
-    out: dict[int, Column] = {}
-    for line in lines:
-        out |= zip(line, step(*[F.get(block, F.lit(at)) for at in line]), strict=True)
-    return F.array(*[out[at] for at in range(16)])
+def _hadamard(a, b, c, d):
+    return [a + b + c + d, a + b - c - d, a - b - c + d, a - b + c - d]
 
 
 ROWS = [[4 * r + c for c in range(4)] for r in range(4)]
 COLUMNS = [[4 * r + c for r in range(4)] for c in range(4)]
 
 
-def inverse(levels: Column, qp: Column, dc_scaled: Column) -> Column:
-    """array<int>: the residual of a 4 x 4 block in raster order, from levels in scanning order; null if one is out of BOUNDS."""
-    rounded = lambda b: F.transform(b, lambda v: F.shiftright(v + 32, 6))
-    across = _bound(dequantised(levels, qp, dc_scaled), lambda b: _bound(_across(b, ROWS, _butterfly), lambda r: _bound(_across(r, COLUMNS, _butterfly), rounded)))
-    return _bound(across, lambda r: F.when(~F.exists(r, lambda v: ~v.between(*BOUNDS)), r))
+def _inverse(levels: pa.Array, qp: pa.Array, dc_scaled: pa.Array) -> pa.Array:
+    v, q, there = _blocks(levels, qp, 16)
+    scale = _SCALES[q % 6][:, _KINDS] << (q // 6)[:, None]
+    scale[pc.fill_null(dc_scaled, False).to_numpy(zero_copy_only=False), 0] = 1
+    r = (_across((v[:, _SCAN] * scale).reshape(-1, 4, 4), _butterfly) + 32) >> 6
+    there &= ((r >= BOUNDS[0]) & (r <= BOUNDS[1])).all(axis=1)
+    return lists(np.where(there[:, None], r, 0), pa.int32(), none=~there)
 
 
-def _hadamard(a: Column, b: Column, c: Column, d: Column) -> list[Column]:
-    return [a + b + c + d, a + b - c - d, a - b - c + d, a - b + c - d]
+def _luma_dc(levels: pa.Array, qp: pa.Array) -> pa.Array:
+    v, q, there = _blocks(levels, qp, 16)
+    f = _across(v[:, _SCAN].reshape(-1, 4, 4), _hadamard) * _SCALES[q % 6, 0][:, None]
+    six = (q // 6)[:, None]
+    small = (f + (1 << np.maximum(1 - six, 0))) >> np.maximum(2 - six, 0)
+    return lists(np.where(six >= 2, f << np.maximum(six - 2, 0), small), pa.int32(), empty=~there)
+
+
+def _chroma_dc(levels: pa.Array, qp: pa.Array) -> pa.Array:
+    v, q, there = _blocks(levels, qp, 4)
+    a, b, c, d = v.T
+    out = np.stack([a + b + c + d, a - b + c - d, a + b - c - d, a - b - c + d], axis=1)
+    return lists(((out * _SCALES[q % 6, 0][:, None]) << (q // 6)[:, None]) >> 1, pa.int32(), empty=~there)
+
+
+_NUMBERS = ArrayType(IntegerType())
+_INVERSE, _LUMA, _CHROMA = (F.arrow_udf(f, _NUMBERS) for f in (_inverse, _luma_dc, _chroma_dc))
+
+
+def inverse(levels: Column, qp: Column, dc_scaled: Column) -> Column:
+    """array<int>: the residual of a 4 x 4 block in raster order, from levels in scanning order; null if one is out of BOUNDS. A first level that is scaled already stays."""
+    return _INVERSE(levels, qp, dc_scaled)
 
 
 def luma_dc(levels: Column, qp: Column) -> Column:
     """array<int> of 16: the scaled DC values of a macroblock's blocks in raster order, from levels in scanning order."""
-    block = F.array(*[F.get(levels, F.lit(ZIGZAG.index(at))) for at in range(16)])
-    factor, six = F.get(F.array(*[F.lit(s[0]) for s in SCALES]), (qp % 6).cast("int")), F.floor(qp / 6).cast("int")
-    power = lambda k: F.pow(F.lit(2), k).cast("int")
-    large = lambda v: v * factor * power(six - 2)
-    small = lambda v: F.floor((v * factor + power(1 - six)) / power(2 - six)).cast("int")
-    both = _bound(block, lambda b: _bound(_across(b, ROWS, _hadamard), lambda r: _across(r, COLUMNS, _hadamard)))
-    return F.transform(both, lambda v: F.when(qp >= 12, large(v)).otherwise(small(v)))
+    return _LUMA(levels, qp)
 
 
 def chroma_dc(levels: Column, qp: Column) -> Column:
     """array<int> of 4: the scaled DC values of a chroma plane's blocks."""
-    a, b, c, d = (F.get(levels, F.lit(k)) for k in range(4))
-    out = [a + b + c + d, a - b + c - d, a + b - c - d, a - b - c + d]
-    return F.array(*[F.shiftright(v * scale(qp, 0), 1) for v in out])
+    return _CHROMA(levels, qp)

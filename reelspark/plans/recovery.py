@@ -117,7 +117,7 @@ def inverse_transform(spark, d):
     """Residuals of 4 x 4 blocks, of every qp from 0 to 51; the first level of every fifth block is scaled already."""
     x = view(spark, d, "octets").select("object_id", "k", "b0", "b1", "w", ((C("b1") + C("k")) % 52).cast("int").alias("qp"), (C("b2") % 5 == 0).alias("dc_scaled"))
     r = x.select("object_id", "k", "qp", residual.inverse(F.array(*[_levels(k) for k in range(16)]), C("qp"), C("dc_scaled")).alias("r"))
-    return r.select("object_id", "k", "qp", F.array_join(F.transform("r", lambda v: v.cast("string")), ",").alias("residual"))
+    return r.select("object_id", "k", "qp", F.array_join(C("r").cast("array<string>"), ",").alias("residual"))
 
 
 QUERIES["inverse_transform"] = inverse_transform
@@ -137,7 +137,7 @@ def dc_transforms(spark, d):
     """DC values of luma and chroma blocks."""
     x = view(spark, d, "octets").select("object_id", "k", "b0", "b1", "w", ((C("b1") + C("k")) % 52).cast("int").alias("qp"))
     levels = F.array(*[_levels(k) for k in range(16)])
-    text = lambda a: F.array_join(F.transform(a, lambda v: v.cast("string")), ",")
+    text = lambda a: F.array_join(a.cast("array<string>"), ",")
     return x.select("object_id", "k", "qp", text(residual.luma_dc(levels, C("qp"))).alias("luma"), text(residual.chroma_dc(F.slice(levels, 1, 4), C("qp"))).alias("chroma"))
 
 

@@ -188,3 +188,41 @@ def test_intra_prediction_by_all_modes(spark):
     got = df.select("*", intra.predicted(F.col("mode"), F.col("above"), F.col("side"), F.col("corner")).alias("r")).collect()
     assert all(r.r == (scalar_intra(r["mode"], r.above, r.side, r.corner) if r["mode"] < 9 else None) for r in got)
     assert sum(r.r is not None for r in got) > 100
+
+
+def scalar_hadamard(block):
+    signs = ((1, 1, 1, 1), (1, 1, -1, -1), (1, -1, -1, 1), (1, -1, 1, -1))
+    return [sum(signs[i // 4][r] * signs[i % 4][c] * block[4 * r + c] for r in range(4) for c in range(4)) for i in range(16)]
+
+
+def test_transforms_take_whole_batches_and_missing_levels(spark):
+    rng = random.Random(4)
+    rows = [(i, i % 52, i % 3 == 0, [rng.randrange(-6, 7) for _ in range(16)]) for i in range(300)]
+    odd = [(300, None, True, [1] * 16), (301, 5, None, [0, *[1] * 15]), (302, 5, False, [1] * 15 + [None]), (303, 5, False, [1] * 4), (304, 5, False, None)]
+    df = spark.createDataFrame(rows + odd, "id int, qp int, scaled boolean, levels array<int>").coalesce(1)
+    out = df.select("id", residual.inverse(F.col("levels"), F.col("qp"), F.col("scaled")).alias("r"), residual.luma_dc(F.col("levels"), F.col("qp")).alias("l"), residual.chroma_dc(F.col("levels"), F.col("qp")).alias("c"))
+    got = {r.id: r for r in out.collect()}
+    for i, qp, scaled, v in [*rows, (301, 5, False, odd[1][3])]:
+        f, s = scalar_hadamard([v[residual.ZIGZAG.index(at)] for at in range(16)]), residual.SCALES[qp % 6][0]
+        assert got[i].r == scalar_inverse(v, qp, scaled)
+        assert got[i].l == [y * s << qp // 6 - 2 if qp >= 12 else y * s + 1 >> 1 if qp >= 6 else y * s + 2 >> 2 for y in f]
+        a, b, c, d = v[:4]
+        assert got[i].c == [(y * s << qp // 6) >> 1 for y in (a + b + c + d, a - b + c - d, a + b - c - d, a - b - c + d)]
+    assert all(got[i].r is None and got[i].l == [None] * 16 for i in (300, 302, 303, 304)) and got[300].c == got[304].c == [None] * 4 and None not in got[303].c
+    # No block is worked out by interpreted lambdas, row by row.
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_context_words_of_any_arrays_and_rows_dealt_to_tasks(spark):
+    from reelspark.functions import bitstream, syntax
+    from reelspark.plans import registry
+
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(-3, 60), [rng.randrange(256) for _ in range(rng.choice((154, 154, 0, 1, 5)))]) for i in range(120)] + [(120, 30, None)]
+    df = spark.createDataFrame(rows, "id int, qp int, v array<int>").coalesce(2)
+    got = {r.id: r.w for r in df.select("id", syntax.context_words(F.col("v"), F.col("qp")).alias("w")).collect()}
+    each = df.select("id", "qp", F.posexplode("v").alias("k", "i")).select("id", "k", bitstream.cabac_context(F.col("i"), F.col("qp")).alias("c")).collect()
+    packed = {(r.id, r.k): r.c.state * 2 + r.c.mps for r in each}
+    assert got == {i: v if v is None else [sum(packed.get((i, 4 * w + j), 0) << 8 * j for j in range(4)) for w in range((len(v) + 2) // 4)] for i, _, v in rows}
+    # The rows of a file that is one row group go to many tasks.
+    assert "Exchange" in registry.queries()["context_init"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
