@@ -35,7 +35,7 @@ def matroska_ranges(spark, d):
     cluster = _el("1F43B675", F.concat(_el("E7", _hex(C("object_id") % 65536, 2)), C("body")))
     name = F.concat(F.lit("volume-"), (C("object_id") % VOLUMES).cast("string"), F.lit(".mkv"))
     pieces = clusters.select(name.alias("name"), C("object_id").cast("bigint").alias("at"), F.unhex(cluster).alias("piece"))
-    heads = pieces.select("name").distinct().select("name", F.lit(-1).cast("bigint"), F.unhex(F.lit("1A45DFA380" + "1853806701FFFFFFFFFFFFFF")))
+    heads = x.select(name.alias("name")).distinct().select("name", F.lit(-1).cast("bigint"), F.unhex(F.lit("1A45DFA380" + "1853806701FFFFFFFFFFFFFF")))
     folder = sinks.scratch(spark, "volumes")
     sinks.write_files(pieces.union(heads), folder)
     frames = ranged.matroska(spark, folder, range_bytes=RANGE_BYTES)

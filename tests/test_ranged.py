@@ -5,6 +5,7 @@ import os
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 
 from reelspark.sources import files, ranged
@@ -154,3 +155,19 @@ def test_a_failed_job_leaves_no_file(spark, tmp_path):
     sinks.write_files(spark.createDataFrame([("f0", 0, None)], "name string, at bigint, piece binary"), str(tmp_path / "out"))
     sizes = {n: os.path.getsize(tmp_path / "out" / n) for n in listed(tmp_path / "out") if n[0] == "f"}
     assert sizes == {"f0": 0} | {f"f{i}": 20 for i in range(1, 6)}
+
+
+def test_ranges_of_a_file_without_cues_begin_at_their_first_element(monkeypatch):
+    cluster = bytes.fromhex("1F43B6758D" "E78103" "A388" "81000080" "AABBCCDD")
+    data = bytes.fromhex("1A45DFA380" "1853806701FFFFFFFFFFFFFF") + cluster * 4000 + b"\x00" * 30
+    b = lambda: ranged.Bytes(pa.BufferReader(data), len(data))
+    whole, size = list(ranged.frames(b(), 0, len(data))), 500
+    starts = ranged.range_starts(b(), size)
+    assert len(starts) == -(-len(data) // size) and ranged.range_starts(b(), len(data)) == []
+    read, plain = [0], ranged.element
+    monkeypatch.setattr(ranged, "element", lambda *a: (read.__setitem__(0, read[0] + 1), plain(*a))[1])
+    cut = [row for k, first in enumerate(starts) for row in ranged.frames(b(), k * size, min((k + 1) * size, len(data)), first)]
+    assert cut == whole and len(whole) == 4001
+    # Each range steps through its own elements, not through all before it: 3 a cluster and some for the head.
+    assert read[0] < 4 * 4000 + 10 * len(starts)
+    assert list(ranged.elements(b(), 0, len(data))) == [row for k, first in enumerate(starts) for row in ranged.elements(b(), k * size, min((k + 1) * size, len(data)), first)]
