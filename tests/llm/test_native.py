@@ -293,3 +293,13 @@ def test_terms_are_counted_over_whole_documents(spark):
     texts = ["mail kim lee-zorbat jo@mail.org", "zorbat " + far + "jo@mail.org", "\u738b\u660e jo@mail.org", "\u738b\u660e jo@mail.org"] + [far + str(i) for i in range(60)]
     got = {r.doc_id: [texts[r.doc_id][s.start : s.stop] for s in r.pii if s.rank > 3] for r in pii.find(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
     assert "zorbat" in got[0] and got[1] == [] and got[2] == got[3] == ["\u738b\u660e"] and "kim" not in got[0]
+
+
+def test_terms_of_whole_documents_are_judged_without_a_window(spark):
+    far = "filler words without any name " * 20
+    texts = ["kim lee-zorbat jo@mail.org", "zorbat " + far + "jo@mail.org zorbat", "\u738b\u660e " + far + "io@mail.org", "\u738b\u660e " + far + "io@mail.org", "jo@mail.net zorbat"] + [far + str(i) for i in range(60)]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = {r.doc_id: r.pii for r in pii.find(df, near=None).collect()}
+    told = {i: [texts[i][s.start : s.stop] for s in got[i] if s.rank > 3] for i in got}
+    assert told[0] == ["zorbat"] and told[1] == ["zorbat"] * 2 and told[2] == told[3] == ["\u738b\u660e"] and not any(told[i] for i in range(4, 65))
+    assert [r.pii for r in pii.find(df, near=10_000).orderBy("doc_id").collect()] == [got[i] for i in range(65)]
