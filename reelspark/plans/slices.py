@@ -76,7 +76,7 @@ def _written(x, s: Column) -> Column:
 
 def h264_slice_headers(spark, d):
     """Headers of every slice, written bit by bit with emulation bytes and read back; faults by the first element that breaks a rule."""
-    x = view(spark, d, "slices").selectExpr("stream_id", "n", *(f"{e} AS {k}" for k, e in _ELEMENTS.items()), "named_struct(" + ", ".join(f"'{k}', {e}" for k, e in _SETS.items()) + ") AS sets")
+    x = view(spark, d, "slices").repartition("n").selectExpr("stream_id", "n", *(f"{e} AS {k}" for k, e in _ELEMENTS.items()), "named_struct(" + ", ".join(f"'{k}', {e}" for k, e in _SETS.items()) + ") AS sets")
     x = x.withColumns({"changes": _listed("n_changes", _CHANGE), "marks": _listed("n_marks", _MARK)})
     units = x.select("stream_id", "n", "sets", _written(x, C("sets")).alias("unit"))
     said = lambda a: F.array_join(F.transform(a, lambda m: F.concat_ws(":", m["op"], m["a"], m["b"])), ",")
