@@ -1,18 +1,19 @@
 """Slice headers of H.264 read bit by bit, and reference lists changed by the commands that stand in them.
 
-A header is a row: each element is a column that begins where the one before ended, so headers of any number of slices are
-read in one pass over the units without a shuffle. The two lists of commands are folds over their codes.
+A header is a row. Headers of any number of slices are read in one pass over the units without a shuffle: each element is
+read of all units of a batch at once, where the one before ended.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from reelspark.functions.coding import se, ue
-from reelspark.operators.containers import strip_emulation
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: Bytes of a unit that its header can reach into: some 160 codes of at most 65 bits, with emulation bytes.
 HEADER_BYTES = 2048
@@ -25,70 +26,177 @@ FIELDS = (
     "first_mb", "slice_type", "pps_id", "frame_num", "idr_pic_id", "lsb", "delta_bottom", "delta_0", "delta_1", "redundant", "active", "no_output", "long_term_idr",
     "qp_delta", "deblocking", "alpha", "beta", "group_cycle",
 )
-#: Arguments of the marking commands by number; 0 ends the list.
-ARGUMENTS = (0, 1, 1, 2, 1, 0, 1)
-
-Code = Callable[[Column], Column]
-
-
-def payload_bits(unit_hex: Column) -> Column:
-    """The bits of a NAL unit in hex behind its one-byte header, without emulation bytes, as far as a slice header can reach."""
-    body = strip_emulation(F.substring(unit_hex, 3, 2 * HEADER_BYTES))
-    part = lambda i: F.substring(body, i, F.lit(8))
-    word = lambda i: F.lpad(F.conv(part(i), 16, 2), 4 * F.length(part(i)), F.lit("0"))
-    return F.when(F.length(body) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(body), F.lit(8)), word), "")).when(body.isNotNull(), "")
-
+#: Arguments of the commands by number: to the reference list, which 3 ends, and to the marking, which 0 ends.
+CHANGES = np.array((1, 1, 1, 0))
+ARGUMENTS = np.array((0, 1, 1, 2, 1, 0, 1))
+#: Stands for a number that is not there.
+NONE = -(1 << 62)
+#: Names of faults; 'no slice' and those of elements in the order of reading, then 'end'.
+FAULTS = ("no slice", "first_mb", "slice_type", "set_id", "frame_num", "idr_pic_id", "order", "redundant", "active", "changes", "marks", "qp", "deblocking", "group_cycle", "end")
+_COMMANDS = ArrayType(StructType([StructField(name, LongType()) for name in ("op", "a", "b")]))
+_HEADER = StructType([*(StructField(name, LongType()) for name in FIELDS), StructField("changes", _COMMANDS), StructField("marks", _COMMANDS)])
 
-def u(text: Column, at: Column, width: Column | int) -> Column:
-    """struct<value, next> of a number of so many bits; null beyond the end."""
-    width = F.lit(width) if isinstance(width, int) else width.cast("int")
-    body = F.substring(text, at, width)
-    value = F.when(width == 0, F.lit(0).cast("bigint")).otherwise(F.conv(body, 2, 10).cast("bigint"))
-    return F.when(F.length(body) == width, F.struct(value.alias("value"), (at + width).alias("next")))
 
+class _Bits:
+    """The bits of many NAL units without emulation bytes; at has the place where each is read on.
 
-def _signed(code: Column) -> Column:
-    return F.when(code.isNotNull(), F.struct(se(code["value"]).alias("value"), code["next"].alias("next")))
-
-
-def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
+    A code's value is NONE where the bits end before it does.
+    """
 
-def _commands(text: Column, at: Column, most: Column, arguments: Callable[[Column], Column], ends: Callable[[Column], Column], known: int) -> Column:
-    """struct<at, list: array<struct<op, a, b>>, fault> of a list of commands: codes of an operation and its arguments until one that ends.
+    def __init__(self, units: pa.Array) -> None:
+        sizes = pc.fill_null(pc.binary_length(units), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        octets = np.frombuffer(b"".join(u for u in units.to_pylist() if u), np.uint8)
+        ends = np.cumsum(sizes)
+        place = np.arange(len(octets)) - np.repeat(ends - sizes, sizes)
+        kept = np.ones(len(octets), bool)
+        kept[2:] = (octets[2:] != 3) | (octets[1:-1] != 0) | (octets[:-2] != 0) | (place[2:] < 2)
+        upto = np.append(0, np.cumsum(kept))
+        self.at, self.end = 8 * upto[ends - sizes], 8 * upto[ends]
+        self._words = np.lib.stride_tricks.sliding_window_view(np.append(octets[kept], np.zeros(16, np.uint8)), 8)
+
+    def _peek(self, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """The numbers of so many bits, 1 to 57, that begin at these places."""
+        words = np.ascontiguousarray(self._words[at >> 3]).view(">u8")[:, 0].astype(np.uint64)
+        return (words << (at & 7).astype(np.uint64) >> (64 - width).astype(np.uint64)).astype(np.int64)
+
+    def u(self, rows: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Numbers of so many bits, 57 at most."""
+        at = self.at[rows]
+        there = (width >= 0) & (width <= 57) & (at + width <= self.end[rows])
+        value = np.where(width == 0, 0, self._peek(at, np.clip(width, 1, 57)))
+        self.at[rows] = np.where(there, at + width, at)
+        return np.where(there, value, NONE)
+
+    def ue(self, rows: np.ndarray) -> np.ndarray:
+        """Exp-Golomb numbers of at most 32 zeros."""
+        at = self.at[rows]
+        # The exponent of a whole number below 2^53 is its length in bits.
+        zeros = 33 - np.frexp(self._peek(at, np.full(len(at), 33)).astype(np.float64))[1].astype(np.int64)
+        there = (zeros <= 32) & (at + 2 * zeros + 1 <= self.end[rows])
+        value = self._peek(at + zeros, zeros + 1) - 1
+        self.at[rows] = np.where(there, at + 2 * zeros + 1, at)
+        return np.where(there, value, NONE)
+
+    def se(self, rows: np.ndarray) -> np.ndarray:
+        v = self.ue(rows)
+        return np.where(v == NONE, NONE, np.where(v % 2 == 1, (v + 1) // 2, -(v // 2)))
+
+
+def _whole(v: np.ndarray) -> pa.Array:
+    return pa.array(v, mask=v == NONE)
+
+
+def _headers(unit: pa.Array, sets: pa.Array) -> pa.Array:
+    """struct<header, fault> of each unit: every element is read of all units that have it and are without fault so far."""
+    n, bits = len(unit), _Bits(unit)
+    s = {name: pc.fill_null(v, NONE).to_numpy(zero_copy_only=False) for name, v in zip(SET_FIELDS, sets.flatten())}
+    on = lambda name: s[name] == 1
+    live = unit.is_valid().to_numpy(zero_copy_only=False) & sets.is_valid().to_numpy(zero_copy_only=False) & (bits.end - bits.at >= 8)
+    fault = np.where(live, -1, 0).astype(np.int8)
+
+    def check(name: str, broken: np.ndarray) -> None:
+        broken = live & broken
+        fault[broken] = FAULTS.index(name)
+        live[broken] = False
+
+    def element(code, there: np.ndarray | bool = True) -> np.ndarray:
+        rows, v = np.flatnonzero(live & there), np.full(n, NONE)
+        v[rows] = code(rows)
+        check("end", there & (v == NONE))
+        return v
+
+    def commands(name: str, listed: np.ndarray, most: np.ndarray, needs: np.ndarray, last: int, broken) -> tuple:
+        """Operations with as many arguments as each needs until the last one, at most so many (null where there is no list); how many; and how many of a kind."""
+        told, found, more = np.zeros(n, np.int64), [], listed & live
+        while more.any():
+            check(name, more & (told > most))
+            op = element(bits.ue, more & live)
+            check(name, more & (op >= len(needs)))
+            more &= live & (op != last)
+            wants = needs[np.where(more, op, last)]
+            a = element(bits.ue, more & (wants > 0))
+            b = element(bits.ue, more & live & (wants > 1))
+            check(name, more & broken(op, a))
+            more &= live
+            rows = np.flatnonzero(more)
+            told[rows] += 1
+            found.append(np.stack([rows, op[rows], a[rows], b[rows]]))
+        rows, *parts = np.concatenate(found or [np.zeros((4, 0), np.int64)], axis=1)
+        order = np.argsort(rows, kind="stable")
+        values = pa.StructArray.from_arrays([_whole(v[order]) for v in parts], ["op", "a", "b"])
+        offsets = np.append(0, np.cumsum(np.bincount(rows, minlength=n)))
+
+        def counted(k: int) -> np.ndarray:
+            return np.bincount(rows[parts[0] == k], minlength=n)
+
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(~listed)), told, counted
+
+    u = lambda width: lambda rows: bits.u(rows, np.broadcast_to(width, n)[rows])
+    first = element(u(8))
+    kind, ref = first % 32, first >> 5 & 3
+    check("no slice", ~np.isin(kind, (1, 5)))
+    idr, h = kind == 5, {}
+    h["first_mb"] = element(bits.ue)
+    check("first_mb", (s["macroblocks"] != NONE) & (h["first_mb"] >= s["macroblocks"]))
+    h["slice_type"] = t = element(bits.ue)
+    p = np.isin(t, (0, 5))
+    check("slice_type", ~np.isin(t, (0, 2, 5, 7)) | p & (idr | (s["reference_frames"] == 0)))
+    h["pps_id"] = element(bits.ue)
+    check("set_id", (s["set_id"] != NONE) & (h["pps_id"] != s["set_id"]))
+    h["frame_num"] = element(u(s["frame_num_bits"]))
+    check("frame_num", idr & (h["frame_num"] != 0))
+    h["idr_pic_id"] = element(bits.ue, idr)
+    check("idr_pic_id", h["idr_pic_id"] > 65535)
 
-    fault is null where the list ended within `most` codes; 'end' where the bits did, else 'commands'.
-    """
-    # No field of the state is ever null: -1 stands for no operation or argument, place 0 for bits that have ended, '' for no fault.
-    nothing = F.array().cast("array<struct<op:bigint,a:bigint,b:bigint>>")
-    state = lambda at, op, a, left, found, done, fault: F.struct(
-        at.cast("int").alias("at"), op.cast("bigint").alias("op"), a.cast("bigint").alias("a"), left.cast("int").alias("left"), found.alias("list"), done.alias("done"), fault.alias("fault")
-    )
-    no, over = F.lit(-1), F.lit(True)
-    start = state(F.coalesce(at, F.lit(0)), no, no, F.lit(0), nothing, F.lit(False), F.lit("commands"))
-
-    def step(s: Column, e: Column) -> Column:
-        v, to = F.coalesce(e["value"], no), F.coalesce(e["next"], F.lit(0))
-        given = lambda x: F.when(x >= 0, x)
-        told = lambda op, a, b: F.concat(s["list"], F.array(F.struct(op.cast("bigint").alias("op"), given(a).cast("bigint").alias("a"), given(b).cast("bigint").alias("b"))))
-        return (
-            F.when(s["done"], s)
-            .when(e.isNull(), state(F.lit(0), no, no, F.lit(0), s["list"], over, F.lit("end")))
-            .when((s["op"] < 0) & (v > known), state(to, no, no, F.lit(0), s["list"], over, F.lit("commands")))
-            .when((s["op"] < 0) & ends(v), state(to, no, no, F.lit(0), s["list"], over, F.lit("")))
-            .when((s["op"] < 0) & (arguments(v) == 0), state(to, no, no, F.lit(0), told(v, no, no), F.lit(False), s["fault"]))
-            .when(s["op"] < 0, state(to, v, no, F.coalesce(arguments(v), F.lit(0)), s["list"], F.lit(False), s["fault"]))
-            .when(s["left"] == 2, state(to, s["op"], v, F.lit(1), s["list"], F.lit(False), s["fault"]))
-            .otherwise(state(to, no, no, F.lit(0), told(s["op"], F.when(s["a"] < 0, v).otherwise(s["a"]), F.when(s["a"] < 0, no).otherwise(v)), F.lit(False), s["fault"]))
-        )
-
-    steps = F.sequence(F.lit(1), F.coalesce(most, F.lit(1)).cast("int"))
-    return F.aggregate(
-        steps, start, lambda s, _: _bound(F.when(~s["done"] & (s["at"] > 0), ue(text, s["at"])), lambda e: step(s, e)),
-        lambda s: F.struct(F.nullif(s["at"], F.lit(0)).alias("at"), s["list"].alias("list"), F.nullif(s["fault"], F.lit("")).alias("fault")),
-    )
+    # The order count of an IDR picture is 0.
+    given = lambda v: np.where(v == NONE, 0, v)
+    plain = s["order_type"] == 0
+    stepped = (s["order_type"] == 1) & (s["delta_zero"] == 0)
+    h["lsb"] = element(u(s["lsb_bits"]), plain)
+    h["delta_bottom"] = element(bits.se, plain & on("order_present"))
+    check("order", idr & plain & ((2 * h["lsb"] > 1 << np.clip(s["lsb_bits"], 0, 57)) | (np.minimum(h["lsb"], h["lsb"] + given(h["delta_bottom"])) != 0)))
+    h["delta_0"] = element(bits.se, stepped)
+    h["delta_1"] = element(bits.se, stepped & on("order_present"))
+    check("order", idr & stepped & (s["top_to_bottom"] != NONE) & (np.minimum(h["delta_0"], h["delta_0"] + s["top_to_bottom"] + given(h["delta_1"])) != 0))
+    h["redundant"] = element(bits.ue, on("redundant_present"))
+    check("redundant", h["redundant"] > 127)
+
+    override = element(u(1), p) == 1
+    more = element(bits.ue, override)
+    h["active"] = np.where(p, np.where(override, more + 1, s["refs_active"]), NONE)
+    check("active", h["active"] > 16)
+    listed = element(u(1), p) == 1
+    bound = 1 << np.clip(s["frame_num_bits"], 0, 57)
+    # A set without a number of pictures bounds a list by the most that any may have.
+    most = np.where(h["active"] == NONE, 17, h["active"])
+    changes, told, _ = commands("changes", listed, most, CHANGES, 3, lambda op, a: (op < 2) & (a >= bound))
+    check("changes", listed & (told == 0))
+
+    h["no_output"] = element(u(1), (ref > 0) & idr)
+    h["long_term_idr"] = element(u(1), (ref > 0) & idr)
+    frames = s["reference_frames"]
+    check("marks", (h["long_term_idr"] == 1) & (frames == 0))
+    listed = element(u(1), (ref > 0) & ~idr) == 1
+    marks, _, counted = commands("marks", listed, np.where(frames == NONE, 0, 2 * frames + 2), ARGUMENTS, 0, lambda op, a: (op == 4) & (a > frames))
+    check("marks", (counted(4) > 1) | (counted(5) > 1) | (counted(6) > 1) | (counted(5) > 0) & (counted(1) + counted(2) + counted(3) > 0))
+
+    h["qp_delta"] = element(bits.se)
+    check("qp", (s["qp"] != NONE) & ((h["qp_delta"] + s["qp"] < 0) | (h["qp_delta"] + s["qp"] > 51)))
+    h["deblocking"] = element(bits.ue, on("deblocking_present"))
+    check("deblocking", h["deblocking"] > 2)
+    filtered = on("deblocking_present") & (h["deblocking"] != 1)
+    for name in ("alpha", "beta"):
+        h[name] = element(bits.se, filtered)
+        check("deblocking", filtered & (np.abs(h[name]) > 6))
+    h["group_cycle"] = element(u(s["cycle_bits"]), s["cycle_bits"] > 0)
+    check("group_cycle", (s["cycle_most"] != NONE) & (h["group_cycle"] > s["cycle_most"]))
+
+    header = pa.StructArray.from_arrays([*(_whole(h[f]) for f in FIELDS), changes, marks], [*FIELDS, "changes", "marks"], mask=pa.array(~live))
+    names = pa.array([*FAULTS, None]).take(pa.array(np.where(live, len(FAULTS), fault)))
+    return pa.StructArray.from_arrays([header, names], ["header", "fault"])
+
+
+_HEADERS = F.arrow_udf(_headers, StructType([StructField("header", _HEADER), StructField("fault", StringType())]))
 
 
 def read(units: DataFrame) -> DataFrame:
@@ -97,85 +205,20 @@ def read(units: DataFrame) -> DataFrame:
     sets are those that the slice is to be read with; its flags are booleans, cycle_bits is 0 without a group cycle. changes and marks
     are array<struct<op, a, b>>: commands to the reference list (differences are less one, as coded) and to the marking.
     fault names the first element in the order of reading that breaks a rule, or 'end' where the bits end before the
-    header; the header is then null, as it is for a null unit, null sets or a unit that is no slice ('no slice').
+    header; the header is then null, as it is for a null unit, null sets or a unit that is no slice or no hex ('no slice').
     Only I and P slices are read; elements that a slice does not have are null. Columns of units named header or fault are replaced.
     """
     units = units.drop("header", "fault")
-    given, c = units.columns, F.col
-    b0 = F.conv(F.substring("unit", 1, 2), 16, 10).cast("int")
-    x = units.select(*given, payload_bits(c("unit")).alias("_t"), (b0 % 32).alias("_type"), F.shiftright(b0, 5).bitwiseAND(3).alias("_ref"), F.lit(1).alias("_at"))
-    t, at, s = c("_t"), c("_at"), c("sets")
-    idr, kept = c("_type") == 5, c("_ref") > 0
-    i_slice, p_slice = c("_slice_type") % 5 == 2, c("_slice_type") % 5 == 0
-
-    def element(x: DataFrame, name: str, code: Column, when: Column | None = None) -> DataFrame:
-        there = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
-        x = x.withColumn("_e", F.when(there, code))
-        return x.withColumns({f"_{name}": c("_e.value"), "_at": F.when(there, c("_e.next")).otherwise(at)})
-
-    x = element(x, "first_mb", ue(t, at))
-    x = element(x, "slice_type", ue(t, at))
-    x = element(x, "pps_id", ue(t, at))
-    x = element(x, "frame_num", u(t, at, s["frame_num_bits"]))
-    x = element(x, "idr_pic_id", ue(t, at), idr)
-    x = element(x, "lsb", u(t, at, s["lsb_bits"]), s["order_type"] == 0)
-    x = element(x, "delta_bottom", _signed(ue(t, at)), (s["order_type"] == 0) & s["order_present"])
-    x = element(x, "delta_0", _signed(ue(t, at)), (s["order_type"] == 1) & ~s["delta_zero"])
-    x = element(x, "delta_1", _signed(ue(t, at)), (s["order_type"] == 1) & ~s["delta_zero"] & s["order_present"])
-    x = element(x, "redundant", ue(t, at), s["redundant_present"])
-    x = element(x, "override", u(t, at, 1), p_slice)
-    x = element(x, "more", ue(t, at), p_slice & (c("_override") == 1))
-    x = x.withColumn("_active", F.when(p_slice, F.when(c("_override") == 1, c("_more") + 1).otherwise(s["refs_active"])))
-    x = element(x, "changed", u(t, at, 1), p_slice)
-    listed = F.coalesce(c("_changed") == 1, F.lit(False))
-    x = x.withColumn("_changes", F.when(listed, _commands(t, at, F.lit(35), lambda v: F.when(v < 3, 1).otherwise(0), lambda v: v == 3, 3)))
-    x = x.withColumn("_at", F.when(listed, c("_changes.at")).otherwise(at))
-    x = element(x, "no_output", u(t, at, 1), kept & idr)
-    x = element(x, "long_term_idr", u(t, at, 1), kept & idr)
-    x = element(x, "adaptive", u(t, at, 1), kept & ~idr)
-    marked = F.coalesce(c("_adaptive") == 1, F.lit(False))
-    needs = F.array(*[F.lit(k) for k in ARGUMENTS])
-    most = 3 * (2 * s["reference_frames"] + 2) + 1
-    x = x.withColumn("_marks", F.when(marked, _commands(t, at, most, lambda v: F.get(needs, v.cast("int")), lambda v: v == 0, 6)))
-    x = x.withColumn("_at", F.when(marked, c("_marks.at")).otherwise(at))
-    x = element(x, "qp_delta", _signed(ue(t, at)))
-    x = element(x, "deblocking", ue(t, at), s["deblocking_present"])
-    x = element(x, "alpha", _signed(ue(t, at)), c("_deblocking") != 1)
-    x = element(x, "beta", _signed(ue(t, at)), c("_deblocking") != 1)
-    x = element(x, "group_cycle", u(t, at, s["cycle_bits"]), s["cycle_bits"] > 0)
-
-    changes, marks = c("_changes.list"), c("_marks.list")
-    count = lambda test: F.size(F.filter(marks, test))
-    ended = lambda a: a.isNotNull() & a["fault"].isNull()
-    wide = lambda v, to: ~v.between(-to, to)
-    # The order count of an IDR picture is 0.
-    bottom = F.least(c("_lsb"), c("_lsb") + F.coalesce(c("_delta_bottom"), F.lit(0)))
-    lower = F.least(c("_delta_0"), c("_delta_0") + s["top_to_bottom"] + F.coalesce(c("_delta_1"), F.lit(0)))
-    rules = {
-        "no slice": c("unit").isNull() | s.isNull() | ~F.coalesce(c("_type").isin(1, 5), F.lit(False)),
-        "first_mb": c("_first_mb") >= s["macroblocks"],
-        "slice_type": ~i_slice & (~p_slice | (c("_slice_type") > 9) | idr | (s["reference_frames"] == 0)) | (c("_slice_type") > 9),
-        "set_id": c("_pps_id") != s["set_id"],
-        "frame_num": idr & (c("_frame_num") != 0),
-        "idr_pic_id": c("_idr_pic_id") > 65535,
-        "order": idr & ((bottom != 0) | (c("_lsb") > F.pow(F.lit(2), s["lsb_bits"] - 1)) | (lower != 0)),
-        "redundant": c("_redundant") > 127,
-        "active": c("_active") > 16,
-        "changes": (c("_changes.fault") == "commands") | ended(c("_changes")) & (F.size(changes) == 0) | (F.size(changes) > c("_active"))
-        | F.exists(changes, lambda m: (m["op"] < 2) & (m["a"] >= F.pow(F.lit(2), s["frame_num_bits"]))),
-        "marks": (c("_marks.fault") == "commands") | (F.size(marks) > 2 * s["reference_frames"] + 2) | F.exists(marks, lambda m: (m["op"] == 4) & (m["a"] > s["reference_frames"]))
-        | ended(c("_marks")) & (
-            (count(lambda m: m["op"] == 4) > 1) | (count(lambda m: m["op"] == 5) > 1) | (count(lambda m: m["op"] == 6) > 1)
-            | (count(lambda m: m["op"] == 5) > 0) & (count(lambda m: m["op"].between(1, 3)) > 0)
-        )
-        | (c("_long_term_idr") == 1) & (s["reference_frames"] == 0),
-        "qp": ~(c("_qp_delta") + s["qp"]).between(0, 51),
-        "deblocking": (c("_deblocking") > 2) | wide(c("_alpha"), 6) | wide(c("_beta"), 6),
-        "group_cycle": c("_group_cycle") > s["cycle_most"],
-    }
-    fault = F.coalesce(*[F.when(broken, name) for name, broken in rules.items()], F.when(at.isNull(), "end"))
-    header = F.struct(*[c(f"_{f}").alias(f) for f in FIELDS], changes.alias("changes"), marks.alias("marks"))
-    return x.withColumn("fault", fault).select(*given, F.when(c("fault").isNull(), header).alias("header"), "fault")
+    size = F.least(F.length("unit"), F.lit(2 + 2 * HEADER_BYTES))
+    octets = F.unhex(F.substring(F.col("unit"), F.lit(1), size - size % 2))
+    sets = F.when(F.col("sets").isNotNull(), F.struct(*[F.col("sets")[f].cast("bigint").alias(f) for f in SET_FIELDS]))
+    x = units.withColumn("_read", _HEADERS(octets, sets))
+    return x.select(*units.columns, F.col("_read.header").alias("header"), F.col("_read.fault").alias("fault"))
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def changed_list(short: Column, long: Column, frame_num: Column, active: Column, changes: Column, wrap: int) -> Column:

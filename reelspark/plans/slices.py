@@ -46,8 +46,8 @@ def _listed(count: str, terms: tuple[str, ...]) -> Column:
     return F.expr(f"CASE WHEN {count} > 0 THEN transform(sequence(0, int({count}) - 1), j -> {one}) ELSE cast(array() AS array<struct<op:bigint,a:bigint,b:bigint>>) END")
 
 
-def _written(x, s: Column) -> Column:
-    """A slice's unit in hex, written from its elements."""
+def _coded(s: Column) -> Column:
+    """The bits of a slice's header with its stop bit, filled up to whole octets, written from its elements."""
     on = lambda test, *codes: F.when(test, F.concat(*codes)).otherwise("")
     idr, kept, p = C("type") == 5, C("ref") > 0, C("slice_type").isin(0, 5)
     joined = lambda a, code, end: F.concat(F.array_join(F.transform(a, code), ""), _ue(F.lit(end)))
@@ -63,22 +63,24 @@ def _written(x, s: Column) -> Column:
         _se(C("qp_delta")), on(s["deblocking_present"], _ue(C("deblocking")), on(C("deblocking") != 1, _se(C("alpha")), _se(C("beta")))),
         on(s["cycle_bits"] > 0, bits(C("group_cycle"), 5)), F.lit("1"),
     )
-    padded = F.rpad(text, (F.ceil(F.length(text) / 8) * 8).cast("int"), "0")
-    octets = F.transform(F.sequence(F.lit(1), F.length(padded), F.lit(8)), lambda i: F.lpad(F.conv(F.substring(padded, i, F.lit(8)), 2, 16), 2, F.lit("0")))
+    return F.rpad(text, (F.ceil(F.length(text) / 8) * 8).cast("int"), "0")
+
+
+def _unit(coded: Column) -> Column:
+    """A slice's unit in hex. coded is to be a column that is worked out already: every part of it names it again."""
+    part = lambda i: F.substring(coded, i, F.lit(32))
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.length(coded), F.lit(32)), lambda i: F.lpad(F.conv(part(i), 2, 16), (F.length(part(i)) / 4).cast("int"), F.lit("0"))), "")
     # An octet of at most 3 after two zero octets has 03 before it.
-    start = F.struct(F.lit(0).alias("zeros"), F.lit("").alias("out"))
-    guard = lambda a, o: F.struct(
-        F.when(o == "00", F.when(a["zeros"] == 2, 1).otherwise(a["zeros"] + 1)).otherwise(0).alias("zeros"), F.concat(a["out"], F.when((a["zeros"] == 2) & (o <= "03"), "03").otherwise(""), o).alias("out")
-    )
+    guarded = F.regexp_replace(body, r"\G((?:..)*?)0000(?=0[0-3])", "$1000003")
     head = F.lpad(F.hex(C("ref") * 32 + C("type")), 2, F.lit("0"))
-    return F.concat(head, F.when(C("cut"), "").otherwise(F.aggregate(octets, start, guard, lambda a: a["out"])))
+    return F.concat(head, F.when(C("cut"), "").otherwise(guarded))
 
 
 def h264_slice_headers(spark, d):
     """Headers of every slice, written bit by bit with emulation bytes and read back; faults by the first element that breaks a rule."""
     x = view(spark, d, "slices").repartition("n").selectExpr("stream_id", "n", *(f"{e} AS {k}" for k, e in _ELEMENTS.items()), "named_struct(" + ", ".join(f"'{k}', {e}" for k, e in _SETS.items()) + ") AS sets")
     x = x.withColumns({"changes": _listed("n_changes", _CHANGE), "marks": _listed("n_marks", _MARK)})
-    units = x.select("stream_id", "n", "sets", _written(x, C("sets")).alias("unit"))
+    units = x.withColumn("coded", _coded(C("sets"))).select("stream_id", "n", "sets", _unit(C("coded")).alias("unit"))
     said = lambda a: F.array_join(F.transform(a, lambda m: F.concat_ws(":", m["op"], m["a"], m["b"])), ",")
     out = slice_headers.read(units)
     return out.select("stream_id", "n", "fault", *(C(f"header.{f}").alias(f) for f in slice_headers.FIELDS), said(C("header.changes")).alias("changes"), said(C("header.marks")).alias("marks"))

@@ -224,3 +224,58 @@ def test_changed_lists_equal_a_scalar_form(spark):
     want = {i: moved(s, g, f, a, [c[:2] for c in cs], 16) for i, s, g, f, a, cs in rows}
     assert got == want
     assert sum(v is not None and bool(rows[k][5]) for k, v in want.items()) > 40
+
+
+def guarded(bits):
+    body, zeros = "", 0
+    for i in range(0, len(bits), 8):
+        b = int(bits[i : i + 8].ljust(8, "0"), 2)
+        if zeros == 2 and b <= 3:
+            body, zeros = body + "03", 0
+        body, zeros = body + f"{b:02x}", zeros + 1 if b == 0 else 0
+    return body.upper()
+
+
+def test_long_lists_zero_runs_and_cut_orders_equal_a_scalar_reader_in_batches_of_any_size(spark):
+    rng, s = random.Random(7), SETS | {"reference_frames": 16}
+    head = code(3) + code(0) + code(0) + "0101" + "00011" + code(2) + code(0)
+
+    def long_lists():
+        changes = "".join(code(rng.randrange(3)) + code(rng.randrange(16)) for _ in range(rng.randrange(13, 20))) + code(3)
+        marks = "".join(code(v) for _ in range(rng.randrange(28, 40)) for v in (3, rng.randrange(3), rng.randrange(3))) + code(0)
+        return "61" + guarded(head + "1" + code(rng.choice([14, 15])) + "1" + changes + "1" + marks + code(0) + code(1) + "0001")
+
+    rows = [(long_lists(), s) for _ in range(60)]
+    rows += [("61" + "".join(rng.choice(["00", "00", "00", "03", "01", "80"]) for _ in range(rng.randrange(30))), s) for _ in range(200)]
+    # An IDR slice whose order count is not decided where its bits end.
+    cut = (guarded(code(0) + code(7) + code(0) + "0000" + code(0) + "00001" + "0" * 6), SETS)
+    rows += [("65" + cut[0], SETS)]
+    x = spark.createDataFrame([(i, r[0], tuple(r[1].values())) for i, r in enumerate(rows)], SCHEMA).repartition(2)
+    want = []
+    for unit, k in rows:
+        try:
+            want.append((None, scalar(unit, k)))
+        except Fault as f:
+            want.append((str(f), None))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch in ("7", size):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = {r.id: r for r in slice_headers.read(x).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for i, (fault, told) in enumerate(want):
+            assert got[i].fault == fault, rows[i]
+            if told:
+                h = got[i].header.asDict()
+                assert [[tuple(m) for m in h.pop(k)] for k in ("changes", "marks")] == list(told[1:]) and h == told[0]
+    assert want[-1][0] == "end" and {w[0] for w in want} >= {None, "changes", "marks", "end"}
+
+
+def test_the_query_of_headers_folds_nothing_row_by_row(spark):
+    from reelspark.plans import slices
+
+    plan = slices.h264_slice_headers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("ArrowEvalPython") == 1
+    # A header's bits are put together once, in a column that the octets are cut from.
+    assert plan.count("rpad(") == 1
